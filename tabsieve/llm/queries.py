@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tabsieve.llm import op1_suffix_dedup
+from tabsieve.llm import op1_suffix_dedup, op2_language, op3_toxicity
 
 
 def queries():
     return {
         "op1_suffix_dedup": op1_suffix_dedup.query,
+        "op2_language": op2_language.query,
+        "op3_toxicity": op3_toxicity.query,
     }
 
 
