@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabsieve.llm import op1_suffix_dedup, op2_language, op3_toxicity
+from tabsieve.llm import op1_suffix_dedup, op2_language, op3_toxicity, op4_secrets
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_suffix_dedup": op1_suffix_dedup.query,
         "op2_language": op2_language.query,
         "op3_toxicity": op3_toxicity.query,
+        "op4_secrets": op4_secrets.query,
     }
 
 
