@@ -206,7 +206,7 @@ def _result(batches):
         )
 
 
-def removed_spans(docs: DataFrame, length: int = 100, most_segments: int = 50_000, batch_bytes: int = 2 << 20) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = 100, most_segments: int = 50_000, batch_bytes: int = 1 << 19) -> DataFrame:
     """(uid, lo, hi): byte spans (end exclusive, overlapping) to remove from docs (uid, text)."""
     if length < 2 or length > 2000:
         raise ValueError("length must lie between 2 and 2000 bytes")
@@ -230,7 +230,7 @@ def removed_spans(docs: DataFrame, length: int = 100, most_segments: int = 50_00
     return per
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, most_segments: int = 50_000, batch_bytes: int = 2 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, most_segments: int = 50_000, batch_bytes: int = 1 << 19) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (see the module's text)."""
     docs = C.with_uid(docs, "text")
     per = C.cut(removed_spans(docs, length, most_segments, batch_bytes), "segments")

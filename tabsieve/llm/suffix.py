@@ -63,23 +63,29 @@ def _sorted_directly(at: np.ndarray, words: np.ndarray, left: np.ndarray) -> np.
     if not n:
         return order
     key = words[order]
-    group = np.zeros(n, np.int64)
-    group[1:] = np.cumsum(key[1:] != key[:-1])
+    first = np.ones(n, bool)
+    first[1:] = key[1:] != key[:-1]
+    slots = np.arange(n)  # places in order that are still undecided, whole groups of equal prefixes at a time
     while True:
-        size = np.bincount(group)
-        open_ = np.flatnonzero((size[group] > 1) & (left[order] >= depth))
-        # members of a group all reach the separator at the same depth, so a group is open or closed as a whole
-        if not len(open_):
+        # members of a group reach their separators at the same depth, so a group is open or decided as a whole
+        new = np.flatnonzero(first)
+        size = np.diff(np.append(new, len(slots)))
+        open_ = np.repeat((size > 1) & (left[order[slots[new]]] >= depth), size)
+        slots, first = slots[open_], first[open_]
+        if not len(slots):
             return order
-        members, g = order[open_], group[open_]
-        nxt = words[members + depth]
-        k = np.lexsort((members, nxt, g))
-        order[open_] = members[k]
-        new = np.zeros(n, bool)
-        new[1:] = group[1:] != group[:-1]
-        nxt, g = nxt[k], g[k]
-        new[open_[1:]] |= (nxt[1:] != nxt[:-1]) & (g[1:] == g[:-1])
-        group = np.cumsum(new)
+        nxt = words[order[slots] + depth]
+        new = np.flatnonzero(first)
+        size = np.diff(np.append(new, len(slots)))
+        # most groups share their next symbols: only the others are sorted
+        uneven = np.repeat(np.logical_or.reduceat(nxt != np.repeat(nxt[new], size), new), size)
+        if uneven.any():
+            group = np.cumsum(first)
+            s, g, w = slots[uneven], group[uneven], nxt[uneven]
+            k = np.lexsort((order[s], w, g))
+            order[s] = order[s][k]
+            nxt[uneven] = w = w[k]
+            first[np.flatnonzero(uneven)[1:]] |= (w[1:] != w[:-1])
         depth += 6
 
 
