@@ -1,0 +1,68 @@
+import random
+import re
+
+from tabsieve.llm import op7_minhash as M
+
+
+def brute(rows, k=3, percent=85):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            c = len(sets[a] & sets[b])
+            if c and 100 * c >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+
+
+def corpus(seed, n=400):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 5)))
+    bases = [[word() for _ in range(rng.randint(30, 200))] for _ in range(12)]
+    rows = []
+    for i in range(n):
+        w = list(rng.choice(bases)) if rng.random() < 0.8 else [word() for _ in range(60)]
+        for _ in range(rng.choice([0, 0, 1, 2, 4, 8])):
+            w[rng.randrange(len(w))] = word()
+        rows.append((i, " ".join(x.upper() if rng.random() < 0.02 else x for x in w)))
+    return rows + [(n, None), (n + 1, " "), (n + 2, "a b"), (n + 3, "A  b"), (n + 4, "b a"), (n + 5, "É é x"), (n + 6, "é é x")]
+
+
+def got(df):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in df.collect()}
+
+
+def test_matches_brute_force(spark):
+    for seed in (1, 2):
+        rows = corpus(seed)
+        assert got(M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute(rows)
+
+
+def test_other_parameters_hot_nodes_and_cut_clusters(spark):
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(M.near_duplicates(df, shingle=5, percent=80, most_node=10, most_shingles=3000)) == brute(rows, 5, 80)
+
+
+def test_real_documents(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    assert got(M.query(spark, "/root/testdata/sf0.01")) == brute(rows)
+
+
+def test_odd_rows(spark):
+    rows = [(1, "a b c d", 0), (1, "a b c d", 0), (None, "a b c d", 0), (None, None, 0), (2, "x", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    out = M.near_duplicates(df).collect()
+    assert len(out) == 5 and sum(r.kept for r in out) == 3
+    assert M.near_duplicates(df.limit(0)).count() == 0
