@@ -64,6 +64,11 @@ def with_uid(docs: DataFrame, *cols: str) -> DataFrame:
     return cut(ordered.withColumn("uid", F.monotonically_increasing_id()), "uid")
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(uid, doc_id, text, row): a key for each row of docs and the whole row as a struct, so that no column can clash."""
+    return with_uid(docs.select("doc_id", "text", F.struct("*").alias("row")), "text", "row")
+
+
 # ------------------------------------------------------------------ byte hashing
 
 U64 = np.uint64

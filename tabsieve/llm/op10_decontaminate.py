@@ -219,5 +219,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), (F.col("n_items") == 0).alias("kept"), "item_id", "n_items", "score")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark passage."""
+    row = F.struct(*docs.columns).alias("row")
+    return match(docs.select(row, "text"), benchmark, **options).where("n_items = 0").select("row.*")
+
+
 def query(spark, sf_dir):
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

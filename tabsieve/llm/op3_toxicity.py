@@ -178,6 +178,17 @@ def score(docs: DataFrame, labels: DataFrame, held_out, most_rows: int = 12_000)
     return rows.mapInArrow(lambda it: _scored(it, model, ["doc_id", "held_out"]), "doc_id long, held_out boolean, score double, predicted int")
 
 
+def reject_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted toxic; learns from every label."""
+    model = train(training_rows(docs, labels, lambda c: F.lit(True), most_rows))
+
+    def kept(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.predict(batch.column("text").to_pylist()) < 0.5))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def is_held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 

@@ -222,7 +222,17 @@ def _confirm(batches, percent: int):
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, trees: int = 14, most_node: int = 20_000, most_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, uid for each row of docs (doc_id, text)."""
     docs = C.with_uid(docs, "text")
-    numbered = hasattr(docs, "_scratch")
+    return _near(docs, hasattr(docs, "_scratch"), shingle, percent, trees, most_node, most_shingles)
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = 16) -> DataFrame:
+    """The rows of docs, with all their columns, that come first in their group of near copies."""
+    rows = C.keyed_rows(docs)
+    kept = _near(rows.select("uid", "doc_id", "text"), hasattr(rows, "_scratch"), shingle, percent, trees).where("kept").select("uid")
+    return rows.select("uid", "row").join(kept, "uid", "left_semi").select("row.*")
+
+
+def _near(docs: DataFrame, numbered: bool, shingle: int, percent: int, trees: int, most_node: int = 20_000, most_shingles: int = 2_000_000) -> DataFrame:
     sig = C.cut(docs.select("uid", "doc_id", "text").mapInArrow(lambda it: _signed(it, shingle, trees), "uid long, doc_id long, n long, s1 long, s2 long, tokens binary, keys array<long>"), "signatures")
     least, ratio = percent / 100 - SLACK, percent / 100
 

@@ -121,9 +121,25 @@ def _slots(batches, shard: np.ndarray, source: np.ndarray, first: np.ndarray, en
         yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(permuted(k % n, n, key)), pa.array(shard[run])], names=["s", "block", "shard"])
 
 
+def size_of(text):
+    """Number of words."""
+    return F.coalesce(F.regexp_count(text, F.lit(C.WORD)), F.lit(0)).cast("long").alias("size")
+
+
+def repeat_documents(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS, most_repeats: int = MOST_REPEATS, seed: int = 8) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes its words: taken / size times, the fraction decided by a hash of its key."""
+    rows = C.keyed_rows(docs)
+    sized = rows.select(F.col("uid").alias("doc_id"), F.col("row.source").cast("string").alias("source"), size_of("text"))
+    times = F.col("taken") / F.col("size")
+    luck = F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = (F.floor(times) + (luck < times - F.floor(times)).cast("int")).cast("int")
+    chosen = _mix(sized, weights, block_words, most_repeats, seed).where("taken > 0").withColumnRenamed("doc_id", "uid").select("uid", copies.alias("copies")).where("copies > 0")
+    return rows.select("uid", "row").join(chosen, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS, most_repeats: int = MOST_REPEATS, seed: int = 8) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs (doc_id, text, source)."""
-    return _mix(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(C.WORD)), F.lit(0)).cast("long").alias("size")), weights, block_words, most_repeats, seed).select(
+    return _mix(docs.select("doc_id", "source", size_of("text")), weights, block_words, most_repeats, seed).select(
         F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", "taken"
     )
 

@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
-from tabsieve.llm import op1_suffix_dedup, op2_language, op3_toxicity, op4_secrets
+from tabsieve.llm import (
+    op10_decontaminate,
+    op1_suffix_dedup,
+    op2_language,
+    op3_toxicity,
+    op4_secrets,
+    op5_tokens,
+    op6_quality,
+    op7_minhash,
+    op8_mix,
+    op9_html,
+)
+
+OPERATORS = (
+    op1_suffix_dedup,
+    op2_language,
+    op3_toxicity,
+    op4_secrets,
+    op5_tokens,
+    op6_quality,
+    op7_minhash,
+    op8_mix,
+    op9_html,
+    op10_decontaminate,
+)
 
 
 def queries():
-    return {
-        "op1_suffix_dedup": op1_suffix_dedup.query,
-        "op2_language": op2_language.query,
-        "op3_toxicity": op3_toxicity.query,
-        "op4_secrets": op4_secrets.query,
-    }
+    return {m.__name__.rpartition(".")[2]: m.query for m in OPERATORS}
 
 
 def oracle_sql():
+    """None: every operator here trains, hashes bytes or follows links, which SQL can't express; tests compare with brute force."""
     return {}
