@@ -27,21 +27,15 @@ def rank_by_uniform(df: DataFrame, u: str, key: str, strata: list[str] | None =
     binned = df.withColumn("_bin", F.floor(F.col(u) * BINS).cast("int"))
     before = Window.partitionBy(*(strata or [F.lit(0)])).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = binned.groupBy(*strata, "_bin").agg(F.count(F.lit(1)).alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    cond = [binned["_bin"].eqNullSafe(offsets["_bin"]), *[binned[s].eqNullSafe(offsets[s]) for s in strata]]
-    joined = binned.join(offsets, cond[0] if len(cond) == 1 else _all(cond)).drop(offsets["_bin"])
-    for s in strata:
-        joined = joined.drop(offsets[s])
+    offsets = offsets.select(F.col("_bin").alias("_b"), "_offset", *[F.col(c).alias(f"_s{k}") for k, c in enumerate(strata)])
+    match = F.col("_bin").eqNullSafe(F.col("_b"))
+    for k, c in enumerate(strata):
+        match = match & F.col(c).eqNullSafe(F.col(f"_s{k}"))
+    joined = binned.join(offsets, match).drop("_b", *[f"_s{k}" for k in range(len(strata))])
     inside = Window.partitionBy(*strata, "_bin").orderBy(u, key)
     return joined.withColumn(out, F.row_number().over(inside) + F.col("_offset")).drop("_bin", "_offset")
 
 
-def _all(conditions):
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
-
-
 def sample_n(df: DataFrame, n, key: str, seed: int) -> DataFrame:
     """n rows without replacement: those with the smallest (uniform, key)."""
     ranked = rank_by_uniform(df.withColumn("_u", md5u(seed, key)), "_u", key, out="_rank")
@@ -51,8 +45,8 @@ def sample_n(df: DataFrame, n, key: str, seed: int) -> DataFrame:
 def stratified_split(df: DataFrame, label: str, key: str, share: float, seed: int) -> DataFrame:
     """df with `split`: 'test' for round(share * size) rows of each class, else 'train'."""
     ranked = rank_by_uniform(df.withColumn("_u", md5u(seed, key)), "_u", key, [label], "_rank")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
-    out = ranked.join(sizes, ranked[label].eqNullSafe(sizes[label])).drop(sizes[label])
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_size"))
+    out = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
     return out.withColumn("split", F.when(F.col("_rank") <= F.floor(F.col("_size") * F.lit(share) + 0.5), "test").otherwise("train")).drop("_u", "_rank", "_size")
 
 

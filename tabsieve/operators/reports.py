@@ -62,7 +62,7 @@ SIMILARITY = (
 )
 
 
-def similarity_report(df: DataFrame, ds: str, real: str, raw: str, refined: str, categorical: list[str], numeric: list[str], key: str, metrics: list[str] | None = None) -> DataFrame:
+def similarity_report(df: DataFrame, ds: str, real: str, raw: str, refined: str, categorical: list[str], numeric: list[str], key: str, metrics: list[str] | None = None, most_transport: int = 5_000) -> DataFrame:
     """(metric, data_type, distribution_type, raw, refined, improved): the registry of distances for both candidates."""
     from tabsieve.functions import special
     from tabsieve.operators import divergence as D
@@ -84,7 +84,7 @@ def similarity_report(df: DataFrame, ds: str, real: str, raw: str, refined: str,
         if binned is not None:
             cdf = D.cdf_distances(D.cdf_frame(df, ds, real, name, numeric))
             scaled = M.min_max(df, ds, real, numeric)
-            out |= {"ks_complement": cdf.agg(F.avg(1 - F.col("ks"))), "mmd": M.mmd_rbf(scaled, ds, real, name, numeric), "wasserstein_joint": M.sinkhorn(df, ds, real, name, numeric, key)}
+            out |= {"ks_complement": cdf.agg(F.avg(1 - F.col("ks"))), "mmd": M.mmd_rbf(scaled, ds, real, name, numeric), "wasserstein_joint": M.sinkhorn(df, ds, real, name, numeric, key, most=most_transport)}
         both = [f for f in (freq.withColumn("bucket", F.col("bucket").cast("string")) if freq is not None else None, binned.withColumn("bucket", F.col("bucket").cast("string")) if binned is not None else None) if f is not None]
         if both:
             m = D.marginal_distances(both[0] if len(both) == 1 else both[0].unionByName(both[1])).agg(F.avg("js").alias("js"), F.avg("inverse_kl").alias("kl"))
