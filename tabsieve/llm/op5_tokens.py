@@ -4,9 +4,9 @@ The rows are range-partitioned and sorted by doc_id; each task encodes its texts
 temporary name until it is whole, so a repeated task replaces the same file. The driver sees one manifest row for each shard; from the shards' sums of ids
 it gives each reader the offset at which its shard starts. Readers go block by block.
 
-Encoding uses the tokenizers library. A space before a non-space always starts a new pre-token of this byte-level vocabulary, so a text is cut there, and each
-different piece is encoded once for a task (at most CACHE remembered); texts where that does not hold (double or final spaces, the text of a special
-token) are encoded whole.
+Encoding uses the tokenizers library. A single space or newline between other characters always starts a new pre-token of this byte-level vocabulary, so a text
+is cut there, and each different word is encoded once for a Python worker (at most CACHE remembered); texts where that does not hold (white space side by
+side or at an end, the text of a special token) are encoded whole.
 
 Defined results: null text counts as empty and holds only the end id; repeated doc_ids are separate entries, ordered by text; null doc_ids come last; an
 empty table gives no shard and no rows.
@@ -27,8 +27,9 @@ from tabsieve.llm import common as C
 from tabsieve.llm import sst
 
 END = 2
-CACHE = 500_000
+CACHE = 700_000
 JOIN = 1 << 16
+MARKS = ".,"
 
 
 class Encoder:
@@ -46,52 +47,107 @@ class Encoder:
         self.spaced = np.zeros(n, bool)
         self.spaced[[k for x, k in vocab.items() if x.startswith("Ġ")]] = True
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.ids = [np.array([k], self.kind).tobytes() for k in range(n)]
+        self.newline, self.marks = self.whole(["\n"])[0], {c: self.whole([c])[0] for c in MARKS}
+        # what a byte looks like to the model, as the vocabulary's own alphabet shows it
+        self.letters = {b: c for b, c in byte_letters().items() if b != 10}
+        self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, each a space and at least one other character: many joined to one text, cut again where an id starts with a space."""
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """The ids of words after a space: one text, cut where an id starts with a space."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        body, at = ids.tobytes(), np.flatnonzero(self.spaced[ids]).tolist()
+        if len(at) != len(words) or at[0]:
+            raise AssertionError("words can't be told apart")
+        return [body[a * self.width : b * self.width] for a, b in zip(at, [*at[1:], len(ids)])]
+
+    def _letters_only(self, words: list[str], before: str) -> list[bytes]:
+        """The ids of words of letters: each is a single pre-token, which the vocabulary's model takes as it is."""
+        tokenize, ids = self.tokenizer.model.tokenize, self.ids
+        shown = "\n".join(words).encode().decode("latin-1").translate(self.letters).split("\n")
+        return [b"".join([ids[k.id] for k in tokenize(before + x)]) for x in shown]
+
+    def learn(self, new: set[str]) -> None:
+        """Remember the ids of new words: with the space before them or, if they start with a newline, with that. A letter and a final mark are two
+        pre-tokens, so a mark is left off and put back."""
+        known, marked, rest, done = self.known, [], [], set()
+        for x in new:
+            if x[-1] in MARKS and len(x) > 1 and x[-2].isalpha():
+                marked.append(x)
+                x = x[:-1]
+                if x in known or x in new or x in done:
+                    continue
+                done.add(x)
+            rest.append(x)
+        after, first, odd, odd_first = [], [], [], []
+        for x in rest:
+            if x[0] == "\n":
+                (first if x[1:].isalpha() else odd_first).append(x)
+            else:
+                (after if x.isalpha() else odd).append(x)
+        known.update(zip(after, self._letters_only(after, "Ġ") if after else ()))
+        if first:
+            known.update(zip(first, (self.newline + b for b in self._letters_only([x[1:] for x in first], ""))))
+        known.update(zip(odd_first, self.whole(odd_first) if odd_first else ()))
         at = 0
-        while at < len(pieces):
+        while at < len(odd):
             end, size = at, 0
-            while end < len(pieces) and (end == at or size < JOIN):
-                size += len(pieces[end])
+            while end < len(odd) and (end == at or size < JOIN):
+                size += len(odd[end])
                 end += 1
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces[at:end])], add_special_tokens=False)[0].ids, self.kind)
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != end - at or starts[0]:
-                raise AssertionError("pieces can't be told apart")
-            body, cuts = ids.tobytes(), (np.append(starts, len(ids)) * self.width).tolist()
-            self.cache.update(zip(pieces[at:end], (body[a:b] for a, b in zip(cuts, cuts[1:]))))
+            known.update(zip(odd[at:end], self._joined(odd[at:end])))
             at = end
+        for x in marked:
+            known[x] = known[x[:-1]] + self.marks[x[-1]]
 
-    def regular(self, text: str) -> bool:
-        return "  " not in text and text[-1] != " " and not any(s in text for s in self.special)
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text whose spaces and newlines all stand alone between other characters, the first of a line with a newline; None for others."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or any(s in text for s in self.special):
+            return None
+        words = f"\n{text}".replace("\n", " \n").split(" ")
+        del words[0]
+        return words
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        out: list = [b""] * len(texts)
-        odd = [k for k, t in enumerate(texts) if t and not self.regular(t)]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        words = [self.words(t) if t else None for t in texts]
+        new = set().union(*filter(None, words)).difference(self.known)
+        # a newline and other white space after it would be one pre-token
+        bad = {x for x in new if x[0] == "\n" and x[1].isspace()}
+        if bad:
+            words = [None if w is None or bad.intersection(w) else w for w in words]
+            new -= bad
+        if new:
+            self.learn(new)
+        get, skip = self.known.__getitem__, len(self.newline)
+        out = [b"" if w is None else b"".join(map(get, w))[skip:] for w in words]
+        odd = [k for k, t in enumerate(texts) if t and words[k] is None]
         for k, b in zip(odd, self.whole([texts[k] for k in odd]) if odd else ()):
             out[k] = b
-        skip = set(odd)
-        cut = {}
-        for k, t in enumerate(texts):
-            if t and k not in skip:
-                first, *rest = t.split(" ")
-                cut[k] = first, [" " + x for x in rest]
-        cache = self.cache
-        heads = list({first for first, _ in cut.values() if first}.difference(cache))
-        cache.update(zip(heads, self.whole(heads) if heads else ()))
-        self.learn(list(set().union(*(rest for _, rest in cut.values())).difference(cache)))
-        for k, (first, rest) in cut.items():
-            out[k] = (cache[first] if first else b"") + b"".join([cache[x] for x in rest])
         return out
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(tokenizer_json: str) -> Encoder:
+    """One encoder for a Python worker, so that what one task has learned serves the next."""
+    if tokenizer_json not in _encoders:
+        _encoders[tokenizer_json] = Encoder(tokenizer_json)
+    return _encoders[tokenizer_json]
+
+
 def _open(uri: str):
     from pyarrow import fs
 
@@ -122,7 +178,7 @@ def _write(batches, folder: str, tokenizer_json: str, end_id: int):
     for batch in batches:
         for ids, texts in batches_of(batch):
             if writer is None:
-                encoder = Encoder(tokenizer_json)
+                encoder = encoder_of(tokenizer_json)
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(temp)
                 writer = sst.Writer(out, encoder.width)
