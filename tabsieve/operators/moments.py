@@ -82,8 +82,8 @@ def mmd_rbf(df: DataFrame, ds: str, first: str, second: str, columns: list[str],
     Rows are gathered by equal points first. If the distinct points fit in most_held, they go to the executors as one array and every block of points
     streams past it; otherwise points are dealt to blocks and each two blocks meet in one task, so no task holds more than two blocks.
     """
-    points = df.where(F.col(ds).isin(first, second)).groupBy(*columns).agg(F.count(F.when(F.col(ds) == first, 1)).alias("a"), F.count(F.when(F.col(ds) == second, 1)).alias("b"))
-    points = points.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), "a", "b")
+    points = df.where(F.col(ds).isin(first, second)).groupBy(*columns).agg(F.count(F.when(F.col(ds) == first, 1)).alias("_a"), F.count(F.when(F.col(ds) == second, 1)).alias("_b"))
+    points = points.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.col("_a").alias("a"), F.col("_b").alias("b"))
     sizes = points.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     d = len(columns)
     n = points.limit(most_held + 1).count()
