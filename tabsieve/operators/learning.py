@@ -221,6 +221,50 @@ def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(F.when(F.col("s") > 0, F.col("m") / (F.col("s") / F.sqrt("n"))).alias("t"), (F.col("n") - 1).alias("df"), F.when(F.col("s") > 0, F.col("m") / F.col("s")).alias("cohens_d"))
 
 
+def cluster_folds(train: DataFrame, others: dict[str, DataFrame], key: str, columns: list[str], k: int = 5, folds: int = 5, seed: int = 42) -> DataFrame:
+    """(scenario, fold, ari, ami): agreement, on each fold of train, of a k-means model of each other table with one of train's remaining folds.
+
+    Features are scaled by train; each other table is sampled down to the size of the remaining folds.
+    """
+    parts = kfold(train.withColumn("_all", F.lit(0)), "_all", key, folds, seed).persist()
+    scale = lambda t: standardised(t, train, columns, [key])
+    out = None
+    for f in range(folds):
+        rest, own = parts.where(F.col("fold") != f), scale(parts.where(F.col("fold") == f))
+        n = rest.count()
+        base = KMeans(k=k, seed=seed, maxIter=20).fit(scale(rest)).transform(own).withColumnRenamed("prediction", "a")
+        for name, t in others.items():
+            model = KMeans(k=k, seed=seed, maxIter=20).fit(scale(sample_n(t, n, key, seed + f)))
+            both = model.transform(base).select("a", F.col("prediction").alias("b")).persist()
+            row = ari(both, "a", "b").crossJoin(ami(both, "a", "b")).withColumns({"scenario": F.lit(name), "fold": F.lit(f)})  # one row each
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def fold_summary(scores: DataFrame, raw: str, refined: str) -> DataFrame:
+    """(metric, raw_mean, raw_std, refined_mean, refined_std, t, df, p, cohens_d): sample deviations and a paired test over the folds."""
+    from tabsieve.operators.hypothesis import with_p
+
+    out = None
+    for m in ("ari", "ami"):
+        wide = scores.groupBy("fold").agg(F.max(F.when(F.col("scenario") == raw, F.col(m))).alias("r"), F.max(F.when(F.col("scenario") == refined, F.col(m))).alias("f"))
+        s = wide.agg(F.avg("r").alias("raw_mean"), F.stddev_samp("r").alias("raw_std"), F.avg("f").alias("refined_mean"), F.stddev_samp("f").alias("refined_std"))
+        row = s.crossJoin(paired_t(wide, "f", "r")).withColumn("metric", F.lit(m))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return with_p(out, "p", special.t_sf2, "t", "df")
+
+
+def projection(tables: dict[str, DataFrame], key: str, columns: list[str], most: int = 1_000, seed: int = 42) -> DataFrame:
+    """(dataset, key, pc1, pc2): principal components of the standardised union of samples of at most `most` rows a table."""
+    both = None
+    for name, t in tables.items():
+        part = sample_n(t.select(key, *columns), most, key, seed).withColumn("dataset", F.lit(name))
+        both = part if both is None else both.unionByName(part)
+    scaled = standardised(both, both, columns, ["dataset", key]).persist()
+    out = PCA(k=2, inputCol="features", outputCol="_pc").fit(scaled).transform(scaled)
+    return out.select("dataset", key, *[vector_to_array("_pc")[i].alias(f"pc{i + 1}") for i in range(2)])
+
+
 def pca_projection(df: DataFrame, key: str, features: str, k: int = 2) -> DataFrame:
     """(key, pc1..pck) of a vector column."""
     out = PCA(k=k, inputCol=features, outputCol="_pc").fit(df).transform(df)

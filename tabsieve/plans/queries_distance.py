@@ -69,6 +69,16 @@ def prop_diff(spark, sf):
     return D.proportion_difference(lineitem_roles(spark, sf), "ds", "real", ("raw", "refined"), CATS).select("col", r6("raw").alias("raw"), r6("refined").alias("refined"))
 
 
+def distribution_metrics(spark, sf):
+    """W1 for numbers, mean share difference for the others, for both candidates."""
+    df = lineitem_roles(spark, sf)
+    side = lambda s: D.cdf_distances(D.cdf_frame(df, "ds", "real", s, ["l_quantity", "l_discount"])).select("col", F.col("w1").alias(s))
+    numbers = side("raw").join(side("refined"), "col").withColumn("metric", F.lit("w1"))
+    others = D.proportion_difference(df, "ds", "real", ("raw", "refined"), CATS).withColumn("metric", F.lit("prop_diff"))
+    both = numbers.unionByName(others)
+    return both.select("col", "metric", r6("raw").alias("raw"), r6("refined").alias("refined"), (F.col("refined") < F.col("raw")).alias("improved"))
+
+
 def scaled(spark, sf):
     return M.min_max(lineitem_roles(spark, sf), "ds", "real", list(NUMS))
 
@@ -135,6 +145,7 @@ QUERIES = {
     "wasserstein_1d": w1,
     "marginal_metrics": marginal,
     "prop_diff": prop_diff,
+    "distribution_metrics": distribution_metrics,
     "mmd_linear": linear,
     "mmd_poly2": poly2,
     "mmd_rbf": rbf,
@@ -167,7 +178,11 @@ _CORR = "cg AS (SELECT " + ", ".join(f"coalesce(corr({NUMS[i]},{NUMS[j]}) FILTER
 _SQ = "2*(" + "+".join(f"d{i}{j}*d{i}{j}" for i, j in _CP) + ")"
 _AB = "2*(" + "+".join(f"abs(d{i}{j})" for i, j in _CP) + ")"
 
+_SHARES = "pl AS (" + " UNION ALL ".join(f"SELECT ds, '{c}' AS col, {c}::varchar AS value FROM roles" for c in CATS) + "), pc AS (SELECT col, value, " + ", ".join(f"(count(*) FILTER (ds='{s}'))::double AS n{k}" for k, s in enumerate(("real", "raw", "refined"))) + " FROM pl GROUP BY 1,2), pp AS (SELECT *, " + ", ".join(f"sum(n{k}) OVER (PARTITION BY col) AS t{k}" for k in range(3)) + " FROM pc), pd AS (SELECT col, avg(abs(n0/t0-n1/t1)) AS raw, avg(abs(n0/t0-n2/t2)) AS refined FROM pp WHERE n0+n1 > 0 GROUP BY col)"
+_W1 = "wl AS (" + " UNION ALL ".join(f"SELECT ds, '{c}' AS col, {c}::double AS value FROM roles" for c in ("l_quantity", "l_discount")) + "), wc AS (SELECT c.cand, l.col, l.value, count(*) FILTER (ds='real') AS a, count(*) FILTER (ds=c.cand) AS b FROM wl l JOIN (SELECT unnest(['raw','refined']) AS cand) c ON l.ds='real' OR l.ds=c.cand GROUP BY 1,2,3), wf AS (SELECT *, sum(a) OVER w/sum(a) OVER (PARTITION BY cand,col) AS fa, sum(b) OVER w/sum(b) OVER (PARTITION BY cand,col) AS fb, lead(value) OVER w AS nxt FROM wc WINDOW w AS (PARTITION BY cand,col ORDER BY value)), wd AS (SELECT cand, col, sum(abs(fa-fb)*coalesce(nxt-value,0)) AS w1 FROM wf GROUP BY 1,2), ww AS (SELECT col, max(w1) FILTER (cand='raw') AS raw, max(w1) FILTER (cand='refined') AS refined FROM wd GROUP BY col)"
+
 SQL = {
+    "distribution_metrics": with_(ROLES, _SHARES, _W1) + "SELECT col, metric, " + r("raw") + " AS raw, " + r("refined") + " AS refined, refined < raw AS improved FROM (SELECT col, 'w1' AS metric, raw, refined FROM ww UNION ALL SELECT col, 'prop_diff', raw, refined FROM pd)",
     "freq_categorical": with_(ROLES, FREQ) + "SELECT col, bucket, " + r("p") + " AS p, " + r("q") + " AS q FROM freq",
     "freq_discretized": with_(ROLES, BINNED) + "SELECT col, bucket, " + r("p") + " AS p, " + r("q") + " AS q FROM freq",
     "js_marginal": _dist("js"),

@@ -60,6 +60,20 @@ def pca(spark, sf):
     return L.pca_projection(_vectors(spark, sf), "vec_id", "features")
 
 
+def _three(spark, sf):
+    df = lineitem_roles(spark, sf).select("ds", F.xxhash64("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity").alias("row"), *COLS).dropDuplicates(["row"])
+    return {s: df.where(F.col("ds") == s).drop("ds") for s in ("real", "raw", "refined")}
+
+
+def cluster_folds(spark, sf):
+    t = _three(spark, sf)
+    return L.fold_summary(L.cluster_folds(t["real"], {k: t[k] for k in ("raw", "refined")}, "row", COLS, k=3, folds=3), "raw", "refined")
+
+
+def projection(spark, sf):
+    return L.projection(_three(spark, sf), "row", COLS)
+
+
 def autoencoder(spark, sf):
     e = table(spark, sf, "embeddings")
     cols = [f"x{k}" for k in range(16)]
@@ -114,6 +128,8 @@ QUERIES = {
     "feature_importance": importance,
     "kmeans_sweep": kmeans,
     "pca_projection": pca,
+    "union_projection": projection,
+    "cluster_folds": cluster_folds,
     "autoencoder_embed": autoencoder,
     "ari": ari,
     "ami": ami,

@@ -94,6 +94,10 @@ def by_flag(spark, sf):
     return P.weights_by_flag(weighted_pool(spark, sf)).select("flag", "n", r6("median").alias("median"), r6("mean").alias("mean"))
 
 
+def weights_histogram(spark, sf):
+    return W.histogram(weighted_pool(spark, sf), "w", 50, ["flag"])
+
+
 def weight_stats(spark, sf):
     out = W.top_share(weighted_pool(spark, sf), "w")
     return out.select(*[r6(c).alias(c) for c in out.columns])
@@ -183,6 +187,7 @@ QUERIES = {
     "weight_statistics": weight_stats,
     "utility_preservation": preservation,
     "weights_by_flag": by_flag,
+    "weights_histogram_by_flag": weights_histogram,
     "calibration_curve": calibration,
     "roc_auc_rank": auc,
     "accuracy": accuracy,
@@ -240,6 +245,7 @@ SQL = {
     "weight_statistics": with_(WEIGHTED) + "SELECT " + ", ".join(f"{r(f'{f}(w)')} AS {f if f != 'avg' else 'mean'}" for f in ("min", "max", "avg", "median")) + " FROM wp",
     "utility_preservation": with_(WEIGHTED) + "SELECT " + r("a.mean") + " AS mean, " + r("a.std") + " AS std, " + r("avg(w)") + " AS selected_mean, " + r("stddev_pop(w)") + " AS selected_std, " + r("avg(CASE WHEN w > a.med THEN 1.0 ELSE 0.0 END)") + " AS above_median, " + r("avg(w)/a.mean") + " AS mean_ratio FROM wp CROSS JOIN (SELECT avg(w) AS mean, stddev_pop(w) AS std, median(w) AS med FROM wp) a WHERE flag = 0 GROUP BY a.mean, a.std",
     "weights_by_flag": with_(WEIGHTED) + "SELECT flag::int AS flag, count(*) AS n, " + r("median(w)") + " AS median, " + r("avg(w)") + " AS mean FROM wp GROUP BY flag",
+    "weights_histogram_by_flag": with_(WEIGHTED, "s AS (SELECT min(w) AS lo, max(w) AS hi FROM wp)") + "SELECT flag::int AS flag, least(floor((w-lo)/(hi-lo)*50), 49)::int AS bin, count(*) AS n FROM wp CROSS JOIN s GROUP BY 1,2",
     "calibration_curve": with_(_LAB) + "SELECT least(floor(p*10), 9)::int AS bin, count(*) AS n, " + r("avg(p)") + " AS mean_p, " + r("avg(y)") + " AS share FROM lab GROUP BY 1",
     "roc_auc_rank": with_(_LAB, "rk AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score)-1)/2.0::double AS r FROM lab)") + "SELECT " + r("(sum(r) FILTER (y=1) - (count(*) FILTER (y=1))*(count(*) FILTER (y=1)+1)/2.0::double)/((count(*) FILTER (y=1))*(count(*) FILTER (y=0)))") + " AS auc, count(*) FILTER (y=1) AS n_pos, count(*) FILTER (y=0) AS n_neg FROM rk",
     "accuracy": with_(_GUESS) + "SELECT " + r("avg(CASE WHEN label=predicted THEN 1.0 ELSE 0.0 END)") + " AS accuracy FROM g",
