@@ -139,7 +139,7 @@ def _branch(tokens, n, at, path: int, depth: int, least, ratio, out) -> None:
         _stars(tokens, n, at, least, ratio, out)
         return
     for b in range(2 if depth == 0 else 1):
-        seed = int(C.mix(np.array([path * 31 + b * 7 + depth + 1], np.uint64))[0])
+        seed = int(C.mix(np.array([(path * 31 + b * 7 + depth + 1) & (2**64 - 1)], np.uint64))[0])
         column = tokens[at, seed % COORDINATES]
         order = np.argsort(column, kind="stable")
         cuts = np.flatnonzero(np.diff(column[order])) + 1

@@ -66,3 +66,22 @@ def test_odd_rows(spark):
     out = M.near_duplicates(df).collect()
     assert len(out) == 5 and sum(r.kept for r in out) == 3
     assert M.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_large_nodes_branch_on():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**16, (40, M.COORDINATES)).astype("<u2")
+    tokens = np.repeat(base, 50, 0)
+    tokens[:, :2] = 7  # a popular node: all share two tokens
+    change = rng.random(tokens.shape) < 0.05
+    tokens = np.where(change, rng.integers(0, 2**16, tokens.shape), tokens).astype("<u2")
+    out: list = []
+    for key in (12345, 0x7FFFFFFF, 99):
+        M._branch(tokens, np.full(len(tokens), 100), np.arange(len(tokens)), key, 0, 0.65, 0.85, out)
+    groups = {a // 50: set() for a in range(len(tokens))}
+    for a, b in out:
+        assert a // 50 == b // 50
+        groups[a // 50].update((a, b))
+    assert sum(map(len, groups.values())) > 0.9 * len(tokens)
