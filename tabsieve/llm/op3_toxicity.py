@@ -63,54 +63,90 @@ def entries(low: list[str]) -> set[str]:
     return {e for e in seen if e and e[-1] != "*"} | twice
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
+UPPER = bytes(range(65, 91))
+LETTERS = UPPER + bytes(range(97, 123)) + bytes(range(0xC3, 0xF5))
+ODD = b"0123456789@$*!|+"
+MIXED = re.compile(r"[^\W\d_][0-9@$*!|+][^\W\d_]")
+CACHE = 300_000
+
+
+class Lexicon:
+    """Words and stems with weights; remembers what it found for a word."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights, self.seen = weights, {}
+
+    def __reduce__(self):
+        return Lexicon, (self.weights,)
+
+    def look(self, w: str):
+        """None, or (weight or None, is disguised, stems in the lexicon, is a second-person pronoun) of a lower-case word."""
+        p = plain(w)
+        v, odd = self.weights.get(p), False
+        if v is None and p and not p.isalpha():
+            v = self.weights.get(disguised(w))
+            odd = v is not None
+        found = [e for e in stems(p) if e in self.weights]
+        you = p in SECOND
+        return (v, odd, found, you) if v is not None or found or you else None
+
+    def notable(self, counts) -> dict[str, tuple]:
+        seen = self.seen
+        if len(seen) > CACHE:
+            seen.clear()
+        out = {}
+        for w in counts:
+            try:
+                f = seen[w]
+            except KeyError:
+                f = seen[w] = self.look(w)
+            if f is not None:
+                out[w] = f
+        return out
+
+
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
     text = text or ""
-    raw = text.split()
     low = text.lower().split()
     n = max(len(low), 1)
-    hits, weight, odd, places = 0, 0.0, 0, []
+    hits, weight, odd, places, top, near = 0, 0.0, 0, [], 0, 0
+    counts = Counter(low)
+    notable = lexicon.notable(counts)
     weights: dict[str, float] = {}  # of the words as written
     stemmed: dict[str, list[str]] = {}
-    counts = Counter(low)
-    for w in counts:
-        p = plain(w)
-        v = lexicon.get(p)
-        if v is None and p and not p.isalpha():
-            v = lexicon.get(disguised(w))
-            odd += counts[w] * (v is not None)
+    for w, (v, is_odd, found, _) in notable.items():
         if v is not None:
             weights[w] = v
-        for k in STEMS:
-            if len(p) > k and (e := p[:k] + "*") in lexicon:
-                stemmed.setdefault(e, []).append(w)
+            odd += counts[w] * is_odd
+        for e in found:
+            stemmed.setdefault(e, []).append(w)
     for e, words in stemmed.items():
         if sum(counts[w] for w in words) > 1:
             for w in words:
-                weights[w] = max(weights.get(w, 0.0), lexicon[e])
-    top = 0
+                weights[w] = max(weights.get(w, 0.0), lexicon.weights[e])
+    n_you = sum(counts[w] for w, f in notable.items() if f[3])
     if weights:
-        for k, w in enumerate(low):
-            if w in weights:
-                places.append(k)
-                weight += weights[w]
+        places = [k for k, w in enumerate(low) if w in weights]
+        weight = sum(weights[low[k]] for k in places)
         hits = len(places)
         a = 0
         for b in range(hits):
             while places[b] - places[a] >= WINDOW:
                 a += 1
             top = max(top, b - a + 1)
-    you = [k for k, w in enumerate(low) if w in SECOND or w.strip(EDGE + "!") in SECOND] if len(low) else []
-    near = int((np.abs(np.array(you)[np.minimum(np.searchsorted(you, places), len(you) - 1)] - np.array(places)) <= NEAR).sum()) if you and places else 0
-    letters = sum(map(str.isalpha, text)) if len(text) < 4096 else len(re.findall(r"[^\W\d_]", text))
-    upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
-    shout = sum(1 for w in raw if len(w) > 2 and w.isupper())
-    marks = text.count("!")
-    asks = text.count("?")
-    odd_words = len(re.findall(r"[^\W\d_][0-9@$*!|+][^\W\d_]", text))
-    best = max(weights.values(), default=0.0)
+        if n_you:
+            pronouns = {w for w, f in notable.items() if f[3]}
+            you = np.array([k for k, w in enumerate(low) if w in pronouns])
+            at = np.array(places)
+            after = np.minimum(np.searchsorted(you, at), len(you) - 1)
+            near = int((np.minimum(np.abs(you[after] - at), np.abs(you[np.maximum(after - 1, 0)] - at)) <= NEAR).sum())
+    raw = text.encode("utf-8", "replace")
+    letters, upper = len(raw) - len(raw.translate(None, LETTERS)), len(raw) - len(raw.translate(None, UPPER))
+    shout = sum(1 for w in text.split() if len(w) > 2 and w.isupper()) if upper > 2 else 0
+    odd_words = len(MIXED.findall(text)) if len(raw.translate(None, ODD)) < len(raw) else 0
     return [
-        float(np.log1p(len(low))), hits / n, float(np.log1p(hits)), len(weights), weight / n, best, odd / n, top / WINDOW, near / max(hits, 1), near / n,
-        len(you) / n, upper / max(letters, 1), shout / n, marks / n, asks / n, odd_words / n,
+        float(np.log1p(len(low))), hits / n, float(np.log1p(hits)), len(weights), weight / n, max(weights.values(), default=0.0), odd / n, top / WINDOW, near / max(hits, 1), near / n,
+        n_you / n, upper / max(letters, 1), shout / n, raw.count(b"!") / n, raw.count(b"?") / n, odd_words / n,
     ]
 
 
@@ -143,7 +179,7 @@ def train(labelled: DataFrame, most_rows: int = 12_000, most_words: int = 1_000)
     n1 = sum(n for (_, y), n in sizes.items() if y == 1)
     n0 = sum(n for (_, y), n in sizes.items() if y == 0)
     if not n1 or not n0:
-        return Model({}, None, None, 1.0 * bool(n1))
+        return Model(Lexicon({}), None, None, 1.0 * bool(n1))
     words = rows.mapInArrow(_word_rows, "fold int, toxic int, word string").groupBy("word").agg(*[F.count(F.when((F.col("fold") == f) & (F.col("toxic") == y), 1)).alias(f"n{f}{y}") for f in (0, 1) for y in (0, 1)])
 
     def lexicon(folds) -> dict[str, float]:
@@ -156,7 +192,7 @@ def train(labelled: DataFrame, most_rows: int = 12_000, most_words: int = 1_000)
         return {r["word"]: float(r["odds"]) for r in strong}
 
     words = words.where("n01 + n11 >= 2").persist()
-    both, lex = lexicon((0, 1)), {0: lexicon((1,)), 1: lexicon((0,))}
+    both, lex = Lexicon(lexicon((0, 1))), {0: Lexicon(lexicon((1,))), 1: Lexicon(lexicon((0,)))}
     words.unpersist()
 
     def made(batches):
