@@ -2,7 +2,7 @@
 
 A word (with the space before it) is scored for each language by the sum, over all its segmentations into vocabulary pieces, of the product of
 that language's piece probabilities: a forward pass over the word's bytes. Every single byte is a piece too, so every text has a segmentation. A
-document's score is the sum over its words. The probabilities are fitted by expectation-maximisation (forward-backward) on word counts of a
+document's score is the sum over its words of their log-probabilities against the best language's, each cut at -CLIP, so that a foreign passage does not outweigh a longer text. The probabilities are fitted by expectation-maximisation (forward-backward) on word counts of a
 bounded sample: at most about `most_documents` training documents for each language, drawn by a hash of doc_id. Scoring covers every whole text.
 
 Distribution: fitting is one narrow aggregate; scoring is one Arrow pass without a shuffle. A task remembers the scores of words it has met, at most
@@ -27,6 +27,7 @@ CACHE = 400_000
 SUB_CHARS = 1 << 20
 FLOOR = 1e-7
 BYTE_FLOOR = 1e-5
+CLIP = 4.0
 U64 = np.uint64
 
 
@@ -132,13 +133,17 @@ class Model:
         self.languages, self.pieces, self.probs = languages, pieces, probs
 
     def score(self, words: list[str]) -> np.ndarray:
-        """Log-probability of each word in each language."""
+        """What each word says for each language: its log-probability against the best language's, at least -CLIP; nothing for words without a letter."""
         parts, owner = units(words)
         logs = np.zeros((len(parts), len(self.languages)))
         for rows, m in by_length(parts):
             logs[rows] = np.log(forward(self.pieces.lattice(m), self.probs, m.shape[1])[-1])
         out = np.zeros((len(words), len(self.languages)))
+        if not len(self.languages):
+            return out
         np.add.at(out, owner, logs)
+        out = np.maximum(out - out.max(1, keepdims=True), -CLIP)
+        out[[k for k, w in enumerate(words) if not w.isalpha() and not has_letter(w)]] = 0
         return out
 
 
