@@ -110,6 +110,8 @@ class Bench:
         for n, (keys, first, item, at, _) in list(self.tables.items()):
             gram = np.repeat(np.arange(len(keys)), np.diff(first))
             df = np.array([counts.get((n, int(k)), 0) for k in np.arange(len(keys))], float)[gram]
+            if not len(item):
+                continue
             order = np.lexsort((df, item))
             start = np.flatnonzero(np.r_[True, item[order][1:] != item[order][:-1]])
             size = np.diff(np.append(start, len(item)))
@@ -131,6 +133,8 @@ class Bench:
         if not found:
             return out
         r, item, begin = (np.concatenate(x) for x in zip(*found))
+        if not len(r):  # only grams that are no seeds any more
+            return out
         order = np.lexsort((begin, item, r))
         r, item, begin = r[order], item[order], begin[order]
         sizes = np.array([len(w) for w in self.words])

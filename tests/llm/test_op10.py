@@ -80,3 +80,10 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id, r.item_id) for r in out if r.contaminated) == [(False, 2, 5), (True, None, 5)]
     assert B.decontaminate(docs.limit(0), bench).count() == 0
     assert B.decontaminate(docs, bench.limit(0)).where("kept").count() == 4
+
+
+def test_documents_with_frequent_phrases_only(spark):
+    items = [(1, "the of and to " + " ".join(f"w{k}" for k in range(30)))]
+    docs = [(k, f"x{k} the of and to y{k}") for k in range(200)]
+    out = B.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(out) == 200 and not any(r.contaminated for r in out)
