@@ -4,12 +4,13 @@
    minwise tokens. Documents with equal sets are one class from here on; its smallest row stands for it.
 2. Trees. In each of `trees` independent trees a class walks down two levels; at every node the path picks the coordinate whose minwise token chooses the
    branch. Two sets of similarity s stay together with probability s for a level. Nodes are gathered by key; a node of more than `SMALL` classes branches on
-   inside its task until it is small, stops shrinking, or is deep; then its classes are compared exhaustively by their tokens. Nodes of more than `most_node`
-   classes are dealt out in blocks by hash, and each block also gets the node's first and last class, which tie similar blocks together. What comes out is not
-   pairs but, for each node, the loosely similar classes as stars (agreement within `SLACK` of the threshold, sizes that allow the threshold).
+   inside its task until it is small, stops shrinking, or is deep; then its classes are compared exhaustively by their tokens. A node of more than `most_node`
+   classes branches on before it is gathered; a group that stays that large, agreeing almost everywhere, is dealt out in blocks by hash, each with the node's
+   first and last class, which tie similar blocks together. What comes out is not pairs but, for each node, the loosely similar classes as stars (agreement within `SLACK` of the threshold, sizes that allow the threshold).
 3. The stars' connected components are clusters. Only classes in clusters get their full sets (second pass). Sets of one cluster meet in one task if they
-   have up to `most_shingles` shingles; a larger cluster is cut into blocks by hash, and each two blocks meet. There, every two sets that are not yet connected are compared exactly
-   (size of the intersection, 100 * common >= percent * union). Connected ones need no comparison, so a large group of copies costs one comparison a copy.
+   have up to `most_shingles` shingles in all; those of a larger cluster meet in the trees' nodes again. There, every two sets that are not yet connected are
+   compared exactly (size of the intersection, 100 * common >= percent * union). Connected ones need no comparison, so a large group of copies costs one
+   comparison a copy.
 4. Components of the confirmed links, spread to all members of each class.
 
 Recall: a pair at the threshold is missed by a tree with probability about 1 - s**2, by all with about (1 - s**2)**trees (under 1e-7 at 0.85 with 14 trees).
@@ -31,6 +32,7 @@ COORDINATES = 64
 SLACK = 0.2
 SMALL = 256
 DEEP = 6
+LEVELS = 4
 SUB_BYTES = 1 << 20
 U64 = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, COORDINATES, dtype=np.uint64) * U64(2) + U64(1)
@@ -150,6 +152,42 @@ def _branch(tokens, n, at, path: int, depth: int, least, ratio, out) -> None:
                 _branch(tokens, n, child, seed ^ int(tokens[child[0], seed % COORDINATES]), depth + 1, least, ratio, out)
 
 
+def _deeper(batches, branches: int):
+    """Each member of a large node one level down, along `branches` coordinates that the node's path picks."""
+    for batch in batches:
+        key, uid = batch.column("key").to_numpy().astype(np.uint64), batch.column("uid").to_numpy()
+        tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<u2").reshape(-1, COORDINATES)
+        for b in range(branches):
+            path = C.mix(key + U64(b + 1))
+            chosen = tokens[np.arange(len(key)), (path % U64(COORDINATES)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(C.mix(path ^ chosen.astype(np.uint64)).astype(np.int64)), pa.array(uid)], names=["key", "uid"])
+
+
+def _placed(walked: DataFrame, reps: DataFrame, most_node: int) -> DataFrame:
+    """(key, block, uid): members of all nodes of two or more classes.
+
+    Nodes of more than most_node classes branch on, first along two coordinates, then along one. What is still larger after LEVELS levels is a group that
+    agrees almost everywhere: it is dealt out in blocks by a hash, and each block also gets the node's first and last class as ties.
+    """
+    out = None
+    for level in range(LEVELS + 1):
+        nodes = walked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("uid").alias("first"), F.max("uid").alias("last")).where("size > 1").withColumn("cut", F.ceil(F.col("size") / most_node).cast("int"))
+        member = walked.join(nodes, "key")
+        small = member.where("cut = 1").select("key", F.lit(0).alias("block"), "uid")
+        out = small if out is None else out.unionByName(small)
+        large = C.cut(member.where("cut > 1").select("key", "uid", "first", "last", "cut"), "large")
+        if not large.limit(1).count():
+            return out
+        if level < LEVELS:
+            branches = 2 if level == 0 else 1
+            down = large.select("key", "uid").join(reps.select("uid", "tokens"), "uid").mapInArrow(lambda it, n=branches: _deeper(it, n), "key long, uid long")
+            walked = C.cut(down.distinct(), "walked")
+    block = F.pmod(F.xxhash64("uid", "key"), F.col("cut")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("cut") - 1))
+    ends = large.select("key", "first", "last", "cut").distinct().select("key", every.alias("block"), F.array("first", "last").alias("ends"))
+    return out.unionByName(large.select("key", block.alias("block"), "uid")).unionByName(ends.select("key", "block", F.explode("ends").alias("uid"))).distinct()
+
+
 def _node_edges(batches, least: float, ratio: float):
     for (key, _), g in _groups(batches, ("key", "block")):
         tokens = np.frombuffer(b"".join(g["tokens"]), "<u2").reshape(-1, COORDINATES)
@@ -164,8 +202,8 @@ def _node_edges(batches, least: float, ratio: float):
 def _full_sets(batches, k: int):
     for batch in batches:
         sets = [s.astype("<u8").tobytes() for _, s in shingle_sets(batch, k)]
-        keep = [batch.column(c) for c in ("cluster", "blocks", "uid")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(sets, pa.binary())], names=["cluster", "blocks", "uid", "shingles"])
+        keep = [batch.column(c) for c in ("cluster", "uid")]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(sets, pa.binary())], names=["cluster", "uid", "shingles"])
 
 
 def confirmed(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -209,7 +247,7 @@ def confirmed(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _confirm(batches, percent: int):
-    for _, g in _groups(batches, ("cluster", "i", "j")):
+    for _, g in _groups(batches, ("g", "block")):
         order = np.argsort(np.array(g["uid"]))
         uid = [g["uid"][k] for k in order]
         sets = [np.frombuffer(g["shingles"][k], "<u8") for k in order]
@@ -219,7 +257,7 @@ def _confirm(batches, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array([uid[k] for k in a], pa.int64()), pa.array([uid[k] for k in b], pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, trees: int = 14, most_node: int = 20_000, most_shingles: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, trees: int = 14, most_node: int = 4_000, most_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, uid for each row of docs (doc_id, text)."""
     docs = C.with_uid(docs, "text")
     return _near(docs, hasattr(docs, "_scratch"), shingle, percent, trees, most_node, most_shingles)
@@ -232,7 +270,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int
     return rows.select("uid", "row").join(kept, "uid", "left_semi").select("row.*")
 
 
-def _near(docs: DataFrame, numbered: bool, shingle: int, percent: int, trees: int, most_node: int = 20_000, most_shingles: int = 2_000_000) -> DataFrame:
+def _near(docs: DataFrame, numbered: bool, shingle: int, percent: int, trees: int, most_node: int = 4_000, most_shingles: int = 2_000_000) -> DataFrame:
     sig = C.cut(docs.select("uid", "doc_id", "text").mapInArrow(lambda it: _signed(it, shingle, trees), "uid long, doc_id long, n long, s1 long, s2 long, tokens binary, keys array<long>"), "signatures")
     least, ratio = percent / 100 - SLACK, percent / 100
 
@@ -240,27 +278,23 @@ def _near(docs: DataFrame, numbered: bool, shingle: int, percent: int, trees: in
     classes = C.cut(sig.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep")), "classes")
     reps = sig.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
 
-    walked = reps.select("uid", F.explode("keys").alias("key"))
-    nodes = walked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("uid").alias("first"), F.max("uid").alias("last")).where("size > 1").withColumn("cut", F.ceil(F.col("size") / most_node).cast("int"))
-    member = walked.join(nodes, "key").select("key", F.when(F.col("cut") > 1, F.pmod(F.xxhash64("uid"), F.col("cut")).cast("int")).otherwise(0).alias("block"), "uid")
-    ends = nodes.where("cut > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("block"), F.array("first", "last").alias("ends"))
-    ties = ends.select("key", "block", F.explode("ends").alias("uid"))
-    placed = member.unionByName(ties).distinct().join(reps.select("uid", "n", "tokens"), "uid")
-    loose = placed.repartition("key", "block").sortWithinPartitions("key", "block", "uid").mapInArrow(lambda it: _node_edges(it, least, ratio), "a long, b long")
+    placed = _placed(reps.select("uid", F.explode("keys").alias("key")), reps, most_node)
+    loose = placed.join(reps.select("uid", "n", "tokens"), "uid").repartition("key", "block").sortWithinPartitions("key", "block", "uid").mapInArrow(lambda it: _node_edges(it, least, ratio), "a long, b long")
     clusters = C.components(loose).withColumnRenamed("component", "cluster")
 
     sized = clusters.join(reps.select(F.col("uid").alias("id"), "n"), "id")
     blocks = sized.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / most_shingles)).cast("int").alias("blocks"))
     where = C.cut(clusters.join(blocks, "cluster").select(F.col("id").alias("uid"), "cluster", "blocks"), "clusters")
     large = where.where("blocks > 1").limit(1).count()
-    full = where.join(docs.select("uid", "text"), "uid").select("cluster", "blocks", "uid", "text").mapInArrow(lambda it: _full_sets(it, shingle), "cluster long, blocks int, uid long, shingles binary")
+    texts = docs.select("uid", "text")
+
+    def sets_of(part: DataFrame) -> DataFrame:
+        return part.join(texts, "uid").select("cluster", "uid", "text").mapInArrow(lambda it: _full_sets(it, shingle), "cluster long, uid long, shingles binary")
+
+    alone = sets_of(where.where("blocks = 1")).select(F.col("cluster").alias("g"), F.lit(-1).alias("block"), "uid", "shingles")
     if large:
-        own = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
-        other = F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != own)).otherwise(F.array(F.lit(0)))
-        full = full.withColumn("x", F.explode(other)).select("cluster", F.least("x", own).alias("i"), F.greatest("x", own).alias("j"), "uid", "shingles")
-    else:
-        full = full.select("cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), "uid", "shingles")
-    links = full.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda it: _confirm(it, percent), "a long, b long")
+        alone = alone.unionByName(sets_of(where.where("blocks > 1")).join(placed.select(F.col("key").alias("g"), "block", "uid"), "uid").select("g", "block", "uid", "shingles"))
+    links = alone.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(lambda it: _confirm(it, percent), "a long, b long")
     if large:
         found = C.components(links)
     else:  # a cluster's links are all in one place: stars are components already, but for the name
