@@ -252,3 +252,20 @@ def suffix_dedup(docs: DataFrame, length: int = 100, most_segments: int = 50_000
 
 def query(spark, sf_dir):
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same by a table of all windows (DuckDB).
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, (length(h) / 2)::bigint AS n_bytes FROM d),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS win FROM (SELECT doc_id, h, unnest(generate_series(0, n_bytes - 100)) AS i FROM n WHERE n_bytes >= 100)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+runs AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM later)) GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS from_, hi FROM runs),
+kept AS (SELECT doc_id, string_agg(part, '' ORDER BY pos) AS body FROM (
+  SELECT c.doc_id, from_ AS pos, substr(h, (2 * from_ + 1)::bigint, (2 * (lo - from_))::bigint) AS part FROM cuts c JOIN n USING (doc_id)
+  UNION ALL SELECT r.doc_id, r.hi, substr(h, (2 * r.hi + 1)::bigint) FROM (SELECT doc_id, max(hi) AS hi FROM runs GROUP BY doc_id) r JOIN n USING (doc_id)) GROUP BY doc_id),
+s AS (SELECT doc_id, sum(hi - lo)::bigint AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT n.doc_id, n.n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans, sha256(unhex(coalesce(body, h))) AS kept_sha256
+FROM n LEFT JOIN s USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -85,12 +85,12 @@ def ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
 def train(docs: DataFrame, most_documents: int = 2_000, most_scanned: int = 20_000) -> list[float]:
     """The table of ratios() from a sample of docs (doc_id, text)."""
     n = max(docs.count(), 1)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30))
-    part = docs.where(F.col("text").isNotNull()).where(draw < min(1.0, most_scanned / n) * (1 << 30))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("4"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    part = docs.where(F.col("text").isNotNull()).where(draw < min(1.0, most_scanned / n))
     text = F.col("text")
     values = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0))))
     random = part.select(F.explode(values).alias("value")).where("length(value) >= 16")
-    plain = part.where(draw < min(1.0, most_documents / n) * (1 << 30)).where(F.size(values) == 0)
+    plain = part.where(draw < min(1.0, most_documents / n)).where(F.size(values) == 0)
     ordinary = plain.select(F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]{4,}"), F.lit(0))).alias("value")).where("length(value) < 20")
     return ratios(counted(random), counted(ordinary))
 
@@ -134,3 +134,38 @@ def secrets(docs: DataFrame, most_documents: int = 2_000, most_scanned: int = 20
 
 def query(spark, sf_dir):
     return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql_spans(name: str, pattern: str, kind: int, group: int = 0, least: int = 0) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""{name} AS (SELECT doc_id, text, {kind} AS kind, v, s, s + length(m) AS e FROM (SELECT doc_id, text, ms[i] AS m, gs[i] AS v,
+  (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::bigint AS s
+  FROM (SELECT *, unnest(generate_series(1, len(ms))) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, {p}, 0) AS ms, regexp_extract_all(text, {p}, {group}) AS gs, string_split_regex(text, {p}) AS ps FROM d) WHERE len(ms) > 0))
+  WHERE length(v) >= {least})"""
+
+
+def _sql_counts(name: str, source: str) -> str:
+    """Pairs of classes of the strings (column v) of source, and the smoothed model of them."""
+    cls = lambda k: f"instr('{ALPHABET}', substr(v, {k}, 1))"
+    return f"""{name}_n AS (SELECT a, b, count(*)::double AS n FROM (SELECT {cls("i")} AS a, {cls("i + 1")} AS b FROM (SELECT v, unnest(generate_series(1, length(v) - 1)) AS i FROM {source})) GROUP BY a, b),
+{name} AS (SELECT g.a, g.b, ln((coalesce(n.n, 0) + {BACKOFF} * (coalesce(o.n, 0) + 1) / ((SELECT coalesce(sum(n), 0) FROM {name}_n) + {CLASSES})) / (coalesce(r.n, 0) + {BACKOFF})) AS p
+  FROM (SELECT a, unnest(generate_series(0, {CLASSES - 1})) AS b FROM (SELECT unnest(generate_series(0, {CLASSES - 1})) AS a)) g LEFT JOIN {name}_n n ON n.a = g.a AND n.b = g.b
+  LEFT JOIN (SELECT b, sum(n) AS n FROM {name}_n GROUP BY b) o ON o.b = g.b LEFT JOIN (SELECT a, sum(n) AS n FROM {name}_n GROUP BY a) r ON r.a = g.a)"""
+
+
+_NAME = "CASE kind " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(KINDS)) + " END || ':' || s || ':' || e"
+_SOME = f"regexp_matches(text, '{ASSIGN.replace(chr(39), chr(39) * 2)}') OR regexp_matches(text, '{ACCESS}') OR regexp_matches(text, '{HEX}')"
+#: The same in DuckDB, model included.
+SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS text, text IS NULL AS missing, ('0x' || substr(md5('4:' || coalesce(doc_id::varchar, '')), 1, 8))::ubigint::double / 4294967296.0 AS u, (SELECT greatest(count(*), 1) FROM documents) AS total FROM documents),\n"
+    + ",\n".join((_sql_spans("a0", ASSIGN, 0, 2), _sql_spans("k1", ACCESS, 1), _sql_spans("k2", HEX, 2), _sql_spans("c3", CANDIDATE, 3)))
+    + ",\nk0 AS (SELECT * FROM a0 WHERE length(v) >= 6), base AS (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2),\n"
+    + "rnd AS (SELECT v FROM (SELECT * FROM a0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2) JOIN d USING (doc_id) WHERE length(v) >= 16 AND u < least(1.0, 20000.0 / total)),\n"
+    + f"ord AS (SELECT v FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]{{4,}}')) AS v FROM d WHERE NOT missing AND u < least(1.0, 20000.0 / total) AND u < least(1.0, 2000.0 / total) AND NOT ({_SOME})) WHERE length(v) < 20),\n"
+    + _sql_counts("mr", "rnd") + ",\n" + _sql_counts("mo", "ord")
+    + ",\ncand AS (SELECT * FROM c3 WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c3.doc_id AND b.s < c3.e AND c3.s < b.e)),\n"
+    + f"llr AS (SELECT doc_id, kind, s, e, sum(mr.p - mo.p) AS total FROM (SELECT *, instr('{ALPHABET}', substr(v, i, 1)) AS a, instr('{ALPHABET}', substr(v, i + 1, 1)) AS b FROM (SELECT *, unnest(generate_series(1, length(v) - 1)) AS i FROM cand)) JOIN mr USING (a, b) JOIN mo USING (a, b) GROUP BY doc_id, kind, s, e),\n"
+    + "more AS (SELECT * FROM llr WHERE total > 12 AND total / (e - s) > 0.6),\n"
+    + f"list AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) FILTER (kind = 3) AS n3, string_agg({_NAME}, ',' ORDER BY s, kind) FILTER (kind < 3) AS b, string_agg({_NAME}, ',' ORDER BY s, kind) AS x FROM (SELECT doc_id, kind, s, e FROM base UNION ALL SELECT doc_id, kind, s, e FROM more) GROUP BY doc_id)\n"
+    + "SELECT doc_id, coalesce(n0, 0)::bigint AS n_assign, coalesce(n1, 0)::bigint AS n_access, coalesce(n2, 0)::bigint AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(x, '') AS spans, coalesce(n3, 0)::bigint AS n_markov FROM d LEFT JOIN list USING (doc_id)"
+)
