@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsieve.functions.frames import cumulative, melt
 
+#: Ranks in a block that one window may take, in kendall().
+SMALL_BLOCK = 4096
+
 
 def pair_counts(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     """(by, x, y, vx, vy, n) of all pairs x before y: one aggregate over exploded pairs; rows with a null in the pair are left out."""
@@ -95,54 +98,48 @@ def spearman(df: DataFrame, columns: list[str], by: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, columns: list[str], by: str) -> DataFrame:
-    """(by, x, y, tau) tau-b. Distinct (vx, vy) points with counts meet by merging: a task has one table's pair of columns as its distinct points.
+    """(by, x, y, tau) tau-b, exact, without gathering a pair of columns in one task.
 
-    The number of discordant pairs is counted by a merge sort over the points, so the cost is n log n; points are pre-aggregated before they travel.
+    Distinct points get the dense rank of their x. Two points of different x differ first in one bit of their ranks; at that bit's level they lie in the same
+    block, one in its left and one in its right half. So each level counts, by running sums over y inside its blocks, the left points below and above each
+    right point: ranks' bits times distinct points rows in all. Blocks of at most SMALL_BLOCK ranks take one window each, larger ones two-level sums.
     """
-    joint = _number_pairs(df, columns, by).groupBy(by, "x", "y", "vx", "vy").agg(F.count(F.lit(1)).alias("n"))
-
-    def tau(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["vx", "vy"])
-        n = pdf["n"].to_numpy(np.int64)
-        total = int(n.sum())
-        _, ry = np.unique(pdf["vy"].to_numpy(), return_inverse=True)
-        vx = pdf["vx"].to_numpy()
-        tree = [0] * (ry.max() + 2)
-
-        def add(k, v):
-            k += 1
-            while k < len(tree):
-                tree[k] += v
-                k += k & -k
-
-        def upto(k):
-            s, k = 0, k + 1
-            while k > 0:
-                s += tree[k]
-                k -= k & -k
-            return s
-
-        concordant = discordant = seen = at = 0
-        while at < len(vx):
-            end = at
-            while end < len(vx) and vx[end] == vx[at]:
-                below, here = upto(int(ry[end]) - 1), upto(int(ry[end]))
-                concordant += int(n[end]) * below
-                discordant += int(n[end]) * (seen - here)
-                end += 1
-            for k in range(at, end):
-                add(int(ry[k]), int(n[k]))
-                seen += int(n[k])
-            at = end
-        pairs = total * (total - 1) // 2
-        tx = sum(int(c) * (int(c) - 1) // 2 for c in pdf.groupby("vx")["n"].sum())
-        ty = sum(int(c) * (int(c) - 1) // 2 for c in pdf.groupby("vy")["n"].sum())
-        den = ((pairs - tx) * (pairs - ty)) ** 0.5
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "x": [pdf["x"].iloc[0]], "y": [pdf["y"].iloc[0]], "tau": [(concordant - discordant) / den if den else None]})
-
-    return joint.groupBy(by, "x", "y").applyInPandas(tau, f"{by} string, x string, y string, tau double")
+    joint = _number_pairs(df, columns, by).groupBy(by, "x", "y", "vx", "vy").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.concat_ws("|", by, "x", "y"))
+    xs = joint.select("key", "vx").distinct().withColumn("one", F.lit(1).cast("long"))
+    rank = cumulative(xs, "key", "vx", {"rank": "one"}).select("key", "vx", (F.col("rank") - 1).alias("rank"))
+    levels = int(rank.agg(F.max("rank")).first()[0] or 0).bit_length()
+    split = min(levels, SMALL_BLOCK.bit_length() - 1)
+    points = joint.join(rank, ["key", "vx"]).select("key", by, "x", "y", "vy", "rank", "n")
+
+    def halves(first: int, end: int) -> DataFrame:
+        level = F.explode(F.sequence(F.lit(first), F.lit(end - 1)))
+        rows = points.withColumn("level", level).withColumn("block", F.concat_ws("|", "key", "level", F.expr("shiftright(rank, level + 1)")))
+        right = F.expr("shiftright(rank, level) % 2 = 1")
+        return rows.groupBy("key", "block", "vy").agg(F.sum(F.when(~right, F.col("n")).otherwise(0)).alias("l"), F.sum(F.when(right, F.col("n")).otherwise(0)).alias("r"))
+
+    def counted(c: DataFrame) -> DataFrame:
+        """Pairs (concordant, discordant) by key from rows with the running sum of the left half."""
+        totals = c.groupBy("block").agg(F.sum("l").alias("left"))
+        return c.join(totals, "block").groupBy("key").agg(F.sum(F.col("r") * (F.col("upto") - F.col("l"))).alias("con"), F.sum(F.col("r") * (F.col("left") - F.col("upto"))).alias("dis"))
+
+    parts = []
+    if split:
+        w = Window.partitionBy("block").orderBy("vy").rowsBetween(Window.unboundedPreceding, 0)
+        parts.append(counted(halves(0, split).withColumn("upto", F.sum("l").over(w))))
+    if levels > split:
+        parts.append(counted(cumulative(halves(split, levels), "block", "vy", {"upto": "l"})))
+    empty = points.select("key").limit(0).select("key", F.lit(0).cast("long").alias("con"), F.lit(0).cast("long").alias("dis"))
+    for p in parts:
+        empty = empty.unionByName(p)
+    pairs = empty.groupBy("key").agg(F.sum("con").alias("con"), F.sum("dis").alias("dis"))
+    c2 = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    whole = joint.groupBy("key", by, "x", "y").agg(F.sum("n").alias("n"))
+    tx = joint.groupBy("key", "vx").agg(F.sum("n").alias("n")).groupBy("key").agg(c2("n").alias("tx"))
+    ty = joint.groupBy("key", "vy").agg(F.sum("n").alias("n")).groupBy("key").agg(c2("n").alias("ty"))
+    all_ = F.col("n") * (F.col("n") - 1) / 2
+    out = whole.join(tx, "key").join(ty, "key").join(pairs, "key", "left")
+    den = F.sqrt((all_ - F.col("tx")) * (all_ - F.col("ty")))
+    return out.select(by, "x", "y", F.when(den > 0, (F.coalesce("con", F.lit(0)) - F.coalesce("dis", F.lit(0))) / den).alias("tau"))
 
 
 def mutual_information(df: DataFrame, columns: list[str], by: str) -> DataFrame:

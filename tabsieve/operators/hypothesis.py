@@ -131,12 +131,9 @@ def _positions(df: DataFrame, key: str) -> DataFrame:
 
 def descriptive(df: DataFrame, ds: str, numeric: list[str], categorical: list[str]) -> DataFrame:
     """(ds, col, mean, std, mode, mode_share): sample deviation for numbers; the most frequent value (ties: the smallest) for others."""
-    from pyspark.sql import Window
-
     n = melt(df, numeric, [ds]).where("value IS NOT NULL").groupBy(ds, "col").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     c = melt(df, categorical, [ds], "string").where("value IS NOT NULL").groupBy(ds, "col", "value").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy(ds, "col")
-    top = c.withColumn("t", F.sum("k").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("k"), "value"))).where("r = 1")
+    top = c.groupBy(ds, "col").agg(F.sum("k").alias("t"), F.min(F.struct((-F.col("k")).alias("m"), "value")).alias("top")).select(ds, "col", F.col("top.value").alias("value"), (-F.col("top.m")).alias("k"), "t")
     a = n.select(ds, "col", "mean", "std", F.lit(None).cast("string").alias("mode"), F.lit(None).cast("double").alias("mode_share"))
     b = top.select(ds, "col", F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std"), F.col("value").alias("mode"), (F.col("k") / F.col("t")).alias("mode_share"))
     return a.unionByName(b)

@@ -321,3 +321,20 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 300
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_kendall_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [("t", float(rng.randint(0, 40)), float(rng.randint(0, 30))) for _ in range(150)] + [("u", rng.random(), rng.random()) for _ in range(90)] + [("v", 1.0, 2.0), ("v", 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "ds string, m double, n double")
+
+    def plain(p):
+        s = sum(((a[0] > b[0]) - (a[0] < b[0])) * ((a[1] > b[1]) - (a[1] < b[1])) for i, a in enumerate(p) for b in p[:i])
+        x, y = (sum(a[k] != b[k] for i, a in enumerate(p) for b in p[:i]) for k in (0, 1))
+        return s / math.sqrt(x * y) if x * y else None
+
+    want = {g: plain([r[1:] for r in rows if r[0] == g]) for g in "tuv"}
+    for small in (4096, 4):
+        monkeypatch.setattr(A, "SMALL_BLOCK", small)
+        got = {r["ds"]: r["tau"] for r in A.kendall(df, ["m", "n"], "ds").collect()}
+        assert got["v"] is None and all(abs(got[g] - want[g]) < 1e-12 for g in "tu")
