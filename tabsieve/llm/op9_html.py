@@ -287,6 +287,9 @@ def _boilerplate(rng: random.Random) -> str:
             f'<div data-y="d" class="newsletter"><p>{t(6, 15)}</p><form><input></form></div>',
             f'<div data-y="d" class="related"><h3>{t(1, 3)}</h3>{_links(rng, 4)}</div>',
             f'<div data-y="d" class="notice"><p>{t(8, 25)}</p></div>',
+            f'<header data-y="d"><a href="/">{t(1, 3)}</a><p>{t(3, 12)}</p></header>',
+            f'<header data-y="d" class="top"><h2>{t(1, 3)}</h2>{_links(rng, 3)}</header>',
+            f'<footer data-y="d"><p>{t(4, 20)}</p></footer>',
         ]
     )
 
@@ -296,7 +299,7 @@ def made_page(seed: int) -> str:
     rng = random.Random(seed)
     nav = rng.choice(['<nav data-y="d">{}</nav>', '<div data-y="d" class="menu">{}</div>', '<header data-y="d"><h2>Site</h2><nav>{}</nav></header>']).format(_links(rng, rng.randint(3, 9)))
     foot = rng.choice(['<footer data-y="d">{}</footer>', '<div data-y="d" class="footer"><p>{}</p></div>', '<div data-y="d" id="foot">{}</div>']).format("&copy; " + _salad(rng, rng.randint(4, 25)))
-    body = [f"<h1>{_salad(rng, rng.randint(3, 9))}</h1>"]
+    body = [rng.choice(["<h1>{}</h1>"] * 3 + ["<header><h1>{}</h1></header>"]).format(_salad(rng, rng.randint(3, 9)))]
     for _ in range(rng.randint(1, 12)):
         body.append(
             rng.choice(
