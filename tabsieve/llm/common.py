@@ -31,24 +31,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tabsieve/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that cut() has made and nobody has dropped yet.
+_made: dict[str, DataFrame] = {}
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
+    _made[path] = out
     return out
 
 
 def drop(df: DataFrame) -> None:
     """Delete a table made by cut(); no plan may read it any more."""
     path = getattr(df, "_scratch", None)
-    if path:
+    if path and _made.pop(path, None) is not None:
         sc = df.sparkSession.sparkContext
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tables_made() -> set[str]:
+    """The tables of cut() that exist now, for sweep()."""
+    return set(_made)
+
+
+def sweep(keep: DataFrame, since: set[str]) -> None:
+    """Delete the tables made since then but keep, whose plan is cut and needs none of them any more."""
+    for path, df in list(_made.items()):
+        if path not in since and path != keep._scratch:
+            drop(df)
+
+
 def with_uid(docs: DataFrame, *cols: str) -> DataFrame:
     """(uid long, doc_id, *cols): a row key that orders as doc_id does.
 

@@ -127,7 +127,7 @@ def _stars(tokens: np.ndarray, n: np.ndarray, at: np.ndarray, least: float, rati
         while queue and len(todo):
             x = queue.pop()
             same = (tokens[todo] == tokens[x]).mean(1)
-            hit = (same >= least) & (np.minimum(n[todo], n[x]) >= ratio * np.maximum(n[todo], n[x]))
+            hit = (same >= least) & (np.minimum(n[todo], n[x]) >= ratio * np.maximum(n[todo], n[x]) - 1e-6)
             new = todo[hit]
             out += [(y, root) for y in new.tolist()]
             queue += new.tolist()
