@@ -1,7 +1,7 @@
 """From raw documents to token files: toxicity, near copies, benchmark passages, mixing, tokens.
 
 Each stage gets the documents its predecessor kept and returns the columns of documents; the last returns a row for each document in the token files. run() writes each
-stage's result as Parquet in the shared folder and reads it back, so a lost executor costs at most one stage.
+stage's result as Parquet in the shared folder, reads it back and deletes what came before, so a lost executor costs at most one stage.
 """
 
 from __future__ import annotations
@@ -52,6 +52,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = common.tables_made()
     for name, stage in STAGES:
         docs = common.cut(stage(spark, docs, sf_dir), name)
+        common.sweep(docs, since)  # the stage's own tables and its input
     return docs
