@@ -99,7 +99,7 @@ _pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse modulo 2**64."""
     if len(_pow[0]) <= n:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 18)
         for k, base in enumerate((_BASE, _BASE_INV)):
             x = np.full(size, base, np.uint64)
             x[0] = 1

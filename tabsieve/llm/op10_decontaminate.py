@@ -25,7 +25,7 @@ from tabsieve.llm import common as C
 
 SEED = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
-SUB_BYTES = 1 << 20
+SUB_BYTES = 1 << 18
 FILTER_BITS = 22
 U64 = np.uint64
 

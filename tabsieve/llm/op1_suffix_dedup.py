@@ -30,7 +30,7 @@ from tabsieve.llm import common as C
 from tabsieve.llm import suffix
 
 GRAM = 32
-SUB_BYTES = 1 << 20
+SUB_BYTES = 1 << 18
 LONG = 1 << 22
 MAX_BITS = 24
 U64 = np.uint64

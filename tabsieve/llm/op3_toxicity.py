@@ -67,7 +67,8 @@ UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123)) + bytes(range(0xC3, 0xF5))
 ODD = b"0123456789@$*!|+"
 MIXED = re.compile(r"[^\W\d_][0-9@$*!|+][^\W\d_]")
-CACHE = 300_000
+CACHE = 100_000
+ROWS = 512
 
 
 class Lexicon:
@@ -165,11 +166,11 @@ class Model:
     def __init__(self, lexicon, boosted, calibrated, constant=None):
         self.lexicon, self.boosted, self.calibrated, self.constant = lexicon, boosted, calibrated, constant
 
-    def predict(self, texts: list) -> np.ndarray:
+    def predict(self, texts: pa.Array) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        x = np.array([features(t, self.lexicon) for t in texts], float).reshape(len(texts), N_FEATURES)
-        return np.clip(self.calibrated(self.boosted.predict(x)), 0, 1)
+        x = [features(t, self.lexicon) for at in range(0, len(texts), ROWS) for t in texts.slice(at, ROWS).to_pylist()]
+        return np.clip(self.calibrated(self.boosted.predict(np.array(x, float).reshape(len(texts), N_FEATURES))), 0, 1)
 
 
 def train(labelled: DataFrame, most_rows: int = 12_000, most_words: int = 1_000) -> Model:
@@ -217,7 +218,7 @@ def train(labelled: DataFrame, most_rows: int = 12_000, most_words: int = 1_000)
 
 def _scored(batches, model: Model, keep: list[str]):
     for batch in batches:
-        score = model.predict(batch.column("text").to_pylist())
+        score = model.predict(batch.column("text"))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
 
@@ -242,7 +243,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) ->
 
     def kept(batches):
         for batch in batches:
-            yield batch.filter(pa.array(model.predict(batch.column("text").to_pylist()) < 0.5))
+            yield batch.filter(pa.array(model.predict(batch.column("text")) < 0.5))
 
     return docs.mapInArrow(kept, docs.schema)
 

@@ -27,7 +27,7 @@ from tabsieve.llm import common as C
 from tabsieve.llm import sst
 
 END = 2
-CACHE = 700_000
+CACHE = 450_000
 JOIN = 1 << 16
 MARKS = ".,"
 
@@ -154,17 +154,11 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
 
 
-def batches_of(batch, most: int = 1 << 20):
-    """Rows of a batch in parts of about that many characters."""
-    ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-    at = 0
-    while at < len(ids):
-        end, size = at, 0
-        while end < len(ids) and (end == at or size < most):
-            size += len(texts[end] or "")
-            end += 1
-        yield ids[at:end], [t or "" for t in texts[at:end]]
-        at = end
+def batches_of(batch, rows: int = 256):
+    """Rows of a batch, a few at a time, as Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
 
 
 def _write(batches, folder: str, tokenizer_json: str, end_id: int):

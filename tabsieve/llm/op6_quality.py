@@ -24,7 +24,7 @@ from tabsieve.llm import trees
 
 BITS = 18
 GRAM = 4
-SUB_BYTES = 1 << 20
+SUB_BYTES = 1 << 18
 LEAST_WORDS = 10
 REPEAT_WINDOW = 5
 SYMBOLS = np.zeros(256, bool)

@@ -33,7 +33,7 @@ SLACK = 0.2
 SMALL = 256
 DEEP = 6
 LEVELS = 4
-SUB_BYTES = 1 << 20
+SUB_BYTES = 1 << 18
 U64 = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, COORDINATES, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -100,7 +100,7 @@ def _groups(batches, keys: tuple[str, ...]):
     """Whole groups of equal keys from batches that come ordered by them: (keys, columns as lists)."""
     held: dict[str, list] = {}
     current = None
-    for batch in batches:
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
         cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
         ids = list(zip(*(cols[k] for k in keys)))
         at = 0
