@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -35,11 +37,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 _made: dict[str, DataFrame] = {}
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a Parquet table in the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
+def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
+
+    release: have the driver collect its garbage, so that the shuffle files behind df, which nothing needs any more, go now and not some time later.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = new_path(spark, name)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    for _ in range(2 * release):  # the second time, what the first has set free on the Python side
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+    out = spark.read.schema(schema).parquet(path)
     out._scratch = path
     _made[path] = out
     return out

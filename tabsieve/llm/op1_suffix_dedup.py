@@ -233,8 +233,9 @@ def removed_spans(docs: DataFrame, length: int = 100, most_segments: int = 50_00
 def suffix_dedup(docs: DataFrame, length: int = 100, most_segments: int = 50_000, batch_bytes: int = 1 << 19) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (see the module's text)."""
     docs = C.with_uid(docs, "text")
-    per = C.cut(removed_spans(docs, length, most_segments, batch_bytes), "segments")
-    texts = docs.select("uid", "text")
+    numbered = hasattr(docs, "_scratch")
+    per = C.cut(removed_spans(docs, length, most_segments, batch_bytes), "segments", release=True)
+    texts = docs.select("uid", "text").where("uid IS NOT NULL")  # the same plan in both joins: the texts are shuffled once
     bodies = (
         texts.join(per.where("size(wanted) > 0").select("uid", "wanted"), "uid")
         .select("uid", "text", "wanted")
@@ -243,11 +244,15 @@ def suffix_dedup(docs: DataFrame, length: int = 100, most_segments: int = 50_000
     windows = bodies.repartition("g").sortWithinPartitions("g", "uid", "a").mapInArrow(lambda it: _sorted_groups(it, length, batch_bytes), "uid long, lo long, hi long")
     borders = windows.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
     spans = per.select("uid", "spans").join(borders, "uid", "left").select("uid", F.concat("spans", F.coalesce("more", F.expr("array()"))).alias("spans"))
-    return (
-        docs.join(spans, "uid", "left")
-        .select("doc_id", "text", "spans")
+    out = (
+        texts.join(spans, "uid", "left")
+        .select(F.col("uid").alias("doc_id"), "text", "spans")
         .mapInArrow(_result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
+    if numbered:
+        ids = docs.select(F.col("uid").alias("_uid"), F.col("doc_id").cast("long").alias("_id"))
+        out = out.join(ids, F.col("doc_id") == F.col("_uid")).select(F.col("_id").alias("doc_id"), *out.columns[1:])
+    return out
 
 
 def query(spark, sf_dir):
