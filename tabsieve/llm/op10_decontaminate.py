@@ -1,14 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman alignment scores the passages.
 
-Words are runs of letters and digits in lower case (ASCII punctuation separates). A first pass counts, over all documents, in how many documents each
-n-gram of the test items occurs; grams far more frequent than the rarer ones of their item are no seeds (frequent phrases), but an item keeps all grams about
-as frequent as its rare ones, so an item copied into very many documents keeps its seeds. A second pass finds seeds in each document, gathers the passages
-around them, and aligns each with the item, word by word (match 2, mismatch -1, gap -1). The score is the best alignment's share of a perfect one.
-A document is contaminated if an item scores `least_score` or more.
+Words are runs of letters and digits in lower case (ASCII punctuation separates). Every n-gram of an item is a seed, however frequent it is. One pass finds
+the seeds in each document, gathers the passages around them, and aligns each with the item, word by word (match 2, mismatch -1, gap -1). The score is the
+best alignment's share of a perfect one. The share of the item's words that occur in a passage bounds its score from above; a passage is left unaligned only
+if this bound is under `least_score` and under the document's best score, so no result depends on it. A document is contaminated if an item scores
+`least_score` or more.
 
-Distribution: both passes are narrow; the first sends one count for each gram and batch to a small aggregate. Nothing of a document is shuffled or
-collected. The items go to the executors in blocks of at most `most_words` words, each block being another pass, so their size is bounded whatever the
-benchmark.
+Distribution: the pass is narrow; nothing of a document is shuffled or collected. The items go to the executors in blocks of at most `most_words` words, each
+block being another pass, so their size is bounded whatever the benchmark.
 
 Defined results: null and empty texts match nothing; items of fewer than `least_words` words are ignored, as are items without id; items shorter than
 a seed are one seed as a whole; null or repeated doc_ids are judged row by row; ties go to the smallest item_id; an empty table gives no rows.
@@ -27,6 +26,7 @@ SEED = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 SUB_BYTES = 1 << 18
 FILTER_BITS = 22
+MOST_PAIRS = 1 << 20
 U64 = np.uint64
 
 #: Bytes as they count: letters in lower case, ASCII punctuation and control characters as spaces.
@@ -83,6 +83,9 @@ class Bench:
             n = min(seed, len(word))
             h, at = grams(word, row, n)
             per.setdefault(n, []).append((h, np.full(len(h), k), at))
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.known, self.codes = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]), return_inverse=True)
         self.tables = {}
         for n, parts in per.items():
             h, item, at = (np.concatenate(x) for x in zip(*parts))
@@ -105,53 +108,70 @@ class Bench:
                 same = keys[k] == h[hit]
                 yield n, k[same], at[hit[same]]
 
-    def keep_rare(self, counts: dict[tuple[int, int], int], least: int, factor: float) -> "Bench":
-        """Drop the grams that occur in more documents than least and than factor times their item's lower quartile."""
-        for n, (keys, first, item, at, _) in list(self.tables.items()):
-            gram = np.repeat(np.arange(len(keys)), np.diff(first))
-            df = np.array([counts.get((n, int(k)), 0) for k in np.arange(len(keys))], float)[gram]
-            if not len(item):
-                continue
-            order = np.lexsort((df, item))
-            start = np.flatnonzero(np.r_[True, item[order][1:] != item[order][:-1]])
-            size = np.diff(np.append(start, len(item)))
-            quartile = np.zeros(len(self.ids))
-            quartile[item[order][start]] = df[order][start + size // 4]
-            keep = df <= np.maximum(least, factor * quartile[item])
-            self._table(n, keys[gram][keep], item[keep], at[keep])
-        return self
-
-    def scores(self, word: np.ndarray, row: np.ndarray, n_rows: int) -> list[list[tuple[float, int]]]:
-        """(score, item_id) of the items with a seed in each row."""
+    def scores(self, word: np.ndarray, row: np.ndarray, n_rows: int, least_score: float = 0.0) -> list[list[tuple[float, int]]]:
+        """(score, item_id) of the items with a seed in each row: all that reach least_score, and the best."""
         out: list = [[] for _ in range(n_rows)]
-        found = []
+        found, load = [], np.zeros(n_rows, np.int64)
         for n, gram, at in self.find(word, row):
-            _, first, item, place, _ = self.tables[n]
+            first = self.tables[n][1]
             many = first[gram + 1] - first[gram]
-            k = np.repeat(first[gram], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            found.append((np.repeat(row[at], many), item[k], np.repeat(at, many) - place[k]))
+            found.append((n, row[at], gram, at, many))
+            load += np.bincount(row[at], many, n_rows).astype(np.int64)
         if not found:
             return out
-        r, item, begin = (np.concatenate(x) for x in zip(*found))
-        if not len(r):  # only grams that are no seeds any more
-            return out
+        part = np.cumsum(load) // MOST_PAIRS  # whole rows, about MOST_PAIRS seeds at a time
+        cuts = np.searchsorted(row, np.arange(n_rows + 1))
+        for p in np.unique(part[load > 0]).tolist():
+            self._aligned([[n, *(x[part[r] == p] for x in (r, *rest))] for n, r, *rest in found], word, cuts, least_score, out)
+        return out
+
+    def _aligned(self, found: list, word: np.ndarray, cuts: np.ndarray, least_score: float, out: list) -> None:
+        places = []
+        for n, r, gram, at, many in found:
+            _, first, item, place, _ = self.tables[n]
+            k = np.repeat(first[gram], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            places.append((np.repeat(r, many), item[k], np.repeat(at, many) - place[k]))
+        r, item, begin = (np.concatenate(x) for x in zip(*places))
         order = np.lexsort((begin, item, r))
         r, item, begin = r[order], item[order], begin[order]
-        sizes = np.array([len(w) for w in self.words])
-        slack = np.maximum(4, sizes[item] // 3)
-        lo, hi = begin - slack, begin + sizes[item] + slack
+        slack = np.maximum(4, self.sizes[item] // 3)
+        lo, hi = begin - slack, begin + self.sizes[item] + slack
         new = np.r_[True, (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])]
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(r)) - 1
-        cuts = np.searchsorted(row, np.arange(n_rows + 1))
+        r, item = r[first], item[first]
+        lo, hi = np.maximum(lo[first], cuts[r]), np.minimum(hi[last], cuts[r + 1])
+        bound = self._bounds(word, item, lo, hi)
+        order = np.lexsort((-bound, r))
         best: dict[tuple[int, int], float] = {}
-        for a, b in zip(first.tolist(), last.tolist()):
-            x, i = int(r[a]), int(item[a])
-            passage = word[max(int(lo[a]), cuts[x]) : min(int(hi[b]), cuts[x + 1])]
-            best[x, i] = max(best.get((x, i), 0.0), align(self.words[i], passage))
+        top: dict[int, float] = {}
+        for x, i, a, b, most in zip(*(v[order].tolist() for v in (r, item, lo, hi, bound))):
+            if most < least_score and most < top.get(x, 0.0):
+                continue
+            s = align(self.words[i], word[a:b])
+            best[x, i] = max(best.get((x, i), 0.0), s)
+            top[x] = max(top.get(x, 0.0), s)
         for (x, i), s in best.items():
             out[x].append((s, self.ids[i]))
-        return out
+
+    def _bounds(self, word: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Share of the item's words that occur in word[lo:hi]: no alignment there scores more."""
+        k = np.minimum(np.searchsorted(self.known, word), len(self.known) - 1)
+        at = np.flatnonzero(self.known[k] == word)
+        width = len(word) + 1
+        seen = np.append(np.sort(k[at] * width + at), np.iinfo(np.int64).max)
+        size = self.sizes[item]
+        share, done = np.zeros(len(item)), 0
+        ends = np.cumsum(size)
+        while done < len(item):
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + MOST_PAIRS, "right")))
+            part = slice(done, upto)
+            many, owner = size[part], np.repeat(np.arange(upto - done), size[part])
+            code = self.codes[np.repeat(self.starts[item[part]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)] * width
+            next_ = seen[np.searchsorted(seen, code + lo[part][owner])]
+            share[part] = np.bincount(owner, next_ < code + hi[part][owner], upto - done) / many
+            done = upto
+        return share
 
 
 def _parts(batch):
@@ -160,23 +180,11 @@ def _parts(batch):
         yield hi - lo, *folded(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
-def _document_counts(batches, bench: Bench):
-    for batch in batches:
-        total: dict[int, np.ndarray] = {n: np.zeros(len(t[0]), np.int64) for n, t in bench.tables.items()}
-        for _, word, row in _parts(batch):
-            for n, gram, at in bench.find(word, row):
-                pairs = np.unique(row[at] * len(total[n]) + gram)
-                np.add.at(total[n], pairs % len(total[n]), 1)
-        for n, c in total.items():
-            k = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int32)), pa.array(k), pa.array(c[k])], names=["n", "gram", "df"])
-
-
 def _matched(batches, bench: Bench, least_score: float, keep: list[str]):
     for batch in batches:
         score, item, many = [], [], []
         for n_rows, word, row in _parts(batch):
-            for found in bench.scores(word, row, n_rows):
+            for found in bench.scores(word, row, n_rows, least_score):
                 hits = [x for x in found if x[0] >= least_score]
                 top = min(found, key=lambda x: (-x[0], x[1]), default=(0.0, None))
                 score.append(top[0])
@@ -195,14 +203,12 @@ def blocks(benchmark: DataFrame, most_words: int):
         yield sorted((r["item_id"], r["text"]) for r in part.collect())
 
 
-def match(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, seed: int = SEED, least_words: int = 3, rare_least: int = 32, rare_factor: float = 8.0, most_words: int = 2_000_000) -> DataFrame:
+def match(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, seed: int = SEED, least_words: int = 3, most_words: int = 2_000_000) -> DataFrame:
     """docs with score (of the best item), item_id (the best contaminating item or null) and n_items (contaminating items)."""
     keep, schema = docs.columns, docs.schema
     out = None
     for items in blocks(benchmark, most_words):
         bench = Bench(items, seed, least_words)
-        counted = docs.select("text").mapInArrow(lambda it, b=bench: _document_counts(it, b), "n int, gram long, df long").groupBy("n", "gram").agg(F.sum("df").alias("df"))
-        bench.keep_rare({(r["n"], r["gram"]): r["df"] for r in counted.collect()}, rare_least, rare_factor)
         if out is None:
             base, cols = docs, keep
         else:  # further blocks see the results so far

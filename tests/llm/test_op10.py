@@ -87,3 +87,32 @@ def test_documents_with_frequent_phrases_only(spark):
     docs = [(k, f"x{k} the of and to y{k}") for k in range(200)]
     out = B.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert len(out) == 200 and not any(r.contaminated for r in out)
+
+
+def test_an_edited_passage_in_hundreds_of_documents_is_found(spark):
+    rng = random.Random(11)
+    w = [f"w{k}" for k in range(39)]
+    other, third = [f"v{k}" for k in range(16)], [f"u{k}" for k in range(39)]
+    edited, short = list(w), list(other)
+    for k in (5, 15, 26):
+        edited[k] = "changed"
+    short[7] = "changed"
+    docs = [(k, " ".join([f"a{rng.random()}", *(edited if k % 2 else short), f"b{k}"])) for k in range(600)]
+    docs += [(k, " ".join([f"a{k}", *third[:22]])) for k in range(600, 700)]
+    out = B.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(w)), (2, " ".join(other)), (3, " ".join(third))], "item_id long, text string")).collect()
+    assert {r.doc_id: r.item_id for r in out if r.contaminated} == {k: 3 if k >= 600 else 1 if k % 2 else 2 for k in range(700)}
+
+
+def test_bounds_leave_out_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 12, rng.integers(4, 20)))) for k in range(60)]
+    bench = B.Bench(items, 2, 3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 16, rng.integers(0, 60))).encode() for _ in range(40)]
+    word, row = B.folded(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])])
+    every = bench.scores(word, row, 40)
+    for most_pairs in (1 << 20, 50):
+        monkeypatch.setattr(B, "MOST_PAIRS", most_pairs)
+        some = bench.scores(word, row, 40, 0.6)
+        for a, b in zip(every, some):
+            assert {x for x in a if x[0] >= 0.6} == {x for x in b if x[0] >= 0.6}
+            assert min(a, key=lambda x: (-x[0], x[1]), default=None) == min(b, key=lambda x: (-x[0], x[1]), default=None)
