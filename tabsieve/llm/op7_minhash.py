@@ -3,13 +3,14 @@
 1. One pass over the texts makes each document's set of word shingles (64-bit hashes) and keeps of it the size, a 128-bit digest and `COORDINATES`
    minwise tokens. Documents with equal sets are one class from here on; its smallest row stands for it.
 2. Trees. In each of `trees` independent trees a class walks down two levels; at every node the path picks the coordinate whose minwise token chooses the
-   branch. Two sets of similarity s stay together with probability s for a level. Nodes are gathered by key; a node of more than `SMALL` classes branches on
-   inside its task until it is small, stops shrinking, or is deep; then its classes are compared exhaustively by their tokens. A node of more than `most_node`
-   classes branches on before it is gathered; a group that stays that large, agreeing almost everywhere, is dealt out in blocks by hash, each with the node's
-   first and last class, which tie similar blocks together. What comes out is not pairs but, for each node, the loosely similar classes as stars (agreement within `SLACK` of the threshold, sizes that allow the threshold).
+   branch. Two sets of similarity s stay together with probability s for a level. Nodes are gathered by key, and any two classes of a node are compared by
+   their tokens unless they are connected already. In a node of more than `SMALL` classes, branching on inside the task connects most of them first. A node of
+   more than `most_node` classes is dealt out in blocks by hash, each with the node's first and last class, which tie similar blocks together; the classes
+   that are then not connected with the node's largest cluster meet all other blocks of the node. What comes out is not pairs but, for each node, the
+   loosely similar classes as stars (agreement within `SLACK` of the threshold, sizes that allow the threshold).
 3. The stars' connected components are clusters. Only classes in clusters get their full sets (second pass). Sets of one cluster meet in one task if they
-   have up to `most_shingles` shingles in all; those of a larger cluster meet in the trees' nodes again. There, every two sets that are not yet connected are
-   compared exactly (size of the intersection, 100 * common >= percent * union). Connected ones need no comparison, so a large group of copies costs one
+   have up to `most_shingles` shingles in all; those of a larger cluster meet in the trees' nodes again (and in all pairs of blocks of a dealt node that are not
+   yet connected). There, every two sets that are not yet connected are compared exactly (size of the intersection, 100 * common >= percent * union). Connected ones need no comparison, so a large group of copies costs one
    comparison a copy.
 4. Components of the confirmed links, spread to all members of each class.
 
@@ -32,7 +33,6 @@ COORDINATES = 64
 SLACK = 0.2
 SMALL = 256
 DEEP = 6
-LEVELS = 4
 SUB_BYTES = 1 << 18
 U64 = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, COORDINATES, dtype=np.uint64) * U64(2) + U64(1)
@@ -152,51 +152,104 @@ def _branch(tokens, n, at, path: int, depth: int, least, ratio, out) -> None:
                 _branch(tokens, n, child, seed ^ int(tokens[child[0], seed % COORDINATES]), depth + 1, least, ratio, out)
 
 
-def _deeper(batches, branches: int):
-    """Each member of a large node one level down, along `branches` coordinates that the node's path picks."""
-    for batch in batches:
-        key, uid = batch.column("key").to_numpy().astype(np.uint64), batch.column("uid").to_numpy()
-        tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<u2").reshape(-1, COORDINATES)
-        for b in range(branches):
-            path = C.mix(key + U64(b + 1))
-            chosen = tokens[np.arange(len(key)), (path % U64(COORDINATES)).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(C.mix(path ^ chosen.astype(np.uint64)).astype(np.int64)), pa.array(uid)], names=["key", "uid"])
+def _across(tokens, n, label, probes, base, least: float, ratio: float, out: list) -> None:
+    """Compare probes with base by tokens where their labels differ; append one (row, row) for each two labels found similar and merge them."""
+    t, nb = np.ascontiguousarray(tokens[base].T), n[base]
+    lb = label[base]
+    for x in probes.tolist():
+        own = label[x]
+        same = (t == tokens[x][:, None]).sum(0, dtype=np.uint8) / COORDINATES
+        hit = np.flatnonzero((same >= least) & (lb != own) & (np.minimum(nb, n[x]) >= ratio * np.maximum(nb, n[x]) - 1e-6))
+        if len(hit):
+            old, at = np.unique(lb[hit], return_index=True)
+            out += [(int(base[hit[k]]), x) for k in at.tolist()]
+            lb = np.where(np.isin(lb, old), own, lb)
+            label[np.isin(label, old)] = own
+
+
+def _labels(n: int, links: list) -> np.ndarray:
+    """The stars' components: a label for each of n rows."""
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    return np.array([find(x) for x in range(n)])
+
+
+def _node(tokens, n, path: int, least: float, ratio: float) -> list:
+    """Links that connect all loosely similar rows of a node."""
+    out: list = []
+    every = np.arange(len(tokens))
+    _branch(tokens, n, every, path, 0, least, ratio, out)
+    if len(tokens) > SMALL:  # branching on may have parted similar rows
+        label = _labels(len(tokens), out)
+        names, sizes = np.unique(label, return_counts=True)
+        _across(tokens, n, label, np.flatnonzero(label != names[sizes.argmax()]), every, least, ratio, out)
+    return out
 
 
-def _placed(walked: DataFrame, reps: DataFrame, most_node: int) -> DataFrame:
-    """(key, block, uid): members of all nodes of two or more classes.
+def _placed(walked: DataFrame, most_node: int) -> tuple[DataFrame, DataFrame | None]:
+    """(key, block, uid): members of all nodes of two or more classes; and (key, cut, uid) of the nodes of more than most_node classes, if any.
 
-    Nodes of more than most_node classes branch on, first along two coordinates, then along one. What is still larger after LEVELS levels is a group that
-    agrees almost everywhere: it is dealt out in blocks by a hash, and each block also gets the node's first and last class as ties.
+    The latter are dealt out in `cut` blocks by a hash, and each block also gets the node's first and last class as ties; _rest() pairs the blocks.
     """
-    out = None
-    for level in range(LEVELS + 1):
-        nodes = walked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("uid").alias("first"), F.max("uid").alias("last")).where("size > 1").withColumn("cut", F.ceil(F.col("size") / most_node).cast("int"))
-        member = walked.join(nodes, "key")
-        small = member.where("cut = 1").select("key", F.lit(0).alias("block"), "uid")
-        out = small if out is None else out.unionByName(small)
-        large = C.cut(member.where("cut > 1").select("key", "uid", "first", "last", "cut"), "large")
-        if not large.limit(1).count():
-            return out
-        if level < LEVELS:
-            branches = 2 if level == 0 else 1
-            down = large.select("key", "uid").join(reps.select("uid", "tokens"), "uid").mapInArrow(lambda it, n=branches: _deeper(it, n), "key long, uid long")
-            walked = C.cut(down.distinct(), "walked")
-    block = F.pmod(F.xxhash64("uid", "key"), F.col("cut")).cast("int")
+    nodes = walked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("uid").alias("first"), F.max("uid").alias("last")).where("size > 1").withColumn("cut", F.ceil(F.col("size") / most_node).cast("int"))
+    member = walked.join(nodes, "key")
+    small = member.where("cut = 1").select("key", F.lit(0).alias("block"), "uid")
+    large = C.cut(member.where("cut > 1").select("key", "uid", "first", "last", "cut"), "large")
+    if not large.limit(1).count():
+        return small, None
     every = F.explode(F.sequence(F.lit(0), F.col("cut") - 1))
     ends = large.select("key", "first", "last", "cut").distinct().select("key", every.alias("block"), F.array("first", "last").alias("ends"))
-    return out.unionByName(large.select("key", block.alias("block"), "uid")).unionByName(ends.select("key", "block", F.explode("ends").alias("uid"))).distinct()
+    dealt = large.select("key", _block("cut").alias("block"), "uid").unionByName(ends.select("key", "block", F.explode("ends").alias("uid"))).distinct()
+    return small.unionByName(dealt), large.select("key", "cut", "uid")
+
+
+def _block(cut: str):
+    return F.pmod(F.xxhash64("uid", "key"), F.col(cut)).cast("int")
+
+
+def _rest(large: DataFrame, known: DataFrame, most_node: int) -> DataFrame:
+    """(key, block, other, uid, label, probe): each block of a large node with each block of its members (probes) outside the node's largest component.
+
+    known is (id, component). Two members that are not connected meet in one group, at least one of them as a probe.
+    """
+    labelled = C.cut(large.join(known.select(F.col("id").alias("uid"), "component"), "uid", "left").select("key", "cut", "uid", F.coalesce("component", "uid").alias("label")), "labelled")
+    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    open_ = labelled.join(main.withColumn("parts", F.ceil(F.col("others") / most_node).cast("int")), "key")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    base = open_.select("key", _block("cut").alias("block"), upto("parts").alias("other"), "uid", "label", F.lit(False).alias("probe"))
+    probes = open_.where("label <> main").select("key", upto("cut").alias("block"), _block("parts").alias("other"), "uid", "label", F.lit(True).alias("probe"))
+    return base.unionByName(probes)
+
+
+def _edges(pairs):
+    a, b = zip(*pairs)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _node_edges(batches, least: float, ratio: float):
     for (key, _), g in _groups(batches, ("key", "block")):
         tokens = np.frombuffer(b"".join(g["tokens"]), "<u2").reshape(-1, COORDINATES)
-        found: list = []
-        _branch(tokens, np.array(g["n"]), np.arange(len(tokens)), key & 0x7FFFFFFF, 0, least, ratio, found)
-        pairs = {(g["uid"][a], g["uid"][b]) for a, b in found}
+        pairs = {(g["uid"][a], g["uid"][b]) for a, b in _node(tokens, np.array(g["n"]), key & 0x7FFFFFFF, least, ratio)}
         if pairs:
-            a, b = zip(*pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield _edges(pairs)
+
+
+def _rest_edges(batches, least: float, ratio: float):
+    for _, g in _groups(batches, ("key", "block", "other")):
+        tokens = np.frombuffer(b"".join(g["tokens"]), "<u2").reshape(-1, COORDINATES)
+        probe, found = np.array(g["probe"]), []
+        _across(tokens, np.array(g["n"]), np.array(g["label"]), np.flatnonzero(probe), np.flatnonzero(~probe), least, ratio, found)
+        if found:
+            yield _edges({(g["uid"][a], g["uid"][b]) for a, b in found})
 
 
 def _full_sets(batches, k: int):
@@ -257,6 +310,37 @@ def _confirm(batches, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array([uid[k] for k in a], pa.int64()), pa.array([uid[k] for k in b], pa.int64())], names=["a", "b"])
 
 
+def _rest_confirm(batches, percent: int):
+    """Exact links between probes and the others of a group where their labels differ, one for each two labels."""
+    for _, g in _groups(batches, ("key", "block", "other")):
+        probe, label = np.array(g["probe"]), np.array(g["label"])
+        base = np.flatnonzero(~probe)
+        if not len(base):
+            continue
+        sets = [np.frombuffer(x, "<u8") for x in g["shingles"]]
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        sizes = np.array([len(x) for x in sets])
+        ptr = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.concatenate([ids[ptr[r] : ptr[r + 1]] for r in base.tolist()])
+        lptr, lb, nb = np.cumsum(sizes[base]) - sizes[base], label[base], sizes[base]
+        mark = np.zeros(ids.max(initial=-1) + 1, bool)
+        pairs = []
+        for x in np.flatnonzero(probe).tolist():
+            mine = ids[ptr[x] : ptr[x + 1]]
+            mark[mine] = True
+            common = np.add.reduceat(mark[flat], lptr, dtype=np.int64)
+            mark[mine] = False
+            hit = np.flatnonzero((lb != label[x]) & (100 * common >= percent * (nb + sizes[x] - common)))
+            if len(hit):
+                own = label[x]
+                old, at = np.unique(lb[hit], return_index=True)
+                pairs += [(g["uid"][base[hit[k]]], g["uid"][x]) for k in at.tolist()]
+                lb = np.where(np.isin(lb, old), own, lb)
+                label[np.isin(label, old)] = own
+        if pairs:
+            yield _edges(pairs)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, trees: int = 14, most_node: int = 4_000, most_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, uid for each row of docs (doc_id, text)."""
     docs = C.with_uid(docs, "text")
@@ -278,9 +362,14 @@ def _near(docs: DataFrame, numbered: bool, shingle: int, percent: int, trees: in
     classes = C.cut(sig.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep")), "classes")
     reps = sig.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
 
-    placed = _placed(reps.select("uid", F.explode("keys").alias("key")), reps, most_node)
+    placed, oversized = _placed(reps.select("uid", F.explode("keys").alias("key")), most_node)
     loose = placed.join(reps.select("uid", "n", "tokens"), "uid").repartition("key", "block").sortWithinPartitions("key", "block", "uid").mapInArrow(lambda it: _node_edges(it, least, ratio), "a long, b long")
-    clusters = C.components(loose).withColumnRenamed("component", "cluster")
+    known = C.components(loose)
+    group = ("key", "block", "other")
+    if oversized is not None:
+        more = _rest(oversized, known, most_node).join(reps.select("uid", "n", "tokens"), "uid").repartition(*group).sortWithinPartitions(*group, "uid").mapInArrow(lambda it: _rest_edges(it, least, ratio), "a long, b long")
+        known = C.components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    clusters = known.withColumnRenamed("component", "cluster")
 
     sized = clusters.join(reps.select(F.col("uid").alias("id"), "n"), "id")
     blocks = sized.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / most_shingles)).cast("int").alias("blocks"))
@@ -297,6 +386,11 @@ def _near(docs: DataFrame, numbered: bool, shingle: int, percent: int, trees: in
     links = alone.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(lambda it: _confirm(it, percent), "a long, b long")
     if large:
         found = C.components(links)
+        if oversized is not None:
+            inside = oversized.join(where.where("blocks > 1").select("uid"), "uid", "left_semi")
+            texted = sets_of(where.where("blocks > 1")).select("uid", "shingles")
+            more = _rest(inside, found, most_node).join(texted, "uid").repartition(*group).sortWithinPartitions(*group, "uid").mapInArrow(lambda it: _rest_confirm(it, percent), "a long, b long")
+            found = C.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     else:  # a cluster's links are all in one place: stars are components already, but for the name
         links = C.cut(links, "links")
         named = links.groupBy("b").agg(F.min("a").alias("m")).select("b", F.least("b", "m").alias("component"))

@@ -85,3 +85,32 @@ def test_large_nodes_branch_on():
         assert a // 50 == b // 50
         groups[a // 50].update((a, b))
     assert sum(map(len, groups.values())) > 0.9 * len(tokens)
+
+
+def test_links_between_different_texts_of_a_template_in_a_dealt_node(spark):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template = [word() for _ in range(50)]
+    rows = []
+    for i in range(150):
+        own = [word() for _ in range(9)]
+        rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + own[:5] + [word() for _ in range(4)]))]
+    truth = brute(rows, percent=86)
+    keys = [set(M.tree_keys(M.minwise(s), 2)) for _, s in M.shingle_sets(pa.record_batch({"text": [t for _, t in rows]}), 3)]
+    meet = [i for i in range(0, 300, 2) if keys[i] & keys[i + 1] and truth[i][1] == truth[i + 1][1]]
+    assert len(meet) > 100
+    out = got(M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=86, trees=2, most_node=20, most_shingles=1_000))
+    assert [i for i in meet if out[i][1] != out[i + 1][1]] == []
+
+
+def test_large_nodes_part_no_similar_rows():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    tokens = np.repeat(rng.integers(0, 2**16, (300, M.COORDINATES)), 2, 0)
+    tokens = np.where(rng.random(tokens.shape) < 0.12, rng.integers(0, 2**16, tokens.shape), tokens).astype("<u2")
+    agree = (tokens[::2] == tokens[1::2]).mean(1) >= 0.65
+    label = M._labels(600, M._node(tokens, np.full(600, 100), 12345, 0.65, 0.85))
+    assert agree.sum() > 250 and ((label[::2] == label[1::2]) == agree).all()
