@@ -6,7 +6,8 @@ How it is distributed:
    distance, so all copies of a window meet under the hash of their anchor. Neighbouring windows with one anchor form a segment; there is one
    narrow row (hash, digest, document, position) for about 35 bytes of text. Copies of a segment inside one Arrow batch are settled at once,
    which is the pre-aggregation that keeps hot anchors from travelling.
-2. One shuffle by anchor and window functions (streamed, spillable). Anchors seen once go. A segment equal to an earlier one is removed whole.
+2. One shuffle by anchor and window functions (streamed, spillable). Anchors seen once go. A segment equal to an earlier one (in 64-bit hashes of
+   anchor and bytes each) is removed whole.
    What is left are first copies of segments that differ although they share an anchor: the borders of repeated passages.
 3. Only these segments get their bytes. Suffix arrays built by two-stage sorting (suffix.py) order the suffixes of bounded batches of whole anchor
    groups; adjacent common prefixes of `length` or more give the classes of equal windows, and all but the first window of a class are removed.
@@ -71,7 +72,7 @@ def _segments(data: np.ndarray, offsets: np.ndarray, length: int):
         row[bad] += 1
     digest = C.span_hash(p, a, b + length) ^ C.mix(((q - a) * 4096 + (b - a)).astype(np.uint64))
     o = offsets[row]
-    return row, a - o, b - o, q - o, h[q].astype(np.int64), (digest >> U64(32)).astype(np.int64)
+    return row, a - o, b - o, q - o, h[q].astype(np.int64), digest.astype(np.int64)
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -103,7 +104,7 @@ def _anchors(batches, length: int):
         # a copy within the batch is settled: it needs no company, so it gets a key of its own
         key = np.where(again, C.mix((who * 1_000_003 + q).astype(np.uint64)).astype(np.int64), h)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(d.astype(np.int32)), pa.array(who), pa.array((q << 24) | ((q - a) << 12) | (b - a)), pa.array(again)],
+            [pa.array(key), pa.array(d), pa.array(who), pa.array((q << 24) | ((q - a) << 12) | (b - a)), pa.array(again)],
             names=["h", "d", "uid", "place", "again"],
         )
 
@@ -210,7 +211,7 @@ def removed_spans(docs: DataFrame, length: int = 100, most_segments: int = 50_00
     """(uid, lo, hi): byte spans (end exclusive, overlapping) to remove from docs (uid, text)."""
     if length < 2 or length > 2000:
         raise ValueError("length must lie between 2 and 2000 bytes")
-    rows = docs.select("uid", "text").mapInArrow(lambda it: _anchors(it, length), "h long, d int, uid long, place long, again boolean")
+    rows = docs.select("uid", "text").mapInArrow(lambda it: _anchors(it, length), "h long, d long, uid long, place long, again boolean")
     same, group = Window.partitionBy("h", "d").orderBy("uid", "place"), Window.partitionBy("h")
     place = F.col("place")
     q = F.shiftright(place, 24)

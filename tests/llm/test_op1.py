@@ -58,3 +58,23 @@ def test_repeated_ids_extra_columns_and_empty(spark):
     n = len(text)
     assert [x for x in out if x[1] == n].__len__() == 2
     assert suffix_dedup(df.limit(0)).count() == 0
+
+
+def test_different_segments_of_one_anchor_stay_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    from tabsieve.llm import common as C
+    from tabsieve.llm import op1_suffix_dedup as M
+
+    rng = np.random.default_rng(6)
+    pool = rng.integers(97, 123, 1 << 20).astype(np.uint8)
+    at = np.arange(len(pool) - M.GRAM)
+    low = int(C.span_hash(C.prefix(pool), at, at + M.GRAM).argmin())  # the gram that is the anchor of any window around it
+    n = 300_000
+    data = rng.integers(97, 123, (n, 100)).astype(np.uint8)
+    data[:, 34:66] = pool[low : low + M.GRAM]
+    batch = pa.record_batch({"uid": pa.array(np.arange(n)), "text": pa.array([r.tobytes().decode() for r in data])})
+    found = pa.Table.from_batches(list(M._anchors([batch], 100)))
+    assert found.num_rows == n and found.column("h").combine_chunks().value_counts()[0]["counts"].as_py() > 0.99 * n
+    assert not any(found.column("again").to_pylist())
