@@ -76,9 +76,9 @@ def projection(spark, sf):
 
 def autoencoder(spark, sf):
     e = table(spark, sf, "embeddings")
-    cols = [f"x{k}" for k in range(16)]
+    cols = [f"x{k}" for k in range(64)]
     wide = e.select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(cols)])
-    return L.embed(wide, "vec_id", cols, epochs=10)
+    return L.embed(wide, "vec_id", cols)
 
 
 def _labels(spark, sf):

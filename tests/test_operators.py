@@ -338,3 +338,14 @@ def test_kendall_against_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(A, "SMALL_BLOCK", small)
         got = {r["ds"]: r["tau"] for r in A.kendall(df, ["m", "n"], "ds").collect()}
         assert got["v"] is None and all(abs(got[g] - want[g]) < 1e-12 for g in "tu")
+
+
+def test_autoencoder_query_embeds_whole_vectors(spark, monkeypatch):
+    from tabsieve.plans import queries_learning as Q
+
+    seen, embed = [], L.embed
+    monkeypatch.setattr(L, "embed", lambda df, key, columns, **options: seen.append((len(columns), options)) or embed(df, key, columns, **options))
+    out = Q.autoencoder(spark, "/root/testdata/sf0.001")
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    assert seen == [(vectors.agg(F.max(F.size("embedding"))).first()[0], {})]
+    assert out.where(F.size("embedding") == 10).count() == vectors.count()
