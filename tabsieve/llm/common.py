@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -21,9 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master (one machine, as in tests) takes a temporary folder; on a cluster that is an error, as executors would not share it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "tabsieve-shared")
         os.makedirs(found[7:], exist_ok=True)
     return found.rstrip("/")
@@ -37,19 +40,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 _made: dict[str, DataFrame] = {}
 
 
-def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
+#: Has Spark delete the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    release: have the driver collect its garbage, so that the shuffle files behind df, which nothing needs any more, go now and not some time later.
-    """
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write df as a Parquet table in the shared folder and read it back. The shuffle files behind df, which nothing needs any more, go at once."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
-    df.write.parquet(path)
-    del df
-    for _ in range(2 * release):  # the second time, what the first has set free on the Python side
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._scratch = path
     _made[path] = out

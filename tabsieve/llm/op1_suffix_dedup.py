@@ -4,18 +4,21 @@ How it is distributed:
 
 1. Winnowing. Every window of `length` bytes names one anchor, the smallest-hashed gram inside it. Equal windows name equal anchors at the same
    distance, so all copies of a window meet under the hash of their anchor. Neighbouring windows with one anchor form a segment; there is one
-   narrow row (hash, digest, document, position) for about 35 bytes of text. Copies of a segment inside one Arrow batch are settled at once,
-   which is the pre-aggregation that keeps hot anchors from travelling.
-2. One shuffle by anchor and window functions (streamed, spillable). Anchors seen once go. A segment equal to an earlier one (in 64-bit hashes of
-   anchor and bytes each) is removed whole.
-   What is left are first copies of segments that differ although they share an anchor: the borders of repeated passages.
-3. Only these segments get their bytes. Suffix arrays built by two-stage sorting (suffix.py) order the suffixes of bounded batches of whole anchor
-   groups; adjacent common prefixes of `length` or more give the classes of equal windows, and all but the first window of a class are removed.
-   A group with more than `most_segments` segments is dealt out by window instead, so that no task must hold it.
+   narrow row (hash, digest, document, position) for about 35 bytes of text. Copies inside one Arrow batch are merged to passages, compared byte by byte
+   and settled at once, which is the pre-aggregation that keeps hot anchors from travelling: a batch sends each segment once.
+2. One shuffle by anchor and window functions (streamed, spillable). Anchors seen once go. What is left are pointers, no decisions: a segment whose
+   64-bit hashes of anchor and bytes both equal an earlier one's points at that one; first copies of segments that differ although they share an anchor (the
+   borders of repeated passages) are grouped under the anchor.
+3. Neighbouring pointers into one document merge to passages, cut at every `CELL` bytes of the document they point into. A group is such a cell (salted
+   beyond `SALT` passages) with the passages that point into it, or an anchor with its border segments. Only these pieces of text get their bytes. Suffix arrays
+   built by two-stage sorting (suffix.py) order the suffixes of bounded batches of groups, an identical piece taken once for all its owners; adjacent common
+   prefixes of `length` or more give the classes of equal windows, and all but the first window of a class are removed. So a hash only says what to compare.
+   A passage needs its cell only, so a cell's group is settled `batch_bytes` at a time; an anchor's group of more than `most_bytes` is dealt out by window.
 4. Spans are merged per document.
 
 Defined results: null text counts as empty; repeated or null doc_ids are separate rows, ordered by doc_id (null last), then text; texts under
-`length` bytes are kept whole; an empty table gives no rows; other columns are ignored.
+`length` bytes are kept whole; texts of any length are read whole, those over `LONG` bytes in pieces whose windows do not overlap; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ GRAM = 32
 SUB_BYTES = 1 << 18
 LONG = 1 << 22
 MAX_BITS = 24
+CELL = 1 << 12
+SALT = 2048
 U64 = np.uint64
 
 
@@ -88,7 +93,34 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
                 yield row + lo, a + at, b + at, q + at, h, d
 
 
+def _runs(owner: np.ndarray, a: np.ndarray, b: np.ndarray, to: np.ndarray, shift: np.ndarray):
+    """Merge segments (windows a..b of owner, which equal those shift bytes on in `to`) that continue each other: order, and the first and last of each run in it."""
+    order = np.lexsort((a, owner))
+    o, x, y, t, s = (v[order] for v in (owner, a, b, to, shift))
+    new = np.ones(len(o), bool)
+    new[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1]) | (x[1:] > y[:-1] + 1)
+    first = np.flatnonzero(new)
+    return order, first, np.append(first[1:], len(o)) - 1 if len(o) else first
+
+
+def _settled(data, offsets, row, a, b, copy, of, length: int):
+    """Segments `copy`, each with an equal one `of` in the batch by hash: runs (row, from, to) whose bytes are equal, and the segments of all other runs."""
+    order, first, last = _runs(row[copy], a[copy], b[copy], row[of], a[of] - a[copy])
+    copy, of = copy[order], of[order]
+    spans, rest = [], []
+    for i, j in zip(first.tolist(), last.tolist()):
+        c, o = copy[i], of[i]
+        lo, n = int(a[c]), int(b[copy[j]] - a[c]) + length
+        x, y = offsets[row[c]] + lo, offsets[row[o]] + int(a[o])
+        if np.array_equal(data[x : x + n], data[y : y + n]):
+            spans.append((row[c], lo, lo + n))
+        else:
+            rest.append(copy[i : j + 1])
+    return np.array(spans, np.int64).reshape(-1, 3), np.concatenate(rest) if rest else np.zeros(0, np.int64)
+
+
 def _anchors(batches, length: int):
+    """Segments (again false), and runs settled inside the batch (again true, d: end, place: start)."""
     for batch in batches:
         uid = batch.column("uid").to_numpy()
         data, offsets = C.text_buffer(batch.column("text"))
@@ -96,66 +128,102 @@ def _anchors(batches, length: int):
         if not found:
             continue
         row, a, b, q, h, d = map(np.concatenate, zip(*found))
-        who = uid[row]
-        order = np.lexsort((q, who, d, h))
-        who, a, b, q, h, d = (x[order] for x in (who, a, b, q, h, d))
-        again = np.zeros(len(h), bool)
-        again[1:] = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
-        # a copy within the batch is settled: it needs no company, so it gets a key of its own
-        key = np.where(again, C.mix((who * 1_000_003 + q).astype(np.uint64)).astype(np.int64), h)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(d), pa.array(who), pa.array((q << 24) | ((q - a) << 12) | (b - a)), pa.array(again)],
-            names=["h", "d", "uid", "place", "again"],
-        )
+        order = np.lexsort((q, uid[row], d, h))
+        row, a, b, q, h, d = (x[order] for x in (row, a, b, q, h, d))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        copy = np.flatnonzero(~new)
+        spans, rest = _settled(data, offsets, row, a, b, copy, np.flatnonzero(new)[np.cumsum(new)[copy] - 1], length)
+        goes = new
+        goes[rest] = True
+        who, key = uid[row[goes]], uid[spans[:, 0]]
+        again = np.r_[np.zeros(len(who), bool), np.ones(len(spans), bool)]
+        # a settled run needs no company, so it gets a key of its own
+        alone = C.mix((key * 1_000_003 + spans[:, 1]).astype(np.uint64)).astype(np.int64)
+        place = (q << 24) | ((q - a) << 12) | (b - a)
+        columns = (np.r_[h[goes], alone], np.r_[d[goes], spans[:, 2]], np.r_[who, key], np.r_[place[goes], spans[:, 1]], again)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "d", "uid", "place", "again"])
+
+
+def _merged(batches, length: int):
+    """Pointers of each document merged to passages (lo, hi, to, at), cut at the cells of the document they point into."""
+    passage = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("to", pa.int64()), ("at", pa.int64())]))
+    for batch in batches:
+        col = batch.column("copies")
+        flat, sizes = col.flatten(), np.diff(col.offsets.to_numpy())
+        row = np.repeat(np.arange(len(col)), sizes)
+        a, b, to, at = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("a", "b", "to", "at"))
+        order, first, last = _runs(row, a, b, to, at - a)
+        row, lo, end, to, shift = row[order][first], a[order][first], b[order][last], to[order][first], (at - a)[order][first]
+        cells = (end + shift) // CELL - (lo + shift) // CELL + 1
+        k = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
+        row, lo, end, to, shift = (np.repeat(x, cells) for x in (row, lo, end, to, shift))
+        cell = (lo + shift) // CELL + k
+        lo, end = np.maximum(lo, cell * CELL - shift), np.minimum(end, (cell + 1) * CELL - 1 - shift)
+        values = pa.StructArray.from_arrays([pa.array(x) for x in (lo, end + length, to, lo + shift)], fields=list(passage.value_type))
+        offsets = np.searchsorted(row, np.arange(len(col) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("spans"), batch.column("wanted"), pa.ListArray.from_arrays(pa.array(offsets), values, type=passage)], names=["uid", "spans", "wanted", "passages"])
 
 
 def _slice(batches, length: int):
-    """Bytes of the listed segments; hot ones window by window."""
+    """Bytes of the listed pieces; those of hot anchors window by window."""
     for batch in batches:
-        out = {k: [] for k in ("g", "uid", "a", "body")}
-        for uid, text, wanted in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+        out = {k: [] for k in ("g", "uid", "a", "cell", "body")}
+
+        def put(*values):
+            for k, v in zip(out, values):
+                out[k].append(v)
+
+        for uid, text, pieces in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), batch.column("pieces").to_pylist()):
             body = (text or "").encode("utf-8", "surrogatepass")
-            for w in wanted:
+            for w in pieces:
+                part = body[w["a"] : w["b"] + length]
                 if not w["hot"]:
-                    out["g"].append(w["h"])
-                    out["uid"].append(uid)
-                    out["a"].append(w["a"])
-                    out["body"].append(body[w["a"] : w["b"] + length])
+                    put(w["g"], uid, w["a"], w["cell"], part)
                     continue
-                part = np.frombuffer(body[w["a"] : w["b"] + length], np.uint8)
-                p, at = C.prefix(part), np.arange(w["b"] - w["a"] + 1)
+                p, at = C.prefix(np.frombuffer(part, np.uint8)), np.arange(w["b"] - w["a"] + 1)
                 for k, g in zip(at.tolist(), C.span_hash(p, at, at + length).astype(np.int64).tolist()):
-                    out["g"].append(g)
-                    out["uid"].append(uid)
-                    out["a"].append(w["a"] + k)
-                    out["body"].append(body[w["a"] + k : w["a"] + k + length])
-        yield pa.RecordBatch.from_pydict({"g": pa.array(out["g"], pa.int64()), "uid": pa.array(out["uid"], pa.int64()), "a": pa.array(out["a"], pa.int64()), "body": pa.array(out["body"], pa.binary())})
+                    put(g, uid, w["a"] + k, False, part[k : k + length])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
 
 def repeated_windows(uid: np.ndarray, a: np.ndarray, bodies: list[bytes], length: int):
-    """(uid, from, to) of the windows that equal an earlier window among these segments, merged to runs of neighbouring windows."""
-    t, starts = suffix.concatenated(bodies)
+    """(uid, from, to) of the windows that equal an earlier window among these pieces, merged to runs of neighbouring windows.
+
+    Identical pieces are sorted once; all windows of the later ones are repeated.
+    """
+    order = np.lexsort((a, uid))
+    first: dict[bytes, int] = {}
+    copies = [k for k in order.tolist() if (f := first.setdefault(bodies[k], k)) != k and (uid[f], a[f]) != (uid[k], a[k])]
+    own = np.array(list(first.values()), np.int64)
+    t, starts = suffix.concatenated(list(first))
     sa = suffix.suffix_array(t)
     lcp = suffix.adjacent_common(t, sa, length)
     seg = np.searchsorted(starts, sa, "right") - 1
     whole = starts[seg + 1] - 1 - sa >= length
     cls = np.cumsum(lcp < length)
     sa, seg, cls = sa[whole], seg[whole], cls[whole]
-    at = a[seg] + sa - starts[seg]
-    order = np.lexsort((at, uid[seg], cls))
-    who, at, cls = uid[seg][order], at[order], cls[order]
+    who, at = uid[own[seg]], a[own[seg]] + sa - starts[seg]
+    order = np.lexsort((at, who, cls))
+    who, at, cls = who[order], at[order], cls[order]
     later = np.r_[False, cls[1:] == cls[:-1]] if len(cls) else np.zeros(0, bool)
-    who, at = who[later], at[later]
+    # pieces may overlap: one place in two of them is one window
+    later[1:] &= (who[1:] != who[:-1]) | (at[1:] != at[:-1])
+    again = np.flatnonzero(later)
+    who, at = who[again], at[again]
     order = np.lexsort((at, who))
     who, at = who[order], at[order]
     new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (at[1:] > at[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
     last = np.r_[new[1:], len(at)][: len(new)] - 1
-    return who[new], at[new], at[last] + length
+    same = np.array([k for k in copies if len(bodies[k]) >= length], np.int64)
+    sizes = np.array([len(bodies[k]) for k in same.tolist()], np.int64)
+    return np.r_[who[new], uid[same]], np.r_[at[new], a[same]], np.r_[at[last] + length, a[same] + sizes]
 
 
-def _sorted_groups(batches, length: int, most_bytes: int):
-    """Suffix arrays over whole groups (rows come ordered by g, uid, a), about most_bytes at a time."""
-    held = {"g": [], "uid": [], "a": [], "body": []}
+def _sorted_groups(batches, length: int, batch_bytes: int):
+    """Suffix arrays over groups (rows come ordered by g, the cell first, then uid, a), about batch_bytes at a time."""
+    held = {k: [] for k in ("g", "uid", "a", "cell", "body")}
     size = 0
 
     def settle(upto: int):
@@ -163,20 +231,22 @@ def _sorted_groups(batches, length: int, most_bytes: int):
         who, lo, hi = repeated_windows(uid, a, bodies, length)
         return pa.RecordBatch.from_arrays([pa.array(who), pa.array(lo), pa.array(hi)], names=["uid", "lo", "hi"])
 
-    for batch in batches:
-        for k in held:
-            held[k] += batch.column(k).to_pylist()
-        size += batch.column("body").nbytes
-        if size >= most_bytes and held["g"][0] != held["g"][-1]:
-            at = held["g"].index(held["g"][-1])
-            yield settle(at)
-            held = {k: v[at:] for k, v in held.items()}
+    for whole in batches:
+        for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+            for k in held:
+                held[k] += batch.column(k).to_pylist()
+            size += batch.column("body").nbytes
+            if size < batch_bytes:
+                continue
+            if held["g"][0] != held["g"][-1]:
+                at = held["g"].index(held["g"][-1])
+                yield settle(at)
+                held = {k: v[at:] for k, v in held.items()}
+            elif held["cell"][0] or (len(held["body"][0]) == length and len(set(held["body"])) == 1):
+                # a cell, or a hot window's first row, stands for all that is settled
+                yield settle(len(held["g"]))
+                held = {k: v[:1] for k, v in held.items()}
             size = sum(map(len, held["body"]))
-        elif size >= most_bytes and len(held["body"][0]) == length and len(set(held["body"])) == 1:
-            # one hot window: its first row stands for all that is settled
-            yield settle(len(held["g"]))
-            held = {k: v[:1] for k, v in held.items()}
-            size = length
     if held["g"]:
         yield settle(len(held["g"]))
 
@@ -207,44 +277,62 @@ def _result(batches):
         )
 
 
-def removed_spans(docs: DataFrame, length: int = 100, most_segments: int = 50_000, batch_bytes: int = 1 << 19) -> DataFrame:
-    """(uid, lo, hi): byte spans (end exclusive, overlapping) to remove from docs (uid, text)."""
-    if length < 2 or length > 2000:
-        raise ValueError("length must lie between 2 and 2000 bytes")
+def _pointers(docs: DataFrame, length: int, most_bytes: int) -> DataFrame:
+    """(uid, spans, wanted, passages) of docs (uid, text): settled spans, border segments by anchor, and passages that seem to be copies."""
     rows = docs.select("uid", "text").mapInArrow(lambda it: _anchors(it, length), "h long, d long, uid long, place long, again boolean")
     same, group = Window.partitionBy("h", "d").orderBy("uid", "place"), Window.partitionBy("h")
     place = F.col("place")
-    q = F.shiftright(place, 24)
-    a = q - F.shiftright(place, 12).bitwiseAND(4095)
+    start = lambda p: F.shiftright(p, 24) - F.shiftright(p, 12).bitwiseAND(4095)
+    windows = place.bitwiseAND(4095)
     found = (
         rows.withColumn("rn", F.row_number().over(same))
-        .withColumn("lo", F.min("d").over(group))
-        .withColumn("hi", F.max("d").over(group))
-        .withColumn("classes", F.sum(F.when(F.col("rn") == 1, 1)).over(group))
-        .where("again or rn > 1 or lo < hi")
-        .select("uid", "h", a.alias("a"), (a + place.bitwiseAND(4095)).alias("b"), F.expr("again or rn > 1").alias("whole"), (F.col("classes") > most_segments).alias("hot"))
+        .withColumn("of", F.first(F.struct("uid", "place")).over(same))
+        .withColumn("low", F.min("d").over(group))
+        .withColumn("high", F.max("d").over(group))
+        .withColumn("bytes", F.sum(F.when(F.col("rn") == 1, windows + length)).over(group))
+        .where("again or rn > 1 or low < high")
+        .select("uid", "h", "d", "again", place, start(place).alias("a"), (start(place) + windows).alias("b"), (F.col("rn") > 1).alias("copy"), F.col("of.uid").alias("to"), start(F.col("of.place")).alias("at"), (F.col("bytes") > most_bytes).alias("hot"))
     )
+    settled, copy = F.col("again"), F.col("copy")
     per = found.groupBy("uid").agg(
-        F.collect_list(F.when(F.col("whole"), F.struct(F.col("a").alias("lo"), (F.col("b") + length).alias("hi")))).alias("spans"),
-        F.collect_list(F.when(~F.col("whole"), F.struct("h", "a", "b", "hot"))).alias("wanted"),
+        F.collect_list(F.when(settled, F.struct(F.col("place").alias("lo"), F.col("d").alias("hi")))).alias("spans"),
+        F.collect_list(F.when(~settled & ~copy, F.struct(F.col("h").alias("g"), "a", "b", "hot"))).alias("wanted"),
+        F.collect_list(F.when(~settled & copy, F.struct("a", "b", "to", "at"))).alias("copies"),
+    )
+    return per.mapInArrow(
+        lambda it: _merged(it, length),
+        "uid long, spans array<struct<lo:long,hi:long>>, wanted array<struct<g:long,a:long,b:long,hot:boolean>>, passages array<struct<lo:long,hi:long,to:long,at:long>>",
     )
-    return per
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, most_segments: int = 50_000, batch_bytes: int = 1 << 19) -> DataFrame:
+def _listed(per: DataFrame, length: int) -> DataFrame:
+    """(uid, pieces): the pieces of text that the groups need, listed by document."""
+    one = per.select("uid", F.explode("passages").alias("p")).select("uid", "p.*").withColumn("cell", F.floor(F.col("at") / CELL))
+    many = one.groupBy("to", "cell").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("salts")).where("salts > 1")
+    salted = one.join(many, ["to", "cell"], "left").withColumn("salt", F.pmod(F.xxhash64("uid"), F.coalesce("salts", F.lit(1))))
+    grouped = salted.withColumn("g", F.xxhash64("to", "cell", "salt"))
+    no = F.lit(False)
+    copies = grouped.select("uid", "g", F.col("lo").alias("a"), (F.col("hi") - length).alias("b"), no.alias("hot"), no.alias("cell"))
+    cells = grouped.groupBy("to", "cell", "g").agg(F.min("at").alias("a"), (F.max(F.col("at") + F.col("hi") - F.col("lo")) - length).alias("b")).select(F.col("to").alias("uid"), "g", "a", "b", no.alias("hot"), F.lit(True).alias("cell"))
+    borders = per.select("uid", F.explode("wanted").alias("w")).select("uid", "w.*", no.alias("cell"))
+    return copies.unionByName(cells).unionByName(borders).groupBy("uid").agg(F.collect_list(F.struct("g", "a", "b", "hot", "cell")).alias("pieces"))
+
+
+def suffix_dedup(docs: DataFrame, length: int = 100, most_bytes: int = 1 << 22, batch_bytes: int = 1 << 19) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (see the module's text)."""
+    if length < 2 or length > 2000:
+        raise ValueError("length must lie between 2 and 2000 bytes")
     docs = C.with_uid(docs, "text")
     numbered = hasattr(docs, "_scratch")
-    per = C.cut(removed_spans(docs, length, most_segments, batch_bytes), "segments", release=True)
+    per = C.cut(_pointers(docs, length, most_bytes), "segments")
     texts = docs.select("uid", "text").where("uid IS NOT NULL")  # the same plan in both joins: the texts are shuffled once
-    bodies = (
-        texts.join(per.where("size(wanted) > 0").select("uid", "wanted"), "uid")
-        .select("uid", "text", "wanted")
-        .mapInArrow(lambda it: _slice(it, length), "g long, uid long, a long, body binary")
+    bodies = texts.join(_listed(per, length), "uid").select("uid", "text", "pieces").mapInArrow(lambda it: _slice(it, length), "g long, uid long, a long, cell boolean, body binary")
+    windows = (
+        bodies.repartition("g").sortWithinPartitions("g", F.desc("cell"), "uid", "a").mapInArrow(lambda it: _sorted_groups(it, length, batch_bytes), "uid long, lo long, hi long")
     )
-    windows = bodies.repartition("g").sortWithinPartitions("g", "uid", "a").mapInArrow(lambda it: _sorted_groups(it, length, batch_bytes), "uid long, lo long, hi long")
     borders = windows.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
-    spans = per.select("uid", "spans").join(borders, "uid", "left").select("uid", F.concat("spans", F.coalesce("more", F.expr("array()"))).alias("spans"))
+    settled = per.where("size(spans) > 0").select("uid", "spans")
+    spans = settled.join(borders, "uid", "full").select("uid", F.concat(F.coalesce("spans", F.expr("array()")), F.coalesce("more", F.expr("array()"))).alias("spans"))
     out = (
         texts.join(spans, "uid", "left")
         .select(F.col("uid").alias("doc_id"), "text", "spans")
