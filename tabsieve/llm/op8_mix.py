@@ -3,17 +3,18 @@
 Every source's documents, in doc_id order, form one stream of words, packed into blocks of `block_words` (the last block of a source may be shorter). Targets
 share the corpus's words by weight; a target stops at `most_repeats` times its source, and the excess is shared again among the others.
 
-A source gets as many slots as its target needs blocks. Each output shard draws how many of its slots go to which source: multinomial counts given the
-sources' totals (so that every total is met exactly), that is, multivariate hypergeometric draws shard by shard. The k-th slot of a source takes block
+A source gets as many slots as its target needs blocks. Each output shard draws its counts of slots by source: a source's slots are multinomial over the shards,
+so every source's total is met exactly and a shard's counts are multinomial draws by the sources' weights, its own total being `SHARD_SLOTS` on average. The draws
+come from binomial splits of the shards in halves, seeded by the half, so a shard finds its own by some twenty of them, alone and alike on every run. The k-th slot of a source takes block
 P_e(k mod n) of its n blocks in pass e = k div n, where P_e is a keyed permutation of 0..n-1 (a Feistel network with cycle walking), so no block is taken
 more often than another by more than one, and never more than most_repeats times. Slots then meet the documents' blocks in a join by (source, block).
 
 Distribution: stream offsets come from a range partition by (source, doc_id), window sums inside its partitions, and the partitions' sums for each source, which
-are few; slots are generated in parallel. The join is on
-single blocks, so neither hot sources nor long documents gather in one task. Only source totals, a few numbers for each source, come to the driver.
+are few; shards draw their counts and generate their slots in parallel. The join is on
+single blocks, so neither hot sources nor long documents gather in one task. Only source totals, a few numbers for each source and range, come to the driver.
 
 Defined results: null text has size 0; sources go by code point with null last; a source without words has target 0; repeated or null doc_ids are separate
-rows (null last, then by size); an empty table gives no rows; the same input gives the same result.
+rows (null last, then by size); texts of any length are packed whole; an empty table gives no rows; other columns are ignored; the same input gives the same result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_WORDS = 32
 MOST_REPEATS = 3
 SHARD_SLOTS = 1 << 16
-MOST_SHARDS = 1 << 12
 MOST_FACTS = 100_000
 
 
@@ -79,46 +79,31 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(slots: list[int], seed: int) -> list[np.ndarray]:
-    """For each output shard, its slots by source: multinomial draws given that every source's slots are all used."""
-    total = sum(slots)
-    shards = min(MOST_SHARDS, max(1, -(-total // SHARD_SLOTS)))
-    rng = np.random.Generator(np.random.PCG64(seed))
-    left, out = np.array(slots, np.int64), []
-    for k in range(shards):
-        n = int(left.sum()) // (shards - k)
-        take = left.copy() if k == shards - 1 else _hypergeometric(rng, left, n)
-        out.append(take)
-        left = left - take
-    return out
-
+def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots by source of one output shard: how many come before it, and how many are its own."""
+    own, first = np.array(slots, np.int64), np.zeros(len(slots), np.int64)
+    lo, hi = 0, shards
+    while hi - lo > 1:
+        half = (lo + hi) // 2
+        left = np.random.Generator(np.random.PCG64([seed, lo, hi])).binomial(own, (half - lo) / (hi - lo))
+        if shard < half:
+            own, hi = left, half
+        else:
+            own, first, lo = own - left, first + left, half
+    return first, own
 
-def _hypergeometric(rng, left: np.ndarray, n: int) -> np.ndarray:
-    out, rest = np.zeros(len(left), np.int64), int(left.sum())
-    for k, have in enumerate(left.tolist()):
-        rest -= have
-        if n and have:
-            # beyond the generator's range the draw is normal, with the same mean and variance
-            if have + rest < 1_000_000_000:
-                x = int(rng.hypergeometric(have, rest, n))
-            else:
-                p = have / (have + rest)
-                x = int(round(n * p + rng.standard_normal() * (n * p * (1 - p) * (1 - n / (have + rest))) ** 0.5))
-            out[k] = min(max(x, n - rest, 0), have, n)
-            n -= int(out[k])
-    return out
 
-
-def _slots(batches, shard: np.ndarray, source: np.ndarray, first: np.ndarray, ends: np.ndarray, blocks: np.ndarray, seed: int):
-    """From slot numbers to (source, block). Runs of slots: of shard, of source, starting at the source's slot `first`, ending before `ends`."""
+def _slots(batches, slots: np.ndarray, shards: int, blocks: np.ndarray, seed: int):
+    """From shard numbers to (source, block) of their slots."""
+    salt = np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1))
     for batch in batches:
-        at = batch.column("id").to_numpy()
-        run = np.searchsorted(ends, at, "right")
-        s = source[run]
-        k = first[run] + at - np.where(run > 0, ends[run - 1], 0)
-        n = blocks[s]
-        key = C.mix((s.astype(np.uint64) << np.uint64(20)) + (k // n).astype(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
-        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(permuted(k % n, n, key)), pa.array(shard[run])], names=["s", "block", "shard"])
+        for shard in batch.column("id").to_pylist():
+            first, own = shard_counts(slots, shards, shard, seed)
+            s = np.repeat(np.arange(len(own)), own)
+            k = first[s] + np.arange(len(s)) - np.repeat(np.cumsum(own) - own, own)
+            n = blocks[s]
+            key = C.mix((s.astype(np.uint64) << np.uint64(20)) + (k // np.maximum(n, 1)).astype(np.uint64) + salt)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(permuted(k % np.maximum(n, 1), n, key)), pa.array(np.full(len(s), shard))], names=["s", "block", "shard"])
 
 
 def size_of(text):
@@ -127,13 +112,16 @@ def size_of(text):
 
 
 def repeat_documents(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS, most_repeats: int = MOST_REPEATS, seed: int = 8) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as the mix takes its words: taken / size times, the fraction decided by a hash of its key."""
+    """The rows of docs, with all their columns, each as often as the mix takes its words: taken / size times, the fraction decided by a hash of its key.
+
+    Documents without words (null, empty) have nothing to weigh and stay once.
+    """
     rows = C.keyed_rows(docs)
     sized = rows.select(F.col("uid").alias("doc_id"), F.col("row.source").cast("string").alias("source"), size_of("text"))
     times = F.col("taken") / F.col("size")
     luck = F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = (F.floor(times) + (luck < times - F.floor(times)).cast("int")).cast("int")
-    chosen = _mix(sized, weights, block_words, most_repeats, seed).where("taken > 0").withColumnRenamed("doc_id", "uid").select("uid", copies.alias("copies")).where("copies > 0")
+    chosen = _mix(sized, weights, block_words, most_repeats, seed).withColumnRenamed("doc_id", "uid").select("uid", F.when(F.col("size") == 0, 1).otherwise(copies).alias("copies")).where("copies > 0")
     return rows.select("uid", "row").join(chosen, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
@@ -170,19 +158,13 @@ def _mix(sized: DataFrame, weights, block_words: int, most_repeats: int, seed: i
         .join(facts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")))
         .select("row", "doc_id", "size", "s", (F.col("base") + F.col("within")).alias("at"), "source_size", "target")
     )
-    runs, used = [], [0] * len(names)
-    for shard, counts in enumerate(shard_counts(slots, seed)):
-        for s, c in enumerate(counts.tolist()):
-            if c:
-                runs.append((shard, s, used[s], c))
-                used[s] += c
-    if not runs:
+    if not sum(slots):
         return placed.withColumn("taken", F.lit(0).cast("long"))
-    shard, source, first, count = (np.array(x, np.int64) for x in zip(*runs))
-    ends, many = np.cumsum(count), np.array(blocks, np.int64)
+    shards = -(-sum(slots) // SHARD_SLOTS)
+    many, wanted = np.array(blocks, np.int64), np.array(slots, np.int64)
     times = (
-        spark.range(int(ends[-1]))
-        .mapInArrow(lambda it: _slots(it, shard, source, first, ends, many, seed), "s long, block long, shard long")
+        spark.range(shards, numPartitions=min(shards, max(n, shards // 16)))
+        .mapInArrow(lambda it: _slots(it, wanted, shards, many, seed), "s long, block long, shard long")
         .groupBy("s", "block")
         .agg(F.count(F.lit(1)).alias("times"))
     )

@@ -21,9 +21,21 @@ def test_targets_share_again_what_is_above():
 
 
 def test_shard_counts_use_all_slots():
-    got = M.shard_counts([200_000, 30_000, 7], 1)
-    assert len(got) == 4 and np.array_equal(sum(got), [200_000, 30_000, 7])
-    assert all(abs(x.sum() - 230_007 / 4) <= 1 and abs(x[0] / x.sum() - 200_000 / 230_007) < 0.02 for x in got)
+    slots = [200_000, 30_000, 7, 0]
+    got = [M.shard_counts(slots, 5, k, 1) for k in range(5)]
+    assert np.array_equal(sum(own for _, own in got), slots)
+    for k, (first, own) in enumerate(got):
+        assert np.array_equal(first, sum((x for _, x in got[:k]), np.zeros(4, np.int64)))
+        assert abs(own.sum() / (230_007 / 5) - 1) < 0.02 and abs(own[0] / own.sum() - 200_000 / 230_007) < 0.02
+    assert np.array_equal(M.shard_counts(slots, 1, 0, 1)[1], slots)
+
+
+def test_shard_counts_are_multinomial_at_any_size():
+    """Mean and variance of a source's slots in a shard, far beyond 32 bits as well."""
+    for total, shards in ((64_000, 64), (64 * 10**12, 64)):
+        own = np.array([M.shard_counts([total], shards, k, seed)[1][0] for seed in range(12) for k in range(shards)], float)
+        mean = total / shards
+        assert abs(own.mean() / mean - 1) < 1e-9 and 0.85 < own.var() / (mean * (1 - 1 / shards)) < 1.15
 
 
 def check(rows, out):
