@@ -13,7 +13,8 @@ Distribution: the sample's features are made on the executors; extraction is one
 about a MB of pages.
 
 Defined results: null and empty html give empty text; pages without an element are one block of the body; malformed markup is read as browsers do in the
-common cases (unclosed p, li, td; stray end tags); null or repeated page_ids are extracted row by row; an empty table gives no rows.
+common cases (unclosed p, li, td; stray end tags; only raw-text elements such as script run to the end of a page); pages of any length are read whole; null or
+repeated page_ids are extracted row by row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +32,12 @@ from pyspark.sql import functions as F
 from tabsieve.llm import trees
 
 SUB_CHARS = 1 << 20
+#: Comments and declarations; elements whose content is raw text up to their end tag or the end of the page; elements whose content is no text of the page, if
+#: they are closed (an unclosed one hides nothing); tags.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|button|object|canvas|video|audio)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|iframe|noembed|noframes|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|svg|select|button|object|canvas|video|audio)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:(?!<\2\b).)*?</\2\s*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
@@ -62,11 +66,11 @@ K, D, M = 0, 1, 2
 
 
 class Page:
-    """Block nodes in document order and the text segments between block boundaries."""
+    """Block nodes in document order and the text segments between block boundaries. Only pages made for training are read with their labels."""
 
     __slots__ = ("tag", "parent", "end", "depth", "good", "bad", "forms", "label", "role_main", "text", "owner", "linked", "own", "links", "marks", "pieces", "words")
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, labelled: bool = False):
         self.tag, self.parent, self.end, self.depth, self.good, self.bad, self.forms, self.label, self.role_main = ["body"], [-1], [0], [0], [0], [0], [0], [None], [False]
         self.text, self.owner, self.linked = [], [], []
         stack, link = [0], False
@@ -97,15 +101,15 @@ class Page:
                 if link:
                     run_linked += m.start() - at
             at = m.end()
-            name = m[3]
+            name = m[4]
             if name is None:
-                if m[1] and m[1].lower() in ("textarea", "select", "button"):
+                if (m[1] or m[2] or "").lower() in ("textarea", "select", "button"):
                     self.forms[stack[-1]] += 1
                 continue
             name = name.lower()
             if name not in GROUP:
                 if name == "a":
-                    link = not m[2]
+                    link = not m[3]
                 elif name == "br":
                     run.append(" ")
                 elif name in ("input", "label", "option"):
@@ -113,13 +117,13 @@ class Page:
                 continue
             if name in ("html", "body") or name == "hr":
                 settle()
-                if name == "body" and not m[2]:
+                if name == "body" and not m[3]:
                     k = next((i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] == "head"), 0)
                     if k:
                         close(k)
                 continue
             settle()
-            if m[2]:
+            if m[3]:
                 k = next((i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] == name), 0)
                 if k:
                     close(k)
@@ -137,8 +141,8 @@ class Page:
             node = len(self.tag)
             good = bad = 0
             label, main = None, False
-            if m[4]:
-                for a in ATTR.finditer(m[4]):
+            if m[5]:
+                for a in ATTR.finditer(m[5]):
                     key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                     if key in ("class", "id", "role", "itemprop"):
                         tokens = set(WORDS.findall(value.lower()))
@@ -147,7 +151,7 @@ class Page:
                         main |= key == "role" and value == "main"
                     elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                         bad += 1
-                    elif key == "data-y":
+                    elif labelled and key == "data-y":
                         label = value
             self.tag.append(name)
             self.parent.append(stack[-1])
@@ -315,7 +319,8 @@ def made_page(seed: int) -> str:
 
 
 def disguised(source: str) -> str:
-    """A variant of a page with an article element: other elements and class names, and more boilerplate around and inside."""
+    """A variant of a page with an article element: other elements and class names, and more boilerplate around and inside. No label of the page's own stays."""
+    source = re.sub(r"data-y\b", "data-x", source, flags=re.I)
     rng = random.Random(zlib.crc32(source.encode("utf-8", "replace")))
     inner = _boilerplate(rng) if rng.random() < 0.5 else ""
     source = re.sub(r"<article\b[^>]*>", lambda m: '<div data-y="k" class="%s">' % rng.choice(["content", "post", "entry-content", "story", "x1"]), source, flags=re.I)
@@ -333,8 +338,7 @@ def _examples(batches):
     for batch in batches:
         x, y = [], []
         for source in batch.column("html").to_pylist():
-            for variant in dict.fromkeys((source, disguised(source))):
-                p = Page(variant)
+            for p in (Page(source), Page(disguised(source), True)):
                 labels = teacher(p)
                 if labels:
                     x += features([p]).tolist()
@@ -383,7 +387,7 @@ def train(pages: DataFrame, most_pages: int = 300, made: int = 150) -> Model:
     n = max(pages.count(), 1)
     sample = pages.where(F.col("html").isNotNull()).where(F.pmod(F.xxhash64("page_id", F.lit(9)), F.lit(1 << 30)) < min(1.0, most_pages / n) * (1 << 30))
     table = sample.select("html").mapInArrow(_examples, "y int, x array<double>").toArrow()
-    own = [Page(made_page(k)) for k in range(made)]
+    own = [Page(made_page(k), True) for k in range(made)]
     x = np.concatenate([features(own), np.array(table.column("x").to_pylist(), float).reshape(-1, N_FEATURES)])
     y = np.concatenate([np.array([v for p in own for v in teacher(p)]), table.column("y").to_numpy()])
     order = np.lexsort((*x.T, y))

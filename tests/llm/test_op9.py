@@ -24,11 +24,33 @@ def test_pages_give_their_articles(spark):
         assert out[p.page_id].n_chars == len(out[p.page_id].text)
 
 
+def test_pages_outside_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    n, most = pages.count(), 300
+    seen = F.pmod(F.xxhash64("page_id", F.lit(9)), F.lit(1 << 30)) < most / n * (1 << 30)
+    held = {r.page_id: r.html for r in pages.where(~seen).collect()}
+    out = {r.page_id: r.text for r in H.extract(pages, most).collect()}
+    assert len(held) > 1_500
+    assert sum(out[k] == article(v) for k, v in held.items()) >= 0.99 * len(held)
+
+
+def test_unclosed_elements_hide_nothing_and_labels_of_pages_are_not_read():
+    for tag in "button select object noscript canvas video audio template svg".split():
+        p = H.Page(f"<article><p>one</p><{tag}><p>two</p><p>three</p></article>")
+        assert [t for t in p.text if t in ("one", "two", "three")] == ["one", "two", "three"], tag
+        assert H.Page(f"<p>one</p><{tag}>x</{tag}><p>two</p>").text == ["one", "two"]
+    assert H.Page("<p>one</p><script>x<p>two</p>").text == ["one"]
+    assert H.Page('<p data-y="k">x</p>').label == [None, None]
+    assert 'data-y="k"' not in H.disguised('<p data-y="k">x</p>')
+
+
 def test_other_templates():
     model = H.Model([H.trees.fit(*z) for z in _training()])
     good = total = 0
     for seed in range(5000, 5060):
-        p = H.Page(H.made_page(seed))
+        p = H.Page(H.made_page(seed), True)
         want = "\n".join(t for t, o in zip(p.text, p.owner) if H.teacher(p)[o] == H.K)
         got = H.main_text([p], model)[0]
         a, b = set(want.split("\n")), set(got.split("\n"))
@@ -37,7 +59,7 @@ def test_other_templates():
 
 
 def _training():
-    own = [H.Page(H.made_page(k)) for k in range(150)]
+    own = [H.Page(H.made_page(k), True) for k in range(150)]
     x, y = H.features(own), np.array([v for p in own for v in H.teacher(p)])
     return [(x, (y == c).astype(float), 24, 5, 0.3, 32) for c in range(3)]
 
