@@ -6,18 +6,21 @@
    branch. Two sets of similarity s stay together with probability s for a level. Nodes are gathered by key, and any two classes of a node are compared by
    their tokens unless they are connected already. In a node of more than `SMALL` classes, branching on inside the task connects most of them first. A node of
    more than `most_node` classes is dealt out in blocks by hash, each with the node's first and last class, which tie similar blocks together; the classes
-   that are then not connected with the node's largest cluster meet all other blocks of the node. What comes out is not pairs but, for each node, the
-   loosely similar classes as stars (agreement within `SLACK` of the threshold, sizes that allow the threshold).
+   that are then not connected with the node's largest cluster meet all other blocks of the node, so no pair of a node goes unseen, whatever its size. (Such classes
+   cost a comparison a pair, in blocks, in the one case of a huge node whose classes are alike but not similar.) What comes out is not pairs but, for each
+   node, the loosely similar classes as stars (agreement within `SLACK` of the threshold, sizes that allow the threshold).
 3. The stars' connected components are clusters. Only classes in clusters get their full sets (second pass). Sets of one cluster meet in one task if they
    have up to `most_shingles` shingles in all; those of a larger cluster meet in the trees' nodes again (and in all pairs of blocks of a dealt node that are not
    yet connected). There, every two sets that are not yet connected are compared exactly (size of the intersection, 100 * common >= percent * union). Connected ones need no comparison, so a large group of copies costs one
    comparison a copy.
 4. Components of the confirmed links, spread to all members of each class.
 
-Recall: a pair at the threshold is missed by a tree with probability about 1 - s**2, by all with about (1 - s**2)**trees (under 1e-7 at 0.85 with 14 trees).
+Recall: nodes lie two levels deep whatever their size, so a pair of similarity s misses a tree with probability about 1 - s**2, and all of them with about
+(1 - s**2)**trees: 1.6e-8 at 0.85 with 14 trees, 8e-8 at 0.8 with 16. Having met, it is overlooked if fewer than s - SLACK of its coordinates agree: under 1e-7.
 
 Defined results: null or wordless texts have empty sets and are linked with nothing; texts with fewer words than a shingle are one shingle; repeated or null
-doc_ids are separate rows, the first of them by text being the one that is kept; an empty table gives no rows; other columns are ignored.
+doc_ids are separate rows, the first of them by text being the one that is kept; texts of any length give all their shingles; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from tabsieve.llm import common as C
 
 COORDINATES = 64
-SLACK = 0.2
+SLACK = 0.3
 SMALL = 256
 DEEP = 6
 SUB_BYTES = 1 << 18
@@ -397,7 +400,9 @@ def _near(docs: DataFrame, numbered: bool, shingle: int, percent: int, trees: in
         found = links.join(named, "b").select(F.col("a").alias("id"), "component").unionByName(named.select(F.col("b").alias("id"), "component"))
 
     owner = classes.join(found.select(F.col("id").alias("rep"), F.col("component").alias("found")), "rep", "left").select("n", "s1", "s2", F.coalesce("found", "rep").alias("component"))
-    out = sig.select("uid", "doc_id", "n", "s1", "s2").join(owner, ["n", "s1", "s2"], "left").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "uid").alias("component"))
+    # wordless documents are one key as well, and need no join; copies of one text are, and the join splits them (AQE)
+    found = sig.where("n > 0").select("uid", "doc_id", "n", "s1", "s2").join(owner, ["n", "s1", "s2"]).select("uid", "doc_id", F.col("n").alias("n_shingles"), "component")
+    out = found.unionByName(sig.where("n = 0").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("uid").alias("component")))
     if numbered:
         out = out.join(sig.select(F.col("uid").alias("component"), F.col("doc_id").alias("component_id")), "component")
     else:

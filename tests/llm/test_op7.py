@@ -55,6 +55,32 @@ def test_other_parameters_hot_nodes_and_cut_clusters(spark):
     assert got(M.near_duplicates(df, shingle=5, percent=80, most_node=10, most_shingles=3000)) == brute(rows, 5, 80)
 
 
+def test_a_node_twenty_times_too_large(spark):
+    """Loosely similar texts of one template, many of them with a partner at the threshold: all share nodes of 20 times the limit."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template, rows = [word() for _ in range(60)], []
+    for i in range(0, 400, 2):
+        w = list(template)
+        at = rng.randrange(0, 40)
+        w[at : at + 9] = [word() for _ in range(9)]
+        v = list(w)
+        for k in rng.sample(range(50, 60), rng.choice([0, 1, 2])):
+            v[k] = word()
+        rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+    truth = brute(rows)
+    out = got(M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), most_node=20, most_shingles=1_000))
+    assert len({c for _, c, _ in truth.values()}) > 50
+    assert sum(out[i] == truth[i] for i in truth) >= 0.99 * len(truth)
+
+
+def test_long_texts(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:290_000])), (3, " ".join(words[:100_000])), (4, "x" * 3_000_000)]
+    assert got(M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 def test_real_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     assert got(M.query(spark, "/root/testdata/sf0.01")) == brute(rows)
