@@ -174,7 +174,8 @@ def _mix(sized: DataFrame, weights, block_words: int, most_repeats: int, seed: i
         .select("row", "s", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))).alias("block"))
         .select("row", F.col("s").cast("long").alias("s"), "block", (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(F.col("at"), F.col("block") * b)).alias("words"))
     )
-    taken = parts.join(times, ["s", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # the planner takes the slots for as few as the shards they come from, and would broadcast them
+    taken = parts.join(times.hint("merge"), ["s", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return placed.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
