@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+from tabsieve.functions.frames import ranges
 
 
 def md5u(seed: int, *keys) -> Column:
@@ -21,10 +21,11 @@ def md5u_sql(seed: int, key: str) -> str:
 def rank_by_uniform(df: DataFrame, u: str, key: str, strata: list[str] | None = None, out: str = "rank") -> DataFrame:
     """1-based rank by (u, key) inside each stratum, without a window over a whole stratum.
 
-    u is cut into BINS equal ranges; counts by stratum and range (few rows) give each range its offset, and only the rows of a range are sorted together.
+    u is cut into equal ranges, as many as shuffle partitions ask for; counts by stratum and range (few rows) give each range its offset, and only the rows of a range are sorted together.
     """
     strata = strata or []
-    binned = df.withColumn("_bin", F.floor(F.col(u) * BINS).cast("int"))
+    n = 4 * ranges(df)
+    binned = df.withColumn("_bin", F.floor(F.col(u) * n).cast("int"))
     before = Window.partitionBy(*(strata or [F.lit(0)])).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = binned.groupBy(*strata, "_bin").agg(F.count(F.lit(1)).alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     offsets = offsets.select(F.col("_bin").alias("_b"), "_offset", *[F.col(c).alias(f"_s{k}") for k, c in enumerate(strata)])

@@ -68,6 +68,10 @@ def t_sf2(t: float | None, df: float | None) -> float | None:
     return None if t is None or df is None or df <= 0 else beta_inc(df / 2, 0.5, df / (df + t * t))
 
 
+#: Two-sample Kolmogorov-Smirnov tails are exact up to this size of the larger sample, asymptotic beyond.
+EXACT_KS = 10_000
+
+
 def ks_sf(d: float | None, n: int, m: int) -> float | None:
     """Asymptotic tail of the two-sample Kolmogorov-Smirnov statistic."""
     if d is None or not n or not m:
@@ -79,14 +83,62 @@ def ks_sf(d: float | None, n: int, m: int) -> float | None:
     return min(1.0, max(0.0, 2 * total))
 
 
+def ks_sf_exact(d: float | None, n: int, m: int) -> float | None:
+    """Tail of the statistic for samples of up to EXACT_KS rows: the share of lattice paths from (0, 0) to (n, m) that reach a gap of d or more."""
+    if d is None or not n or not m:
+        return None
+    if max(n, m) > EXACT_KS:
+        return ks_sf(d, n, m)
+    import numpy as np
+
+    # probability of staying inside, row by row: step (i-1, j) -> (i, j) has probability (n-i+1) / (n-i+1 + m-j) given that the path is at (i-1, j)
+    j = np.arange(m + 1)
+    inside = lambda i: np.abs(i / n - j / m) < d - 1e-12
+    gap = np.rint(d * n * m)
+    ok = lambda i: np.abs(i * m - j * n) < gap
+    ok = ok if abs(gap - d * n * m) < 1e-6 * n * m else inside
+    p = np.zeros(m + 1)
+    for i in range(n + 1):
+        # arrive from the row before, then walk along the row: p[j] += p[j-1] * P(step in j)
+        here = ok(i)
+        arrive = p * ((n - i + 1) / np.maximum((n - i + 1) + (m - j), 1)) if i else np.where(j == 0, 1.0, 0.0)
+        along = np.where(j < m, (m - j) / np.maximum((n - i) + (m - j), 1), 0.0)
+        out, last = arrive.tolist(), 0.0
+        for k, (good, step) in enumerate(zip(here.tolist(), [0.0, *along[:-1].tolist()])):
+            last = (out[k] + last * step) if good else 0.0
+            out[k] = last
+        p = np.array(out)
+    return min(1.0, max(0.0, 1.0 - float(p[m])))
+
+
+def log_factorial(x):
+    """log(x!) of an array, by Stirling's series beyond the first few."""
+    import numpy as np
+
+    x = np.asarray(x, float)
+    table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1.0, 256)))])
+    y = np.maximum(x, 1.0)
+    series = (y + 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return np.where(x < 256, table[np.minimum(x, 255).astype(np.int64)], series)
+
+
 def expected_mutual_info(a: list[int], b: list[int]) -> float:
-    """Expected mutual information of two partitions with these class sizes, under random assignment."""
-    n = sum(a)
-    lf = [math.lgamma(k + 1) for k in range(n + 1)]
-    total = 0.0
-    for x in a:
-        for y in b:
-            for k in range(max(1, x + y - n), min(x, y) + 1):
-                p = lf[x] + lf[y] + lf[n - x] + lf[n - y] - lf[n] - lf[k] - lf[x - k] - lf[y - k] - lf[n - x - y + k]
-                total += k / n * math.log(n * k / (x * y)) * math.exp(p)
+    """Expected mutual information of two partitions with these class sizes, under random assignment.
+
+    One term for each two distinct sizes, summed over the overlaps within 40 deviations of the mean (all others weigh nothing).
+    """
+    from collections import Counter
+
+    import numpy as np
+
+    n, total = sum(a), 0.0
+    fact = lambda *v: log_factorial(np.array(v, float))
+    for x, cx in Counter(a).items():
+        for y, cy in Counter(b).items():
+            mean = x * y / n
+            reach = 40 * math.sqrt(mean * max(n - x, 1) * max(n - y, 1) / n / max(n - 1, 1)) + 40
+            k = np.arange(max(1, x + y - n, math.floor(mean - reach)), min(x, y, math.ceil(mean + reach)) + 1, dtype=float)
+            const = fact(x, y, n - x, n - y).sum() - fact(n)[0]
+            p = np.exp(const - log_factorial(k) - log_factorial(x - k) - log_factorial(y - k) - log_factorial(n - x - y + k))
+            total += cx * cy * float((k / n * np.log(n * k / (x * y)) * p).sum())
     return total

@@ -73,28 +73,34 @@ def _number_pairs(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     return df.select(by, rows.alias("r")).select(by, "r.*").where("vx IS NOT NULL AND vy IS NOT NULL")
 
 
+def _correlations(df: DataFrame, columns: list[str], by: str, most: int = 200) -> DataFrame:
+    """(by, x, y, r): one aggregate of all pairs (most at a time), without a row for each pair of values."""
+    pairs = [(a, b) for i, b in enumerate(columns) for a in columns[:i]]
+    out = None
+    for at in range(0, len(pairs), most):
+        part = pairs[at : at + most]
+        one = df.groupBy(by).agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{k}") for k, (a, b) in enumerate(part)])
+        rows = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(part)]))
+        t = one.select(by, rows.alias("p")).select(by, "p.*")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 def pearson(df: DataFrame, columns: list[str], by: str) -> DataFrame:
-    """(by, x, y, r), pairwise complete."""
-    return _number_pairs(df, columns, by).groupBy(by, "x", "y").agg(F.corr("vx", "vy").alias("r"))
+    """(by, x, y, r), pairwise complete; null where undefined."""
+    return _correlations(df, columns, by).withColumn("r", F.nanvl("r", F.lit(None).cast("double")))
 
 
 def spearman(df: DataFrame, columns: list[str], by: str) -> DataFrame:
-    """(by, x, y, r) on average ranks.
+    """(by, x, y, r) on average ranks of each column's values.
 
-    Ranks are found once for each column from counts by distinct value and joined back to the pairs by value, so no column is sorted in one task.
+    Ranks are found once for each column from counts by distinct value and put back on the rows (rows times columns in all), then correlated in one aggregate.
     """
-    long = melt(df, columns, [by]).where("value IS NOT NULL").withColumn("key", F.concat_ws("|", by, "col"))
-    counts = long.groupBy("key", by, "col", "value").agg(F.count(F.lit(1)).alias("n"))
+    long = melt(df.select(by, *columns).withColumn("_row", F.monotonically_increasing_id()), columns, ["_row", by]).where("value IS NOT NULL")
+    counts = melt(df, columns, [by]).where("value IS NOT NULL").withColumn("key", F.concat_ws("|", by, "col")).groupBy("key", by, "col", "value").agg(F.count(F.lit(1)).alias("n"))
     ranks = cumulative(counts, "key", "value", {"upto": "n"}).select(by, "col", "value", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
-    joint = _number_pairs(df, columns, by).groupBy(by, "x", "y", "vx", "vy").agg(F.count(F.lit(1)).alias("n"))
-    a = ranks.select(by, F.col("col").alias("x"), F.col("value").alias("vx"), F.col("rank").alias("rx"))
-    b = ranks.select(by, F.col("col").alias("y"), F.col("value").alias("vy"), F.col("rank").alias("ry"))
-    j = joint.join(a, [by, "x", "vx"]).join(b, [by, "y", "vy"])
-    m = j.groupBy(by, "x", "y").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("rx")) / F.sum("n")).alias("mx"), (F.sum(F.col("n") * F.col("ry")) / F.sum("n")).alias("my"))
-    c = j.join(m.drop("n"), [by, "x", "y"])
-    dx, dy = F.col("rx") - F.col("mx"), F.col("ry") - F.col("my")
-    s = c.groupBy(by, "x", "y").agg(F.sum(F.col("n") * dx * dy).alias("xy"), F.sum(F.col("n") * dx * dx).alias("xx"), F.sum(F.col("n") * dy * dy).alias("yy"))
-    return s.select(by, "x", "y", F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("r"))
+    wide = long.join(ranks, [by, "col", "value"]).groupBy("_row", by).agg(*[F.max(F.when(F.col("col") == c, F.col("rank"))).alias(c) for c in columns])
+    return pearson(wide, columns, by)
 
 
 def kendall(df: DataFrame, columns: list[str], by: str) -> DataFrame:
@@ -127,7 +133,7 @@ def kendall(df: DataFrame, columns: list[str], by: str) -> DataFrame:
         w = Window.partitionBy("block").orderBy("vy").rowsBetween(Window.unboundedPreceding, 0)
         parts.append(counted(halves(0, split).withColumn("upto", F.sum("l").over(w))))
     if levels > split:
-        parts.append(counted(cumulative(halves(split, levels), "block", "vy", {"upto": "l"})))
+        parts.append(counted(cumulative(halves(split, levels), "block", "vy", {"upto": "l"}, few_keys=False)))
     empty = points.select("key").limit(0).select("key", F.lit(0).cast("long").alias("con"), F.lit(0).cast("long").alias("dis"))
     for p in parts:
         empty = empty.unionByName(p)

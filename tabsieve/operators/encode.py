@@ -8,16 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsieve.functions.frames import melt, quantiles
 from tabsieve.operators.columns import is_numeric
 
 #: One-hot columns and label codes are refused beyond this many categories of a column.
 MOST_CATEGORIES = 100_000
 MISSING = "__MISSING__"
+#: Up to so many categories are compared one by one; more come by a broadcast table of codes, of at most MOST_CATEGORIES rows.
+FEW_CATEGORIES = 64
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    row = df.agg(*[F.median(c).alias(c) for c in columns]).first() if columns else {}
-    return {c: row[c] for c in columns}
+    """Exact medians; None for a column without values."""
+    if not columns:
+        return {}
+    found = {r["col"]: r["q"][0] for r in quantiles(melt(df, columns, []), ["col"], "value", [0.5]).collect()}  # one row for each column
+    return {c: found.get(c) for c in columns}
 
 
 def categories(df: DataFrame, column: str, nulls: str | None = None) -> list[str]:
@@ -30,6 +36,15 @@ def categories(df: DataFrame, column: str, nulls: str | None = None) -> list[str
     return sorted((r["v"] for r in rows), key=lambda s: s.encode())
 
 
+def with_code(df: DataFrame, column: Column, values: list[str], out: str) -> DataFrame:
+    """df with out: the place of column (text) among values, from 0; values not among them get 0."""
+    if len(values) <= FEW_CATEGORIES:
+        place = F.array_position(F.lit(list(values)) if values else F.array().cast("array<string>"), column)
+        return df.withColumn(out, F.greatest(F.coalesce(place, F.lit(0)) - 1, F.lit(0)).cast("double"))
+    codes = df.sparkSession.createDataFrame([(v, float(k)) for k, v in enumerate(values)], "_v string, _code double")
+    return df.join(F.broadcast(codes), column == F.col("_v"), "left").withColumn(out, F.coalesce("_code", F.lit(0.0))).drop("_v", "_code")
+
+
 @dataclass(frozen=True)
 class FeatureEncoder:
     """Numbers scaled by the real table's range, binaries to 0/1, other columns one-hot over both tables' categories.
@@ -45,7 +60,8 @@ class FeatureEncoder:
     @classmethod
     def fit(cls, real: DataFrame, synthetic: DataFrame, kinds: dict[str, str]) -> FeatureEncoder:
         numeric = [c for c, k in kinds.items() if k == "numerical"]
-        stats = real.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(numeric) for n, f in (("median", F.median), ("lo", F.min), ("hi", F.max))]).first() if numeric else {}
+        stats = real.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(numeric) for n, f in (("lo", F.min), ("hi", F.max))]).first().asDict() if numeric else {}
+        stats |= {f"median_{numeric.index(c)}": v for c, v in medians(real, numeric).items()}
         both = real.select(*kinds).unionByName(synthetic.select(*kinds))
         values = {c: tuple(categories(both, c)) for c, k in kinds.items() if k != "numerical"}
         return cls(
@@ -88,30 +104,28 @@ class CodeEncoder:
     def transform(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
         """Encoded columns as doubles; unknown categories become code 0."""
         inf = float("inf")
-        out = []
+        out, coded = [], df
         for c, (middle, kind) in self.numeric.items():
             v = F.coalesce(F.col(c).cast("double"), F.lit(middle))
             v = F.when(v.isin(inf, -inf), 0.0).otherwise(v)
             out.append(v.cast(kind).cast("double").alias(c) if kind in ("int", "bigint", "smallint", "tinyint") else v.alias(c))
-        for c, values in self.codes.items():
-            place = F.array_position(F.lit(list(values)) if values else F.array().cast("array<string>"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)))
-            out.append(F.greatest(F.coalesce(place, F.lit(0)) - 1, F.lit(0)).cast("double").alias(c))
-        return df.select(*keep, *out)
+        for k, (c, values) in enumerate(self.codes.items()):
+            coded = with_code(coded, F.coalesce(F.col(c).cast("string"), F.lit(MISSING)), values, f"_c{k}")
+            out.append(F.col(f"_c{k}").alias(c))
+        return coded.select(*keep, *out)
 
 
 def prepare_target(df: DataFrame, target: str, reference: DataFrame | None = None) -> DataFrame:
     """Features coded, numbers with null as 0, text with null as 'missing', and the target as `label` (codes in text order of reference)."""
     reference = df if reference is None else reference
-    out = []
-    for f in df.schema.fields:
+    out, coded = [], df
+    for k, f in enumerate(df.schema.fields):
         if f.name == target:
             continue
         if isinstance(f.dataType, T.StringType):
-            values = categories(reference, f.name, "missing")
-            place = F.array_position(F.lit(values), F.coalesce(F.col(f.name), F.lit("missing")))
-            out.append(F.greatest(F.coalesce(place, F.lit(0)) - 1, F.lit(0)).cast("double").alias(f.name))
+            coded = with_code(coded, F.coalesce(F.col(f.name), F.lit("missing")), categories(reference, f.name, "missing"), f"_c{k}")
+            out.append(F.col(f"_c{k}").alias(f.name))
         elif is_numeric(f.dataType):
             out.append(F.coalesce(F.col(f.name).cast("double"), F.lit(0.0)).alias(f.name))
-    classes = categories(reference, target, "missing")
-    label = F.array_position(F.lit(classes), F.coalesce(F.col(target).cast("string"), F.lit("missing"))) - 1
-    return df.select(*out, F.greatest(F.coalesce(label, F.lit(0)), F.lit(0)).cast("double").alias("label"))
+    coded = with_code(coded, F.coalesce(F.col(target).cast("string"), F.lit("missing")), categories(reference, target, "missing"), "_label")
+    return coded.select(*out, F.col("_label").alias("label"))

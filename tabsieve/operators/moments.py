@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.functions.frames import melt
+from tabsieve.functions.frames import melt, quantiles
 
 #: Beyond this many columns, pairwise products are summed by an array kernel, not by expressions.
 MOST_EXPRESSIONS = 60
@@ -17,9 +17,8 @@ TILE = 1 << 22
 def moments(df: DataFrame, ds: str, columns: list[str]) -> DataFrame:
     """(ds, col, mean, std, skew, kurt, min, max, q25, median, q75): population moments, excess kurtosis, interpolated quartiles."""
     long = melt(df, columns, [ds]).where("value IS NOT NULL")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy(ds, "col").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("q"))
-    return out.select(ds, "col", "mean", "std", "skew", "kurt", "min", "max", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q75"))
+    out = long.groupBy(ds, "col").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return out.join(quantiles(long, [ds, "col"], "value", [0.25, 0.5, 0.75]), [ds, "col"]).select(ds, "col", "mean", "std", "skew", "kurt", "min", "max", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q75"))
 
 
 def moments_compare(m: DataFrame, ds: str, first: str, second: str) -> DataFrame:

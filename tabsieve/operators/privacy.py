@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabsieve.functions.frames import quantiles
 from tabsieve.operators.neighbours import any_within, nearest
 
 
@@ -59,4 +60,6 @@ def kept(pool: DataFrame, flagged: DataFrame, key: str) -> DataFrame:
 
 def weights_by_flag(weighted_rows: DataFrame) -> DataFrame:
     """(flag, n, median, mean) of the weights on either side."""
-    return weighted_rows.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.median("w").alias("median"), F.avg("w").alias("mean"))
+    middle = quantiles(weighted_rows, ["flag"], "w", [0.5]).select("flag", F.get("q", F.lit(0)).alias("median"))
+    whole = weighted_rows.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.avg("w").alias("mean"))
+    return whole.join(middle, whole["flag"].eqNullSafe(middle["flag"]), "left").select(whole["flag"], "n", "median", "mean")

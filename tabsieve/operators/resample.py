@@ -7,10 +7,10 @@ targets meet in an equi-join on buckets of about one draw each; an interval span
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.functions.frames import cumulative
+from tabsieve.functions.frames import cumulative, ranked
 from tabsieve.functions.rng import md5u
 
 SCALE = 1e9
@@ -47,9 +47,8 @@ def sir(pool: DataFrame, key: str, w: str, n: int, method: str = "weighted", see
     if method == "reverse_weighted":
         return draws(pool.withColumn("_inv", 1.0 / (F.col(w) + INVERSE_EPS)), key, "_inv", n, seed)
     if method in ("top_k", "reverse_top_k"):
-        order = F.desc(w) if method == "top_k" else F.asc(w)
-        picked = pool.select(key, w).orderBy(order, key).limit(n)
-        return picked.withColumn("draw", (F.row_number().over(Window.orderBy(order, key)) - 1).cast("long")).select("draw", key)
+        order = -F.col(w) if method == "top_k" else F.col(w)
+        return ranked(pool.select(key, order.cast("double").alias("_w")), "_w", key).where(F.col("rank") <= n).select((F.col("rank") - 1).cast("long").alias("draw"), key)
     raise ValueError(f"unknown method: {method}")
 
 

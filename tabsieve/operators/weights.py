@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsieve.functions.frames import cumulative
+from tabsieve.functions.frames import cumulative, quantiles
 
 
 def importance(p: Column, kappa: float, eps: float = 1e-9) -> Column:
@@ -31,9 +31,14 @@ def processing_effects(df: DataFrame, w: str = "w", alphas=(0.5, 0.8, 1.0, 1.2,
     return rows.groupBy("setting").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.var_pop("v").alias("var"))
 
 
+def median(df: DataFrame, w: str) -> DataFrame:
+    """(median): one row."""
+    return quantiles(df, [], w, [0.5]).agg(F.max(F.get("q", F.lit(0))).alias("median"))
+
+
 def preservation(original: DataFrame, selected: DataFrame, w: str = "w") -> DataFrame:
     """Means and deviations of weights before and after selection, their ratio, and the share of selected above the original median."""
-    a = original.agg(F.avg(w).alias("mean"), F.stddev_pop(w).alias("std"), F.median(w).alias("median"))
+    a = original.agg(F.avg(w).alias("mean"), F.stddev_pop(w).alias("std")).join(F.broadcast(median(original, w)))  # one row each
     joined = selected.select(F.col(w).alias("s")).join(F.broadcast(a))  # one row
     return joined.groupBy("mean", "std").agg(F.avg("s").alias("selected_mean"), F.stddev_pop("s").alias("selected_std"), F.avg((F.col("s") > F.col("median")).cast("double")).alias("above_median")).withColumn("mean_ratio", F.when(F.col("mean") != 0, F.col("selected_mean") / F.col("mean")))
 
@@ -68,7 +73,7 @@ def classification_report(df: DataFrame, label: str, predicted: str) -> DataFram
 
 def top_share(df: DataFrame, w: str) -> DataFrame:
     """min, max, mean, median of the weights."""
-    return df.agg(F.min(w).alias("min"), F.max(w).alias("max"), F.avg(w).alias("mean"), F.median(w).alias("median"))
+    return df.agg(F.min(w).alias("min"), F.max(w).alias("max"), F.avg(w).alias("mean")).join(F.broadcast(median(df, w)))  # one row each
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50, by: list[str] | None = None) -> DataFrame:

@@ -128,10 +128,11 @@ def detailed(spark, sf):
 
 
 def describe(spark, sf):
-    from tabsieve.functions.frames import melt
+    from tabsieve.functions.frames import melt, quantiles
 
-    df = lineitem_roles(spark, sf)
-    m = melt(df, N, ["ds"]).groupBy("ds", "col").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.median("value").alias("median"))
+    long = melt(lineitem_roles(spark, sf), N, ["ds"])
+    middle = quantiles(long, ["ds", "col"], "value", [0.5]).select("ds", "col", F.get("q", F.lit(0)).alias("median"))
+    m = long.groupBy("ds", "col").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")).join(middle, ["ds", "col"])
     return R.describe_improvement(m, "ds", "real", "raw", "refined").withColumn("improvement", r6("improvement", 4))
 
 
