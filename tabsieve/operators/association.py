@@ -155,37 +155,120 @@ def mutual_information(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     return m.groupBy(by, "x", "y").agg(F.sum(p * F.log(F.col("n") * F.col("nn") / (F.col("nr") * F.col("nc")))).alias("mi"))
 
 
-def mutual_information_knn(df: DataFrame, key: str, x: str, y: str, most: int = 2000, k: int = 3, seed: int = 42) -> DataFrame:
-    """Mutual information of two numeric columns by nearest neighbours (Kraskov's first estimator) on a sample of at most `most` rows."""
+#: Rows of a table up to which the neighbour estimates of mutual information use every row; more are sampled down to it.
+KNN_ROWS = 200_000
+
+
+def _digamma(v):
+    """Of numbers above 0, by recurrence and series."""
+    v = np.asarray(v, float)
+    out = np.zeros_like(v)
+    while (v < 6).any():
+        low = v < 6
+        out = np.where(low, out - 1 / np.where(low, v, 1), out)
+        v = np.where(low, v + 1, v)
+    return out + np.log(v) - 1 / (2 * v) - 1 / (12 * v**2) + 1 / (120 * v**4) - 1 / (252 * v**6)
+
+
+def _held_rows(df: DataFrame, columns: list[str], key: str, most: int, seed: int, kinds: dict[str, str]) -> tuple:
+    """The rows (nulls left out) as arrays: numbers scaled by their sample deviation, classes as codes."""
     from tabsieve.functions.rng import sample_n
 
-    part = sample_n(df.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(), most, key, seed).withColumn("all", F.lit(0))
-
-    def digamma(v):
-        v = np.asarray(v, float)
-        out = np.zeros_like(v)
-        while (v < 6).any():
-            low = v < 6
-            out = np.where(low, out - 1 / np.where(low, v, 1), out)
-            v = np.where(low, v + 1, v)
-        return out + np.log(v) - 1 / (2 * v) - 1 / (12 * v**2) + 1 / (120 * v**4) - 1 / (252 * v**6)
-
-    def estimate(pdf):
-        import pandas as pd
-
-        a, b = ((pdf[c] - pdf[c].mean()).to_numpy() / (pdf[c].std() or 1.0) for c in ("x", "y"))
-        n = len(a)
-        if n <= k:
-            return pd.DataFrame({"mi": [0.0]})
-        da, db = np.abs(a[:, None] - a[None, :]), np.abs(b[:, None] - b[None, :])
+    part = df.select(key, *[F.col(c).cast(kinds[c]).alias(c) for c in columns]).dropna()
+    if part.limit(most + 1).count() > most:
+        part = sample_n(part, most, key, seed)
+    t = part.select(*columns).toArrow()
+    out = {}
+    for c in columns:
+        v = t.column(c).to_numpy()
+        if kinds[c] == "string":
+            out[c] = np.unique(v.astype(str), return_inverse=True)[1] if len(v) else np.zeros(0, np.int64)
+        else:
+            out[c] = (v - v.mean()) / (v.std(ddof=1) or 1.0) if len(v) > 1 else v * 0.0
+    return part, t.num_rows, out
+
+
+def _by_rows(spark, n: int, estimate) -> float:
+    """Mean over rows 0..n-1 of estimate(rows), dealt to tasks in slices."""
+    import pyarrow as pa
+
+    def part(batches):
+        for batch in batches:
+            for at in batch.column("id").to_pylist():
+                rows = np.arange(at, min(at + 256, n))
+                yield pa.RecordBatch.from_arrays([pa.array([float(estimate(rows).sum())])], names=["s"])
+
+    slices = spark.range(0, n, 256, numPartitions=max(1, min(-(-n // 256), 4 * spark.sparkContext.defaultParallelism)))
+    return (slices.mapInArrow(part, "s double").agg(F.sum("s")).first()[0] or 0.0) / n
+
+
+def _kraskov(spark, a: np.ndarray, b: np.ndarray, k: int) -> float:
+    """Two numbers: Kraskov's first estimator."""
+    n = len(a)
+    if n <= k:
+        return 0.0
+
+    def own(rows):
+        da, db = np.abs(a[rows, None] - a[None, :]), np.abs(b[rows, None] - b[None, :])
         d = np.maximum(da, db)
-        np.fill_diagonal(d, np.inf)
-        eps = np.partition(d, k - 1, 1)[:, k - 1]
-        nx, ny = (da < eps[:, None]).sum(1) - 1, (db < eps[:, None]).sum(1) - 1
-        mi = digamma([k])[0] + digamma([n])[0] - (digamma(np.maximum(nx, 0) + 1) + digamma(np.maximum(ny, 0) + 1)).mean()
-        return pd.DataFrame({"mi": [max(0.0, float(mi))]})
+        d[np.arange(len(rows)), rows] = np.inf
+        eps = np.partition(d, k - 1, 1)[:, k - 1 : k]
+        return _digamma(np.maximum((da < eps).sum(1) - 1, 0) + 1) + _digamma(np.maximum((db < eps).sum(1) - 1, 0) + 1)
+
+    return max(0.0, float(_digamma([k])[0] + _digamma([n])[0] - _by_rows(spark, n, own)))
+
+
+def _ross(spark, a: np.ndarray, cls: np.ndarray, k: int) -> float:
+    """A number and a class: Ross's estimator; classes of one row are left out."""
+    sizes = np.bincount(cls)
+    many = sizes[cls] > 1
+    a, cls = a[many], cls[many]
+    n = len(a)
+    if not n:
+        return 0.0
+    size = np.bincount(cls)[cls]
+    near = np.minimum(k, size - 1)
+
+    def own(rows):
+        d = np.abs(a[rows, None] - a[None, :])
+        inside = np.where(cls[rows, None] == cls[None, :], d, np.inf)
+        inside[np.arange(len(rows)), rows] = np.inf
+        reach = np.sort(np.partition(inside, min(k, n - 1) - 1, 1)[:, : min(k, n - 1)], 1)[np.arange(len(rows)), near[rows] - 1]
+        # all rows that are nearer, the row itself included
+        return _digamma(np.maximum((d < reach[:, None]).sum(1), 1)) + _digamma(size[rows]) - _digamma(near[rows])
 
-    return part.groupBy("all").applyInPandas(estimate, "mi double")  # at most `most` rows
+    return max(0.0, float(_digamma([n])[0] - _by_rows(spark, n, own)))
+
+
+def mutual_information_knn(df: DataFrame, key: str, x: str, y: str, most: int = KNN_ROWS, k: int = 3, seed: int = 42) -> DataFrame:
+    """(mi) of two numeric columns by nearest neighbours, over all rows up to `most`."""
+    _, n, v = _held_rows(df, [x, y], key, most, seed, {x: "double", y: "double"})
+    return df.sparkSession.createDataFrame([(_kraskov(df.sparkSession, v[x], v[y], k),)], "mi double")
+
+
+def mutual_information_matrix(df: DataFrame, key: str, numeric: list[str], categorical: list[str], most: int = KNN_ROWS, k: int = 3, seed: int = 42) -> DataFrame:
+    """(row_var, col_var, mi, normalised) for all ordered pairs: 1 on the diagonal; normalised is mi over the row's largest.
+
+    Numbers with numbers by Kraskov's estimator, numbers with classes by Ross's, classes with classes by their contingency table, in nats.
+    """
+    columns, spark = [c for c in df.columns if c in numeric or c in categorical], df.sparkSession
+    _, n, v = _held_rows(df, columns, key, most, seed, {c: "double" if c in numeric else "string" for c in columns})
+    rows = [(c, c, 1.0) for c in columns]
+    for i, a in enumerate(columns):
+        for b in columns[:i]:
+            if a in numeric and b in numeric:
+                mi = _kraskov(spark, v[a], v[b], k)
+            elif a in categorical and b in categorical:
+                joint = np.unique(np.stack([v[a], v[b]]), axis=1, return_counts=True)
+                pa_, pb = np.bincount(v[a]) / max(n, 1), np.bincount(v[b]) / max(n, 1)
+                p = joint[1] / max(n, 1)
+                mi = max(0.0, float((p * np.log(p / (pa_[joint[0][0]] * pb[joint[0][1]]))).sum()))
+            else:
+                number, cls = (a, b) if a in numeric else (b, a)
+                mi = _ross(spark, v[number], v[cls], k)
+            rows += [(a, b, mi), (b, a, mi)]
+    largest = {c: max(m for r, _, m in rows if r == c) for c in columns}
+    return spark.createDataFrame([(a, b, float(m), float(m / largest[a]) if largest[a] > 0 else 0.0) for a, b, m in rows], "row_var string, col_var string, mi double, normalised double")
 
 
 def mixed_matrix(df: DataFrame, categorical: list[str], numeric: list[str], by: str, method: str = "spearman") -> DataFrame:
@@ -217,3 +300,8 @@ def improvement(scores: DataFrame, metrics: list[str], raw: str, refined: str) -
     """(metric, raw, refined, percent): (raw - refined) / raw * 100, 0 where raw is not above 0."""
     one = scores.agg(F.array(*[F.struct(F.lit(m).alias("metric"), F.max(F.when(F.col("candidate") == raw, F.col(m))).alias("raw"), F.max(F.when(F.col("candidate") == refined, F.col(m))).alias("refined")) for m in metrics]).alias("rows"))
     return one.select(F.explode("rows").alias("r")).select("r.*").withColumn("percent", F.when(F.col("raw") > 0, (F.col("raw") - F.col("refined")) / F.col("raw") * 100).otherwise(0.0))
+
+
+def consensus(matrix: DataFrame, by: str) -> DataFrame:
+    """(row_var, col_var, kind, mean, std): mean and population deviation of each entry over the tables' matrices."""
+    return matrix.groupBy("row_var", "col_var", "kind").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tabsieve.functions import special
 from tabsieve.functions.frames import cumulative, melt
 from tabsieve.operators.association import contingency
+from tabsieve.operators.columns import is_numeric, types_of
 from tabsieve.operators.divergence import cdf_distances, cdf_frame
 
 
@@ -43,9 +44,9 @@ def welch_test(*args) -> DataFrame:
 
 
 def ks_test(df: DataFrame, ds: str, first: str, second: str, columns: list[str]) -> DataFrame:
-    """(col, ks, na, nb, p), p by the asymptotic series."""
+    """(col, ks, na, nb, p), p exact for samples of up to special.EXACT_KS rows, by the asymptotic series beyond."""
     d = cdf_distances(cdf_frame(df, ds, first, second, columns)).select("col", "ks", "na", "nb")
-    return with_p(d, "p", lambda x, n, m: special.ks_sf(x, int(n), int(m)), "ks", "na", "nb")
+    return with_p(d, "p", lambda x, n, m: special.ks_sf_exact(x, int(n), int(m)), "ks", "na", "nb")
 
 
 def anderson_ksamp(df: DataFrame, ds: str, first: str, second: str, columns: list[str]) -> DataFrame:
@@ -69,7 +70,7 @@ def anderson_test(df: DataFrame, ds: str, first: str, second: str, columns: list
 
 
 def _standardised(a2, na, nb):
-    """Scholz and Stephens (1987): (A2 - (k - 1)) / sd for k = 2."""
+    """Scholz and Stephens (1987): (A2 - (k - 1)) / sd for k = 2. From 4,000 rows on, the double sum g is taken at its limit, pi**2 / 6 (off by under 0.003)."""
     if a2 is None:
         return None
     n, k = int(na + nb), 2
@@ -142,3 +143,61 @@ def descriptive(df: DataFrame, ds: str, numeric: list[str], categorical: list[st
 def similar(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Whether the test does not reject: p > alpha."""
     return tests.withColumn("similar", F.col("p") > alpha)
+
+
+def compare_distributions(real: DataFrame, raw: DataFrame, refined: DataFrame, key: str, alpha: float = 0.05, numerical_test: str = "ttest") -> DataFrame:
+    """(col, kind, real_class, real, real_std, raw, raw_std, raw_p, raw_match, refined, refined_std, refined_p, refined_match): one row for each column but key.
+
+    Numbers (over ten distinct values): mean, sample deviation and a Welch (ttest), Kolmogorov-Smirnov (ks) or Anderson-Darling (ad) test. Binary columns: share of
+    the literal class 1. Others: share of the real table's most frequent class (ties: the smallest). Both with a chi-square test of rows paired by rank of key.
+    match is Similar where p > alpha, else Different. The tables must have the same columns in the same order.
+    """
+    if numerical_test not in ("ttest", "ks", "ad"):
+        raise ValueError("numerical_test must be ttest, ks or ad")
+    if not real.columns == raw.columns == refined.columns:
+        raise ValueError("the tables must have the same columns")
+    columns = [c for c in real.columns if c != key]
+    kinds = {r["col"]: r["kind"] for r in types_of(real.select(*columns), "test3").collect()}  # a row for each column
+    numbers, others = [c for c in columns if kinds[c] == "numerical"], [c for c in columns if kinds[c] != "numerical"]
+    sides = (("real", real), ("raw", raw), ("refined", refined))
+    spark, out = real.sparkSession, None
+    facts = spark.createDataFrame([(c, kinds[c], k) for k, c in enumerate(columns)], "col string, kind string, _place int")
+
+    def wide(long: DataFrame, tests: dict[str, DataFrame]) -> DataFrame:
+        pick = lambda s, c: F.max(F.when(F.col("ds") == s, F.col(c)))
+        t = long.groupBy("col").agg(F.max("cls").alias("real_class"), *[pick(s, c).alias(s + tail) for s, _ in sides for c, tail in (("stat", ""), ("std", "_std"))])
+        for s, p in tests.items():
+            t = t.join(p.select("col", F.col("p").alias(f"{s}_p")), "col", "left")
+        return t
+
+    if numbers:
+        both = None
+        for s, t in sides:
+            part = t.select(F.lit(s).alias("ds"), *[F.col(c).cast("double").alias(c) for c in numbers])
+            both = part if both is None else both.unionByName(part)
+        long = melt(both, numbers, ["ds"]).where("value IS NOT NULL").groupBy("ds", "col").agg(F.avg("value").alias("stat"), F.stddev_samp("value").alias("std")).withColumn("cls", F.lit(None).cast("string"))
+        if numerical_test == "ttest":
+            w = welch_test(both, "ds", "real", ("raw", "refined"), numbers)
+            tests = {s: w.where(F.col("candidate") == s) for s in ("raw", "refined")}
+        else:
+            f = ks_test if numerical_test == "ks" else anderson_test
+            tests = {s: f(both, "ds", "real", s, numbers) for s in ("raw", "refined")}
+        out = wide(long, tests)
+    if others:
+        counts = None
+        for s, t in sides:
+            part = melt(t, others, [], "string").where("value IS NOT NULL").groupBy("col", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("ds", F.lit(s))
+            counts = part if counts is None else counts.unionByName(part)
+        counts = counts.join(F.broadcast(facts), "col")  # a row for each column
+        size = counts.groupBy("ds", "col").agg(F.sum("n").alias("_size"))
+        numeric = {f.name for f in real.schema.fields if is_numeric(f.dataType)}
+        mode = counts.where("ds = 'real' AND kind = 'multiclass'").groupBy("col").agg(F.min_by("value", F.struct(-F.col("n"), F.when(F.col("col").isin(*numeric), F.col("value").cast("double")), "value")).alias("cls"))
+        cls = mode.unionByName(facts.where("kind = 'binary'").select("col", F.lit("1").alias("cls")))
+        same = (F.col("value") == F.col("cls")) | (F.col("col").isin(*numeric) & (F.col("value").cast("double") == F.col("cls").cast("double")))
+        long = counts.join(cls, "col").join(size, ["ds", "col"]).groupBy("ds", "col").agg((F.sum(F.when(same, F.col("n")).otherwise(0)) / F.max("_size")).alias("stat"), F.max("cls").alias("cls")).withColumn("std", F.lit(None).cast("double"))
+        tests = {s: with_p(chi2_pairs(real, t, key, others), "p", lambda x, d: 1.0 if not d else special.chi2_sf(x, d), "chi2", "df") for s, t in sides[1:]}
+        t = wide(long, tests)
+        out = t if out is None else out.unionByName(t)
+    match = lambda p: F.when(F.col(p) > alpha, "Similar").otherwise("Different").alias(p.replace("_p", "_match"))
+    named = [x for s, _ in sides for x in ([s, f"{s}_std"] + ([f"{s}_p", match(f"{s}_p")] if s != "real" else []))]
+    return out.join(F.broadcast(facts), "col").select("col", "kind", "real_class", *named)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -15,24 +16,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsieve.functions import special
+from tabsieve.functions.frames import cumulative
 from tabsieve.functions.rng import kfold, sample_n, stratified_split
-from tabsieve.operators.weights import auc, classification_report, importance
+from tabsieve.operators.encode import FeatureEncoder, prepare_target
+from tabsieve.operators.weights import auc, importance
+
+
+class Scale:
+    """Mean and population deviation of columns; a constant column is centred only."""
+
+    def __init__(self, fit_on: DataFrame, columns: list[str]):
+        row = fit_on.agg(*[f(c).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        self.columns = columns
+        self.facts = [(float(row[f"m{k}"] or 0.0), float(row[f"s{k}"] or 0.0) or 1.0) for k in range(len(columns))]
+
+    def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        scaled = [(F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in zip(self.columns, self.facts)]
+        return df.select(*keep, array_to_vector(F.array(*scaled)).alias("features"))
 
 
 def standardised(df: DataFrame, fit_on: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
-    """keep + `features`: columns scaled by fit_on's mean and population deviation (constant columns: centred only)."""
-    row = fit_on.agg(*[f(c).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    scaled = [(F.col(c) - F.lit(float(row[f"m{k}"] or 0.0))) / F.lit(float(row[f"s{k}"] or 0.0) or 1.0) for k, c in enumerate(columns)]
-    return df.select(*keep, array_to_vector(F.array(*scaled)).alias("features"))
+    """keep + `features`: columns scaled by fit_on's mean and population deviation."""
+    return Scale(fit_on, columns).transform(df, keep)
 
 
-def _base(kind: str, n_features: int):
+def _base(kind: str, n_features: int, layers: tuple[int, ...] = (100, 50), rounds: int = 20, iterations: int = 100):
+    """The base model: lr, gbt (rounds trees) or mlp (layers, none wider than four times the features; at most iterations steps)."""
     if kind == "lr":
         return LogisticRegression(labelCol="label", maxIter=100, regParam=1e-4)
     if kind == "gbt":
-        return GBTClassifier(labelCol="label", maxIter=20, maxDepth=5, stepSize=0.1, seed=42)
+        return GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=5, stepSize=0.1, seed=42)
     if kind == "mlp":
-        return MultilayerPerceptronClassifier(labelCol="label", layers=[n_features, min(100, 4 * n_features), min(50, 4 * n_features), 2], maxIter=100, seed=42)
+        return MultilayerPerceptronClassifier(labelCol="label", layers=[n_features, *[min(x, 4 * n_features) for x in layers], 2], maxIter=iterations, seed=42)
     raise ValueError(f"unknown model: {kind}")
 
 
@@ -43,26 +58,30 @@ class Calibrated:
         self.members, self.method = members, method
 
     @classmethod
-    def fit(cls, train: DataFrame, key: str, n_features: int, kind: str = "lr", method: str = "sigmoid", folds: int = 5, seed: int = 42) -> Calibrated:
+    def fit(cls, train: DataFrame, key: str, n_features: int, kind: str = "lr", method: str = "sigmoid", folds: int = 5, seed: int = 42, **base) -> Calibrated:
         parts = kfold(train, "label", key, folds, seed).persist()
-        members = []
-        for f in range(folds):
-            model = _base(kind, n_features).fit(parts.where(F.col("fold") != f))
+
+        def member(f: int):
+            model = _base(kind, n_features, **base).fit(parts.where(F.col("fold") != f))
             own = model.transform(parts.where(F.col("fold") == f)).select("label", vector_to_array("probability")[1].alias("p"))
             margin = own.select(F.col("label"), cls._margin().alias("z")).withColumn("one", array_to_vector(F.array("z")))
-            if method == "sigmoid":
-                # Platt's targets: slightly inside 0 and 1, as weighted rows of both labels
-                n = {r["label"]: r["n"] for r in margin.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-                hi, lo = (n.get(1.0, 0) + 1) / (n.get(1.0, 0) + 2), 1 / (n.get(0.0, 0) + 2)
-                target = F.when(F.col("label") == 1, hi).otherwise(lo)
-                soft = margin.withColumn("t", target).select("one", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("t").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("t")).alias("w")))).alias("r")).select("one", "r.*")
-                c = LogisticRegression(featuresCol="one", labelCol="label", weightCol="w").fit(soft)
-                members.append((model, (float(c.coefficients[0]), float(c.intercept))))
-            elif method == "isotonic":
+            if method == "isotonic":
                 c = IsotonicRegression(featuresCol="one", labelCol="label").fit(margin)
-                members.append((model, (np.array(c.boundaries), np.array(c.predictions))))
-            else:
-                raise ValueError(f"unknown calibration: {method}")
+                return model, (np.array(c.boundaries), np.array(c.predictions))
+            # Platt's targets: slightly inside 0 and 1, as weighted rows of both labels
+            n = {r["label"]: r["n"] for r in margin.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+            hi, lo = (n.get(1.0, 0) + 1) / (n.get(1.0, 0) + 2), 1 / (n.get(0.0, 0) + 2)
+            target = F.when(F.col("label") == 1, hi).otherwise(lo)
+            soft = margin.withColumn("t", target).select("one", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("t").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("t")).alias("w")))).alias("r")).select("one", "r.*")
+            c = LogisticRegression(featuresCol="one", labelCol="label", weightCol="w").fit(soft)
+            return model, (float(c.coefficients[0]), float(c.intercept))
+
+        if method not in ("sigmoid", "isotonic"):
+            raise ValueError(f"unknown calibration: {method}")
+        _base(kind, n_features, **base)  # an unknown kind fails here
+        parts.count()
+        with ThreadPoolExecutor(folds) as pool:  # the folds' jobs run side by side
+            members = list(pool.map(member, range(folds)))
         parts.unpersist()
         return cls(members, method)
 
@@ -88,78 +107,215 @@ class Calibrated:
         return scored.select(*keep, mean.alias(out))
 
 
-def fidelity(real: DataFrame, synthetic: DataFrame, key: str, columns: list[str], kind: str = "lr", method: str = "sigmoid", test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(metrics, weighted): accuracy, auc and kappa on the held-out part; (key, p, w) for each synthetic row."""
-    both = real.select(key, *columns, F.lit(1.0).alias("label")).unionByName(synthetic.select(key, *columns, F.lit(0.0).alias("label")))
-    split = stratified_split(both, "label", key, test_share, seed).persist()
-    train = split.where("split = 'train'")
-    model = Calibrated.fit(standardised(train, train, columns, [key, "label"]), key, len(columns), kind, method, seed=seed)
-    n = {r["label"]: r["n"] for r in split.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    kappa = n.get(0.0, 0) / max(n.get(1.0, 0), 1)
-    test = model.transform(standardised(split.where("split = 'test'"), train, columns, [key, "label"]), [key, "label"]).persist()
-    quality = test.agg(F.avg(((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double")).alias("accuracy")).crossJoin(auc(test, "p", "label").select("auc"))  # one row each
-    scored = model.transform(standardised(synthetic, train, columns, [key]), [key])
-    return quality.withColumn("kappa", F.lit(float(kappa))), scored.withColumn("w", importance(F.col("p"), kappa))
+class FidelityModel:
+    """A calibrated real-versus-synthetic classifier, to be applied to synthetic rows that it was not trained on.
+
+    Rows are encoded by an encoder fitted on the real table and the whole pool, then, if wanted, embedded by an autoencoder fitted on real rows, then scaled by the
+    training part. (key, label) order the splits, so the same input gives the same model.
+    """
+
+    def __init__(self, key, encoder, net, scale, model, kappa, metrics):
+        self.key, self.encoder, self.net, self.scale, self.model, self.kappa, self.metrics = key, encoder, net, scale, model, kappa, metrics
+
+    @staticmethod
+    def _encoded(df: DataFrame, key: str, encoder, net, keep: list[str]) -> DataFrame:
+        """keep + the numbered columns x0, x1, ... that the classifier sees."""
+        columns = encoder.columns()
+        wide = df.select(*keep, *[e.alias(f"x{k}") for k, (_, e) in enumerate(columns)])
+        return wide if net is None else net.embedded(wide, keep, [f"x{k}" for k in range(len(columns))])
+
+    @classmethod
+    def fit(cls, real: DataFrame, synthetic: DataFrame, key: str, kinds: dict[str, str], pool: DataFrame | None = None, kind: str = "mlp", method: str = "sigmoid", embedding: int | None = None, test_share: float = 0.2, folds: int = 5, seed: int = 42, epochs: int = 100, most_rows: int = 5_000, **base) -> FidelityModel:
+        encoder = FeatureEncoder.fit(real, synthetic if pool is None else pool, kinds)
+        net = None
+        if embedding:
+            wide = cls._encoded(real, key, encoder, None, [key])
+            net = Autoencoder.on_sample(wide, key, wide.columns[1:], embedding, most_rows, epochs, seed)
+        both = real.select(*real.columns, F.lit(1.0).alias("label")).unionByName(synthetic.select(*real.columns, F.lit(0.0).alias("label")))
+        coded = cls._encoded(both, key, encoder, net, [key, "label"])
+        columns = coded.columns[2:]
+        coded = stratified_split(coded, "label", key, test_share, seed).persist()
+        split = coded
+        train = split.where("split = 'train'")
+        scale = Scale(train, columns)
+        model = Calibrated.fit(scale.transform(train, [key, "label"]), key, len(columns), kind, method, folds, seed, **base)
+        n = {r["label"]: r["n"] for r in coded.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        kappa = n.get(0.0, 0) / max(n.get(1.0, 0), 1)
+        test = model.transform(scale.transform(split.where("split = 'test'"), [key, "label"]), [key, "label"])
+        quality = test.agg(F.avg(((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double")).alias("accuracy")).crossJoin(auc(test, "p", "label").select("auc")).first()  # one row each
+        coded.unpersist()
+        return cls(key, encoder, net, scale, model, kappa, {"accuracy": quality["accuracy"], "auc": quality["auc"], "kappa": float(kappa)})
+
+    def probabilities(self, df: DataFrame) -> DataFrame:
+        """(key, p): calibrated probability of being real."""
+        return self.model.transform(self.scale.transform(self._encoded(df, self.key, self.encoder, self.net, [self.key]), [self.key]), [self.key])
+
+    def weights(self, df: DataFrame, eps: float = 1e-9) -> DataFrame:
+        """(key, p, w): density-ratio weights of synthetic rows; give others than those the model was trained on."""
+        return self.probabilities(df).withColumn("w", importance(F.col("p"), self.kappa, eps))
+
+
+def fidelity(real: DataFrame, synthetic: DataFrame, key: str, columns: list[str], kind: str = "lr", method: str = "sigmoid", seed: int = 42, scored: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(metrics, weighted): accuracy, auc and kappa on the held-out part; (key, p, w) for each row of scored (the training rows unless given). Columns are numbers."""
+    m = FidelityModel.fit(real.select(key, *columns), synthetic.select(key, *columns), key, dict.fromkeys(columns, "numerical"), kind=kind, method=method, seed=seed, **options)
+    metrics = real.sparkSession.createDataFrame([tuple(m.metrics[k] for k in ("accuracy", "auc", "kappa"))], "accuracy double, auc double, kappa double")
+    return metrics, m.weights(synthetic if scored is None else scored)
+
+
+def fold_scores(scored: DataFrame) -> DataFrame:
+    """(fold, accuracy, macro_f1, auc) from (fold, label, prediction, prob): auc is the mean over classes of one against the rest, where defined.
+
+    One aggregate of the confusion counts and one running sum over the distinct scores, for all folds and classes at once.
+    """
+    cells = scored.groupBy("fold", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
+    accuracy = cells.groupBy("fold").agg((F.sum(hit) / F.sum("n")).alias("accuracy"))
+    sides = F.explode(F.array(F.struct(F.col("label").alias("cls"), F.col("n").alias("size"), hit.alias("hit")), F.struct(F.col("prediction").alias("cls"), F.col("n").alias("size"), F.lit(0).cast("long").alias("hit"))))
+    f1 = cells.select("fold", sides.alias("s")).select("fold", "s.*").groupBy("fold", "cls").agg((2 * F.sum("hit") / F.sum("size")).alias("f1")).groupBy("fold").agg(F.avg("f1").alias("macro_f1"))
+    one = scored.select("fold", "label", F.posexplode("prob").alias("cls", "value"))
+    key = F.concat_ws("|", "fold", "cls")
+    counts = one.groupBy("fold", "cls", "value").agg(F.sum((F.col("label") == F.col("cls")).cast("long")).alias("pos"), F.sum((F.col("label") != F.col("cls")).cast("long")).alias("neg")).withColumn("key", key)
+    run = cumulative(counts, "key", "value", {"upto": "neg"})
+    pairs = F.sum("pos") * F.sum("neg")
+    area = run.groupBy("fold", "cls").agg(F.when(pairs > 0, F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)) / pairs).alias("auc")).groupBy("fold").agg(F.avg("auc").alias("auc"))
+    return accuracy.join(f1, "fold").join(area, "fold")
+
+
+def _forest(train: DataFrame, columns: list[str], trees: int, seed: int):
+    return RandomForestClassifier(labelCol="label", numTrees=trees, seed=seed).fit(VectorAssembler(inputCols=columns, outputCol="features").transform(train))
+
+
+def _scored(model, df: DataFrame, columns: list[str]) -> DataFrame:
+    ready = VectorAssembler(inputCols=columns, outputCol="features").transform(df)
+    return model.transform(ready).select("fold", "label", "prediction", vector_to_array("probability").alias("prob"))
 
 
 def tstr(train: DataFrame, test: DataFrame, columns: list[str], key: str, trees: int = 100, folds: int = 5, seed: int = 42) -> DataFrame:
-    """(fold, accuracy, macro_f1, auc): one forest fitted on train, scored on stratified folds of test; auc is the mean of one against the rest."""
-    assemble = VectorAssembler(inputCols=columns, outputCol="features")
-    model = RandomForestClassifier(labelCol="label", numTrees=trees, seed=seed).fit(assemble.transform(train))
-    parts = kfold(test, "label", key, folds, seed)
-    scored = model.transform(assemble.transform(parts)).select("fold", "label", "prediction", vector_to_array("probability").alias("prob")).persist()
-    out = None
-    for f in range(folds):
-        part = scored.where(F.col("fold") == f)
-        accuracy = part.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
-        f1 = classification_report(part, "label", "prediction").agg(F.avg("f1").alias("macro_f1"))
-        areas = [auc(part.withColumn("s", F.get("prob", F.lit(c))).withColumn("y", (F.col("label") == c).cast("int")), "s", "y").select("auc") for c in range(model.numClasses)]
-        area = areas[0]
-        for a in areas[1:]:
-            area = area.unionByName(a)
-        row = accuracy.crossJoin(f1).crossJoin(area.agg(F.avg("auc").alias("auc"))).withColumn("fold", F.lit(f))  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(fold, accuracy, macro_f1, auc): one forest fitted on train, scored on stratified folds of test."""
+    return fold_scores(_scored(_forest(train, columns, trees, seed), kfold(test, "label", key, folds, seed), columns))
 
 
 def forest_importance(train: DataFrame, columns: list[str], trees: int = 100, seed: int = 42) -> DataFrame:
-    model = RandomForestClassifier(labelCol="label", numTrees=trees, seed=seed).fit(VectorAssembler(inputCols=columns, outputCol="features").transform(train))
+    """(feature, importance)."""
+    model = _forest(train, columns, trees, seed)
     return train.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())], "feature string, importance double")
 
 
-def utility_scenarios(real: DataFrame, raw: DataFrame, refined: DataFrame, target: str, key: str, seed: int = 42) -> DataFrame:
-    """(scenario, accuracy, macro_f1, auc, improvement..., gap...): models trained on raw, refined and real rows, tested on held-out real rows.
+METRICS = ("accuracy", "macro_f1", "auc")
 
-    Synthetic training sets are sampled down to the size of the real one; codes come from the real test split.
+
+def evaluate_model(name: str, train: DataFrame, test: DataFrame, columns: list[str], key: str, validate: DataFrame | None = None, trees: int = 100, folds: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores, report, importances) of a forest fitted on train and tested on test, all with `scenario`.
+
+    Cross-validation: on folds of validate, if given, by the forest fitted on train; otherwise each fold of train by a forest of the others. Scores has one row: the
+    test's metrics, and mean (cv_...) and population deviation (cv_..._std) over the folds, undefined areas left out.
     """
-    from tabsieve.operators.encode import prepare_target
+    from tabsieve.operators.weights import classification_report
+
+    spark, train = train.sparkSession, train.persist()
+    model = _forest(train, columns, trees, seed)
+    if validate is not None:
+        cv = [_scored(model, kfold(validate, "label", key, folds, seed), columns)]
+    else:
+        parts = kfold(train, "label", key, folds, seed).persist()
+        parts.count()
+        with ThreadPoolExecutor(folds) as pool:
+            models = list(pool.map(lambda f: _forest(parts.where(F.col("fold") != f), columns, trees, seed), range(folds)))
+        cv = [_scored(m, parts.where(F.col("fold") == f), columns) for f, m in enumerate(models)]
+    tested = _scored(model, test.withColumn("fold", F.lit(-1)), columns)
+    every = tested
+    for part in cv:
+        every = every.unionByName(part)
+    every = every.persist()
+    own, inner = F.col("fold") < 0, F.col("fold") >= 0
+    scores = fold_scores(every).agg(
+        *[F.max(F.when(own, F.col(m))).alias(m) for m in METRICS],
+        *[f(F.when(inner, F.col(m))).alias(f"cv_{m}{tail}") for m in METRICS for tail, f in (("", F.avg), ("_std", F.stddev_pop))],
+    )
+    report = classification_report(every.where(own), "label", "prediction")
+    facts = spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())], "feature string, importance double")
+    # few rows each: they come to the driver, so that the cached scores can go
+    out = tuple(spark.createDataFrame(t.collect(), t.schema).select(F.lit(name).alias("scenario"), "*") for t in (scores, report)) + (facts.select(F.lit(name).alias("scenario"), "*"),)
+    every.unpersist()
+    train.unpersist()
+    if validate is None:
+        parts.unpersist()
+    return out
 
-    split = stratified_split(real, target, key, 0.2, seed).persist()
-    test, train = split.where("split = 'test'").drop("split"), split.where("split = 'train'").drop("split")
+
+def utility_evaluation(real: DataFrame, raw: DataFrame, refined: DataFrame, target: str, key: str, test_share: float = 0.2, cv_share: float = 0.2, trees: int = 100, folds: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """evaluate_model() for forests trained on raw, refined and real rows, tested on held-out real rows.
+
+    Real rows are split into test, validation (cv_share of the rest) and training; synthetic tables are sampled down to the training part's size and cross-validated on
+    the validation part, the real model on its own folds. Codes come from the real test rows.
+    """
+    split = stratified_split(real, target, key, test_share, seed)
+    test, rest = split.where("split = 'test'").drop("split"), split.where("split = 'train'").drop("split")
+    second = stratified_split(rest, target, key, cv_share, seed + 1)
+    validate, train = second.where("split = 'test'").drop("split"), second.where("split = 'train'").drop("split")
     n = train.count()
     ready = lambda t: prepare_target(t, target, test)
     columns = [c for c in ready(test).columns if c not in ("label", key)]
-    out = None
-    for name, t in (("raw", sample_n(raw, n, key, seed)), ("refined", sample_n(refined, n, key, seed)), ("real", train)):
-        m = tstr(ready(t), ready(test), columns, key, seed=seed).agg(*[F.avg(c).alias(c) for c in ("accuracy", "macro_f1", "auc")], F.stddev_pop("accuracy").alias("accuracy_std")).withColumn("scenario", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return out
+    tested, validated = ready(test).persist(), ready(validate).persist()
+    jobs = (("raw", sample_n(raw, n, key, seed)), ("refined", sample_n(refined, n, key, seed)), ("real", train))
+    one = lambda job: evaluate_model(job[0], ready(job[1]), tested, columns, key, validated if job[0] != "real" else None, trees, folds, seed)
+    with ThreadPoolExecutor(3) as pool:
+        parts = list(pool.map(one, jobs))
+    tested.unpersist()
+    validated.unpersist()
+    return tuple(a.unionByName(b).unionByName(c) for a, b, c in zip(*parts))
+
+
+def utility_scenarios(*args, **options) -> DataFrame:
+    """The scores of utility_evaluation(): one row for each scenario."""
+    return utility_evaluation(*args, **options)[0]
 
 
-def kmeans_sweep(df: DataFrame, features: str, ks=range(2, 16), seeds=(1,)) -> DataFrame:
-    """(k, inertia, bic, aic): best inertia over the seeds; bic = k ln n + inertia, aic = 2 k + inertia."""
+def utility_summary(scores: DataFrame, baseline: str = "real", raw: str = "raw", refined: str = "refined") -> DataFrame:
+    """(metric, baseline, raw, refined, improvement, raw_gap, refined_gap, gap_reduction) in percent, for the test's and the folds' metrics.
+
+    improvement = (refined - raw) / raw, gap = (baseline - x) / baseline; 0 where the denominator is not above 0.
+    """
+    names = [*METRICS, *[f"cv_{m}" for m in METRICS]]
+    long = scores.select("scenario", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in names])).alias("r")).select("scenario", "r.*")
+    side = lambda s, n: F.max(F.when(F.col("scenario") == s, F.col("v"))).alias(n)
+    t = long.groupBy("metric").agg(side(baseline, "baseline"), side(raw, "raw"), side(refined, "refined"))
+    share = lambda a, b, of: F.when(F.col(of) > 0, (F.col(a) - F.col(b)) / F.col(of) * 100).otherwise(0.0)
+    t = t.withColumns({"improvement": share("refined", "raw", "raw"), "raw_gap": share("baseline", "raw", "baseline"), "refined_gap": share("baseline", "refined", "baseline")})
+    return t.withColumn("gap_reduction", F.col("raw_gap") - F.col("refined_gap"))
+
+
+def importance_comparison(importances: DataFrame, first: str, top: int = 10) -> DataFrame:
+    """(scenario, feature, importance, mean, place, r): the top features by mean importance, and each scenario's correlation with the first one's importances."""
+    means = importances.groupBy("feature").agg(F.avg("importance").alias("mean"))
+    base = importances.where(F.col("scenario") == first).select("feature", F.col("importance").alias("_b"))
+    r = importances.join(base, "feature").groupBy("scenario").agg(F.corr("importance", "_b").alias("r"))
+    from pyspark.sql import Window
+
+    places = means.orderBy(F.desc("mean"), "feature").limit(top)
+    place = F.row_number().over(Window.partitionBy("scenario").orderBy(F.desc("mean"), "feature"))
+    return importances.join(places, "feature").join(r, "scenario").select("scenario", "feature", "importance", "mean", place.alias("place"), "r")
+
+
+def kmeans_sweep(df: DataFrame, features: str, ks=range(2, 16), starts: int = 10, seed: int = 42, at_once: int = 8) -> DataFrame:
+    """(k, inertia, bic, aic): best inertia over the starts; bic = k ln n + inertia, aic = 2 k + inertia. Fits run at_once at a time over the cached rows."""
+    df = df.select(features).persist()
     n = df.count()
+    fit = lambda job: (job[0], float(KMeans(k=job[0], seed=seed + job[1], featuresCol=features, maxIter=20).fit(df).summary.trainingCost))
+    with ThreadPoolExecutor(at_once) as pool:
+        costs = list(pool.map(fit, [(k, s) for k in ks for s in range(starts)]))
+    df.unpersist()
     rows = []
     for k in ks:
-        inertia = min(KMeans(k=k, seed=s, featuresCol=features, maxIter=20).fit(df).summary.trainingCost for s in seeds)
-        rows.append((k, float(inertia), k * math.log(n) + inertia, 2.0 * k + inertia))
+        inertia = min(c for j, c in costs if j == k)
+        rows.append((k, inertia, k * math.log(n) + inertia, 2.0 * k + inertia))
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, bic double, aic double")
 
 
-def ari(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Adjusted Rand index of two labellings, from the contingency counts."""
+def ari(df: DataFrame, a: str, b: str, n: str | None = None) -> DataFrame:
+    """Adjusted Rand index of two labellings, from the contingency counts; a row of df stands for n rows (a column), if given."""
     c2 = lambda x: F.col(x) * (F.col(x) - 1) / 2
-    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    cells = df.groupBy(a, b).agg(F.sum(n).alias("n") if n else F.count(F.lit(1)).alias("n"))
     s = cells.agg(F.sum(c2("n")).alias("cells"), F.sum("n").alias("n"))
     r = cells.groupBy(a).agg(F.sum("n").alias("n")).agg(F.sum(c2("n")).alias("rows"))
     c = cells.groupBy(b).agg(F.sum("n").alias("n")).agg(F.sum(c2("n")).alias("cols"))
@@ -169,9 +325,9 @@ def ari(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(F.when(top == expected, 1.0).otherwise((F.col("cells") - expected) / (top - expected)).alias("ari"))
 
 
-def ami(df: DataFrame, a: str, b: str) -> DataFrame:
+def ami(df: DataFrame, a: str, b: str, n: str | None = None) -> DataFrame:
     """Adjusted mutual information (arithmetic mean of the entropies); the expected part is computed from the class sizes."""
-    cells = df.groupBy(F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")).agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0))
+    cells = df.groupBy(F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")).agg(F.sum(n).alias("n") if n else F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0))
 
     def finish(pdf):
         import pandas as pd
@@ -187,31 +343,57 @@ def ami(df: DataFrame, a: str, b: str) -> DataFrame:
     return cells.groupBy("all").applyInPandas(finish, "ami double")  # one row for each pair of classes
 
 
-def silhouette(df: DataFrame, key: str, features: str, cluster: str, most: int = 20_000, seed: int = 42) -> DataFrame:
-    """(cluster, n, silhouette): mean Euclidean silhouette by cluster, on a sample of at most `most` rows."""
-    part = sample_n(df.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("x"), F.col(cluster).cast("string").alias("c")), most, "id", seed)
-    t = part.toArrow()
-    x, c = np.array(t.column("x").to_pylist(), float), np.array(t.column("c").to_pylist())
-    names = np.unique(c)
-    member = (c[None, :] == names[:, None]).astype(float)
-    sizes = member.sum(1)
+def silhouette(df: DataFrame, key: str, features: str, cluster: str, most_held: int = 20_000) -> DataFrame:
+    """(cluster, n, silhouette): mean Euclidean silhouette by cluster, exact over all rows.
 
-    def rows(batches):
-        for batch in batches:
-            y, own = np.array(batch.column("x").to_pylist(), float), np.array(batch.column("c").to_pylist())
-            d = np.zeros((len(y), len(x)))
+    Every row's distances to all rows are summed by cluster. Up to most_held rows go to the executors as one array; beyond that rows are dealt to blocks of half as
+    many, every two blocks meet in one task, and the sums of a row come together afterwards. The work is quadratic either way.
+    """
+    part = df.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("x"), F.col(cluster).cast("string").alias("c"))
+    sizes = part.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+
+    def sums(x, c, y, ids):
+        """(id, cluster, sum of distances) of rows y to rows x."""
+        names, member = np.unique(c, return_inverse=True)
+        member = (member[None, :] == np.arange(len(names))[:, None]).astype(float)
+        for at in range(0, len(y), 512):
+            d = np.zeros((len(y[at : at + 512]), len(x)))
             for k in range(x.shape[1]):
-                diff = y[:, k, None] - x[None, :, k]
+                diff = y[at : at + 512, k, None] - x[None, :, k]
                 d += diff * diff
-            sums = np.sqrt(d) @ member.T
-            mine = own[:, None] == names[None, :]
-            n_own = sizes[mine.argmax(1)]
-            a = sums[mine] / np.maximum(n_own - 1, 1)
-            b = np.where(mine, np.inf, sums / sizes).min(1)
-            s = np.where((n_own > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(s)], names=["cluster", "s"])
+            s = np.sqrt(d) @ member.T
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 512], len(names))), pa.array(np.tile(names, len(s))), pa.array(s.ravel())], names=["id", "other", "s"])
+
+    if part.limit(most_held + 1).count() <= most_held:
+        t = part.toArrow()
+        x, c = np.array(t.column("x").to_pylist(), float), np.array(t.column("c").to_pylist())
+
+        def rows(batches):
+            for batch in batches:
+                yield from sums(x, c, np.array(batch.column("x").to_pylist(), float), np.array(batch.column("id").to_pylist()))
+
+        total = part.mapInArrow(rows, f"id {part.schema['id'].dataType.simpleString()}, other string, s double")
+    else:
+        blocks = -(-part.count() // max(most_held // 2, 1))
+        own = part.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "x", "c")
 
-    return part.mapInArrow(rows, "cluster string, s double").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("silhouette"))
+        def pair(pdf):
+            import pandas as pd
+
+            i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+            get = lambda k: (lambda q: (np.array(q["x"].tolist(), float).reshape(len(q), -1), q["c"].to_numpy(), q["id"].to_numpy()))(pdf[pdf["own"] == k])
+            sides = [(i, j)] if i == j else [(i, j), (j, i)]
+            found = [b.to_pandas() for p, q in sides for (x, c, _), (y, _, ids) in [(get(p), get(q))] if len(x) and len(y) for b in sums(x, c, y, ids)]
+            return pd.concat(found) if found else pd.DataFrame({"id": [], "other": [], "s": []})
+
+        met = dealt.groupBy("i", "j").applyInPandas(pair, f"id {part.schema['id'].dataType.simpleString()}, other string, s double")
+        total = met.groupBy("id", "other").agg(F.sum("s").alias("s"))
+    j = total.join(part.select("id", "c"), "id").join(F.broadcast(sizes.withColumnRenamed("c", "other")), "other")  # sizes: a row for each cluster
+    mine = F.col("c") == F.col("other")
+    per = j.groupBy("id", "c").agg(F.max(F.when(mine, F.col("size"))).alias("n"), F.max(F.when(mine, F.col("s") / F.greatest(F.col("size") - 1, F.lit(1)))).alias("a"), F.min(F.when(~mine, F.col("s") / F.col("size"))).alias("b"))
+    value = F.when((F.col("n") > 1) & F.col("b").isNotNull(), (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300))).otherwise(0.0)
+    return per.groupBy(F.col("c").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("silhouette"))
 
 
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -221,23 +403,34 @@ def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(F.when(F.col("s") > 0, F.col("m") / (F.col("s") / F.sqrt("n"))).alias("t"), (F.col("n") - 1).alias("df"), F.when(F.col("s") > 0, F.col("m") / F.col("s")).alias("cohens_d"))
 
 
-def cluster_folds(train: DataFrame, others: dict[str, DataFrame], key: str, columns: list[str], k: int = 5, folds: int = 5, seed: int = 42) -> DataFrame:
-    """(scenario, fold, ari, ami): agreement, on each fold of train, of a k-means model of each other table with one of train's remaining folds.
+def cluster_folds(train: DataFrame, others: dict[str, DataFrame], key: str, columns: list[str], k: int = 5, folds: int = 5, seed: int = 42, labels: str | None = None) -> DataFrame:
+    """(scenario, fold, ari, ami): agreement, on each fold of train, of a k-means model of each other table with train's own labels (column `labels`) or, without
+    them, with a model of train's remaining folds.
 
     Features are scaled by train; each other table is sampled down to the size of the remaining folds.
     """
     parts = kfold(train.withColumn("_all", F.lit(0)), "_all", key, folds, seed).persist()
-    scale = lambda t: standardised(t, train, columns, [key])
-    out = None
-    for f in range(folds):
-        rest, own = parts.where(F.col("fold") != f), scale(parts.where(F.col("fold") == f))
-        n = rest.count()
-        base = KMeans(k=k, seed=seed, maxIter=20).fit(scale(rest)).transform(own).withColumnRenamed("prediction", "a")
+    scale = Scale(train, columns)
+    fit = lambda t: KMeans(k=k, seed=seed, maxIter=20).fit(scale.transform(t, [key]))
+
+    def one(f: int):
+        rest, own = parts.where(F.col("fold") != f), parts.where(F.col("fold") == f)
+        n, out = rest.count(), None
+        base = scale.transform(own, [key, F.col(labels).alias("a")]) if labels else fit(rest).transform(scale.transform(own, [key])).withColumnRenamed("prediction", "a")
         for name, t in others.items():
-            model = KMeans(k=k, seed=seed, maxIter=20).fit(scale(sample_n(t, n, key, seed + f)))
-            both = model.transform(base).select("a", F.col("prediction").alias("b")).persist()
-            row = ari(both, "a", "b").crossJoin(ami(both, "a", "b")).withColumns({"scenario": F.lit(name), "fold": F.lit(f)})  # one row each
+            both = fit(sample_n(t, n, key, seed + f)).transform(base).select("a", F.col("prediction").alias("b"))
+            cells = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each pair of clusters
+            small = train.sparkSession.createDataFrame([(str(r["a"]), str(r["b"]), int(r["n"])) for r in cells], "a string, b string, n long")
+            row = ari(small, "a", "b", "n").crossJoin(ami(small, "a", "b", "n")).withColumns({"scenario": F.lit(name), "fold": F.lit(f)})  # one row each
             out = row if out is None else out.unionByName(row)
+        return out
+
+    with ThreadPoolExecutor(folds) as pool:
+        rows = list(pool.map(one, range(folds)))
+    parts.unpersist()
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
     return out
 
 
@@ -272,67 +465,116 @@ def pca_projection(df: DataFrame, key: str, features: str, k: int = 2) -> DataFr
 
 
 class Autoencoder:
-    """Dense encoder and mirrored decoder (leaky ReLU), Adam on the squared error, in numpy.
+    """Dense encoder and mirrored decoder in numpy: each hidden layer is linear, batch-normalised, leaky ReLU and dropout; the last layers of both are linear.
 
-    It is fitted on a sample of at most `most_rows` rows and applied to all rows in Arrow batches.
+    Adam on the squared error, weight decay added to the gradients. It is fitted on a sample of at most `most_rows` rows and applied to all rows in Arrow batches, with
+    running means in place of a batch's and no dropout.
     """
 
-    def __init__(self, weights: list[tuple[np.ndarray, np.ndarray]], n_encoder: int):
-        self.weights, self.n_encoder = weights, n_encoder
+    SLOPE, DROP, MOMENTUM, EPS = 0.2, 0.1, 0.1, 1e-5
 
-    @classmethod
-    def fit(cls, x: np.ndarray, embedding: int = 10, epochs: int = 40, batch: int = 64, rate: float = 1e-3, decay: float = 1e-5, seed: int = 42) -> Autoencoder:
-        d = x.shape[1]
-        sizes = [d, min(1000, 4 * d), min(500, 2 * d), min(50, d), min(embedding, max(8, d // 3))]
+    def __init__(self, sizes: list[int], seed: int):
         rng = np.random.default_rng(seed)
+        self.n_encoder = len(sizes) - 1
         dims = [*zip(sizes, sizes[1:]), *zip(sizes[::-1], sizes[::-1][1:])]
-        net = cls([(rng.normal(0, (2 / a) ** 0.5, (a, b)), np.zeros(b)) for a, b in dims], len(sizes) - 1)
-        m = [[np.zeros_like(p) for p in w] for w in net.weights]
-        v = [[np.zeros_like(p) for p in w] for w in net.weights]
+        self.plain = {self.n_encoder - 1, len(dims) - 1}  # layers without normalisation
+        self.w = [{"w": rng.normal(0, (2 / a) ** 0.5, (a, b)), "b": np.zeros(b), "g": np.ones(b), "h": np.zeros(b)} for a, b in dims]
+        self.mean, self.var = [np.zeros(b) for _, b in dims], [np.ones(b) for _, b in dims]
+
+    @classmethod
+    def fit(cls, x: np.ndarray, embedding: int = 10, epochs: int = 100, batch: int = 64, rate: float = 1e-3, decay: float = 1e-5, seed: int = 42, synthetic: np.ndarray | None = None, hidden: list[int] | None = None) -> Autoencoder:
+        """Fit on rows x; with synthetic rows too, x is repeated as often as it goes into them."""
+        d = x.shape[1]
+        if synthetic is not None and len(x):
+            x = np.concatenate([np.tile(x, (max(1, len(synthetic) // len(x)), 1)), synthetic])
+        net = cls([d, *(hidden or [min(1000, 4 * d), min(500, 2 * d), min(50, d)]), min(embedding, max(8, d // 3))], seed)
+        rng = np.random.default_rng(seed + 1)
+        m = [{k: np.zeros_like(p) for k, p in w.items()} for w in net.w]
+        v = [{k: np.zeros_like(p) for k, p in w.items()} for w in net.w]
         step = 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
-                acts = net._run(x[order[at : at + batch]])
-                g = 2 * (acts[-1] - acts[0]) / acts[0].size
+                part = x[order[at : at + batch]]
+                if len(part) < 2:
+                    continue  # no variance to normalise by
                 step += 1
-                for k in range(len(net.weights) - 1, -1, -1):
-                    w, b = net.weights[k]
-                    if k not in (len(net.weights) - 1, net.n_encoder - 1):
-                        g = g * np.where(acts[k + 1] > 0, 1.0, 0.2)
-                    grads = acts[k].T @ g + decay * w, g.sum(0)
-                    g = g @ w.T
-                    new = []
-                    for i, (p, q) in enumerate(zip((w, b), grads)):
-                        m[k][i] = 0.9 * m[k][i] + 0.1 * q
-                        v[k][i] = 0.999 * v[k][i] + 0.001 * q * q
-                        new.append(p - rate * (m[k][i] / (1 - 0.9**step)) / (np.sqrt(v[k][i] / (1 - 0.999**step)) + 1e-8))
-                    net.weights[k] = tuple(new)
+                for k, grads in enumerate(net._gradients(part, rng)):
+                    for name, q in grads.items():
+                        p = net.w[k][name]
+                        q = q + decay * p
+                        m[k][name] = 0.9 * m[k][name] + 0.1 * q
+                        v[k][name] = 0.999 * v[k][name] + 0.001 * q * q
+                        net.w[k][name] = p - rate * (m[k][name] / (1 - 0.9**step)) / (np.sqrt(v[k][name] / (1 - 0.999**step)) + 1e-8)
         return net
 
-    def _run(self, x: np.ndarray, layers: int | None = None) -> list[np.ndarray]:
-        acts = [x]
-        for k, (w, b) in enumerate(self.weights[:layers]):
-            z = acts[-1] @ w + b
-            acts.append(z if k in (len(self.weights) - 1, self.n_encoder - 1) else np.where(z > 0, z, 0.2 * z))
-        return acts
+    @classmethod
+    def on_sample(cls, df: DataFrame, key: str, columns: list[str], embedding: int, most_rows: int, epochs: int, seed: int) -> Autoencoder:
+        sample = sample_n(df, most_rows, key, seed).select(*columns).toArrow()
+        return cls.fit(np.stack([sample.column(c).to_numpy() for c in columns], 1).astype(float), embedding, epochs, seed=seed)
+
+    def _gradients(self, x: np.ndarray, rng=None) -> list[dict]:
+        """Gradients of the mean squared error on a batch; with a generator, dropout is drawn and running means move."""
+        kept, a = [], x
+        for k, w in enumerate(self.w):
+            z = a @ w["w"] + w["b"]
+            if k in self.plain:
+                kept.append((a, None))
+                a = z
+                continue
+            mean, var = z.mean(0), z.var(0)
+            norm = (z - mean) / np.sqrt(var + self.EPS)
+            y = norm * w["g"] + w["h"]
+            mask = (rng.random(y.shape) >= self.DROP) / (1 - self.DROP) if rng is not None else np.ones_like(y)
+            slope = np.where(y > 0, 1.0, self.SLOPE) * mask
+            kept.append((a, (norm, var, slope)))
+            a = y * slope
+            if rng is not None:
+                n = len(z)
+                self.mean[k] = (1 - self.MOMENTUM) * self.mean[k] + self.MOMENTUM * mean
+                self.var[k] = (1 - self.MOMENTUM) * self.var[k] + self.MOMENTUM * var * n / (n - 1)
+        g, out = 2 * (a - x) / x.size, [None] * len(self.w)
+        for k in range(len(self.w) - 1, -1, -1):
+            a, hidden = kept[k]
+            grads = {}
+            if hidden:
+                norm, var, slope = hidden
+                g = g * slope
+                grads = {"g": (g * norm).sum(0), "h": g.sum(0)}
+                t = g * self.w[k]["g"]
+                g = (t - t.mean(0) - norm * (t * norm).mean(0)) / np.sqrt(var + self.EPS)
+            out[k] = grads | {"w": a.T @ g, "b": g.sum(0)}
+            g = g @ self.w[k]["w"].T
+        return out
+
+    def _run(self, x: np.ndarray, layers: int | None = None) -> np.ndarray:
+        for k, w in enumerate(self.w[:layers]):
+            x = x @ w["w"] + w["b"]
+            if k not in self.plain:
+                x = (x - self.mean[k]) / np.sqrt(self.var[k] + self.EPS) * w["g"] + w["h"]
+                x = np.where(x > 0, x, self.SLOPE * x)
+        return x
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        return self._run(x, self.n_encoder)[-1]
+        return self._run(x, self.n_encoder)
 
     def decode_error(self, x: np.ndarray) -> float:
-        return float(((self._run(x)[-1] - x) ** 2).mean())
+        return float(((self._run(x) - x) ** 2).mean())
 
+    def embedded(self, df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
+        """keep + x0, x1, ...: the embedding of each row."""
+        n = self.w[self.n_encoder - 1]["b"].shape[0]
 
-def embed(df: DataFrame, key: str, columns: list[str], embedding: int = 10, most_rows: int = 5_000, epochs: int = 40, seed: int = 42) -> DataFrame:
-    """(key, embedding array<double>) of each row; the autoencoder is fitted on a bounded sample."""
-    sample = sample_n(df, most_rows, key, seed).select(*columns).toArrow()
-    net = Autoencoder.fit(np.stack([sample.column(c).to_numpy() for c in columns], 1).astype(float), embedding, epochs, seed=seed)
+        def rows(batches):
+            for batch in batches:
+                z = self.encode(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], 1).astype(float))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(z[:, k]) for k in range(n))], names=[*keep, *(f"x{k}" for k in range(n))])
+
+        kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in keep] + [f"x{k} double" for k in range(n)]
+        return df.select(*keep, *columns).mapInArrow(rows, ", ".join(kinds))
 
-    def rows(batches):
-        for batch in batches:
-            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], 1).astype(float)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(net.encode(x)), pa.list_(pa.float64()))], names=[key, "embedding"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *columns).mapInArrow(rows, f"{key} {kind}, embedding array<double>")
+def embed(df: DataFrame, key: str, columns: list[str], embedding: int = 10, most_rows: int = 5_000, epochs: int = 100, seed: int = 42) -> DataFrame:
+    """(key, embedding array<double>) of each row; the autoencoder is fitted on a bounded sample."""
+    wide = Autoencoder.on_sample(df, key, columns, embedding, most_rows, epochs, seed).embedded(df, [key], columns)
+    return wide.select(key, F.array(*wide.columns[1:]).alias("embedding"))

@@ -105,7 +105,7 @@ def rbf_root(spark, sf):
 
 
 def sinkhorn(spark, sf):
-    return M.sinkhorn(part_scaled(spark, sf), "ds", "real", "raw", ["p_size", "p_retailprice"], "p_partkey", most=1000)
+    return M.sinkhorn(part_scaled(spark, sf), "ds", "real", "raw", ["p_size", "p_retailprice"], "p_partkey")
 
 
 def moments(spark, sf):
@@ -125,7 +125,7 @@ def corr_gap(spark, sf):
 
 def similarity(spark, sf):
     df = lineitem_roles(spark, sf).withColumn("row", F.xxhash64("l_orderkey", "l_linenumber", "l_extendedprice")).withColumn("q", F.round(F.col("l_quantity") / 5)).select("ds", "row", "l_returnflag", "l_linestatus", "q", "l_discount")
-    return R.similarity_report(df, "ds", "real", "raw", "refined", ["l_returnflag", "l_linestatus"], ["q", "l_discount"], "row", most_transport=1_000)
+    return R.similarity_report(df, "ds", "real", "raw", "refined", ["l_returnflag", "l_linestatus"], ["q", "l_discount"], "row")
 
 
 QUERIES = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabsieve.functions.frames import r6
@@ -12,9 +13,10 @@ from tabsieve.operators import learning as L
 from tabsieve.operators import moments as M
 from tabsieve.operators import reports as R
 from tabsieve.operators import weights as W
+from tabsieve.operators.refine import refine
 from tabsieve.plans import queries_privacy as Q
 from tabsieve.plans.sql import r, with_
-from tabsieve.sources.tables import lineitem_roles, table
+from tabsieve.sources.tables import customer_sides, lineitem_roles, table
 
 COLS = ["l_quantity", "l_discount", "l_tax"]
 
@@ -45,7 +47,7 @@ def importance(spark, sf):
     from tabsieve.operators.encode import prepare_target
 
     t = prepare_target(_orders(spark, sf).where("part = 0").drop("part", "o_orderkey"), "o_orderstatus")
-    return L.forest_importance(t, [c for c in t.columns if c != "label"], trees=20)
+    return L.forest_importance(t, [c for c in t.columns if c != "label"])
 
 
 def _vectors(spark, sf):
@@ -53,7 +55,7 @@ def _vectors(spark, sf):
 
 
 def kmeans(spark, sf):
-    return L.kmeans_sweep(_vectors(spark, sf).persist(), "features", range(2, 7))
+    return L.kmeans_sweep(_vectors(spark, sf), "features")
 
 
 def pca(spark, sf):
@@ -61,13 +63,40 @@ def pca(spark, sf):
 
 
 def _three(spark, sf):
-    df = lineitem_roles(spark, sf).select("ds", F.xxhash64("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity").alias("row"), *COLS).dropDuplicates(["row"])
+    """lineitem's roles, every row with a key of its own: equal rows are numbered."""
+    df = lineitem_roles(spark, sf)
+    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[c for c in df.columns if c not in ("l_orderkey", "l_linenumber")])
+    df = df.withColumn("_n", F.row_number().over(same)).select("ds", F.concat_ws(":", "l_orderkey", "l_linenumber", "_n").alias("row"), *COLS)
     return {s: df.where(F.col("ds") == s).drop("ds") for s in ("real", "raw", "refined")}
 
 
 def cluster_folds(spark, sf):
     t = _three(spark, sf)
-    return L.fold_summary(L.cluster_folds(t["real"], {k: t[k] for k in ("raw", "refined")}, "row", COLS, k=3, folds=3), "raw", "refined")
+    return L.fold_summary(L.cluster_folds(t["real"], {k: t[k] for k in ("raw", "refined")}, "row", COLS), "raw", "refined")
+
+
+def cluster_folds_labels(spark, sf):
+    """Agreement with true labels: vectors of every second id against models of the others."""
+    e = table(spark, sf, "embeddings")
+    cols = [f"x{k}" for k in range(64)]
+    wide = e.select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(cols)])
+    return L.cluster_folds(wide.where("vec_id % 2 = 0"), {"others": wide.where("vec_id % 2 = 1")}, "vec_id", cols, k=10, labels="label")
+
+
+def utility_summary(spark, sf):
+    return L.utility_summary(tstr(spark, sf))
+
+
+def importance_comparison(spark, sf):
+    o = _orders(spark, sf)
+    found = L.utility_evaluation(o.where("part = 0").drop("part"), o.where("part IN (1, 2) AND o_totalprice > 50000").drop("part"), o.where("part IN (3, 4)").drop("part"), "o_orderstatus", "o_orderkey")
+    return L.importance_comparison(found[2], "real")
+
+
+def refined(spark, sf):
+    """The whole refinement of the customer pool, the classifier included."""
+    real, pool = customer_sides(spark, sf)
+    return refine(real, pool, "row_id", Q.COLUMNS)[0]
 
 
 def projection(spark, sf):
@@ -127,6 +156,10 @@ QUERIES = {
     "tstr_report": tstr,
     "feature_importance": importance,
     "kmeans_sweep": kmeans,
+    "utility_summary": utility_summary,
+    "importance_comparison": importance_comparison,
+    "refine_pipeline": refined,
+    "cluster_folds_labels": cluster_folds_labels,
     "pca_projection": pca,
     "union_projection": projection,
     "cluster_folds": cluster_folds,

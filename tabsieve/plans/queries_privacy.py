@@ -162,7 +162,7 @@ def gathered(spark, sf):
     return S.sir(pool, "row_id", "w", N).join(pool.select("row_id", "c_nationkey"), "row_id").select("draw", "row_id", "c_nationkey")
 
 
-def flagship(spark, sf):
+def refine_draws(spark, sf):
     """Flags, weights of a pseudo-probability, and a resample under the identifiability budget, as one table of draws."""
     f = flags(spark, sf)
     pool = weighted_pool(spark, sf).drop("flag").join(f, "row_id")
@@ -202,7 +202,7 @@ QUERIES = {
     "sampling_statistics": sampling_stats,
     "random_baseline": random_baseline,
     "gather_draws": gathered,
-    "refine_pipeline": flagship,
+    "refine_draws": refine_draws,
 }
 
 _SETTINGS = [("raw", "w")] + [(f"flatten_{a:g}", f"pow(w, {a}::double)") for a in (0.5, 0.8, 1.0, 1.2, 1.5)] + [(f"clipped_{c:g}", f"greatest(w, {c!r}::double)") for c in (1e-6, 1e-4, 1e-2, 0.1)]
@@ -260,5 +260,5 @@ SQL = {
     "sampling_statistics": with_(_IC) + "SELECT count(*) AS selected, sum(flag)::bigint AS identifiable, (SELECT count(*) FROM wp) AS pool, (SELECT sum(flag)::bigint FROM wp) AS pool_identifiable, " + r("avg(flag)") + " AS share, sum(flag) > floor(count(*)*0.05::double+1e-9::double) AS exceeded FROM ic",
     "random_baseline": "SELECT row_id FROM (SELECT c_custkey AS row_id, row_number() OVER (ORDER BY " + md5u_sql(42, "c_custkey") + ", c_custkey) AS rk FROM customer WHERE c_custkey % 5 <> 0) WHERE rk <= 300",
     "gather_draws": with_(WEIGHTED, CDFW) + "SELECT draw, row_id, c_nationkey FROM (" + draws("iv", 42, N) + ") JOIN wp USING (row_id)",
-    "refine_pipeline": with_(_REFINE) + "SELECT draw, row_id, ic.flag, " + r("w") + " AS w FROM ic JOIN wp USING (row_id)",
+    "refine_draws": with_(_REFINE) + "SELECT draw, row_id, ic.flag, " + r("w") + " AS w FROM ic JOIN wp USING (row_id)",
 }

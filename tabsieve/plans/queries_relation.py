@@ -44,7 +44,7 @@ def spearman(spark, sf):
 
 
 def kendall(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 1500").withColumn("ds", F.lit("all"))
+    p = table(spark, sf, "part").withColumn("ds", F.lit("all"))
     return A.kendall(p, ["p_size", "p_retailprice"], "ds").withColumn("tau", r6("tau"))
 
 
@@ -76,7 +76,24 @@ def mi(spark, sf):
 
 
 def mi_knn(spark, sf):
-    return A.mutual_information_knn(table(spark, sf, "part"), "p_partkey", "p_size", "p_retailprice", most=1000)
+    return A.mutual_information_knn(table(spark, sf, "part"), "p_partkey", "p_size", "p_retailprice")
+
+
+def mi_matrix(spark, sf):
+    return A.mutual_information_matrix(table(spark, sf, "part").select("p_partkey", "p_type", "p_brand", "p_size", "p_retailprice"), "p_partkey", ["p_size", "p_retailprice"], ["p_type", "p_brand"])
+
+
+def consensus(spark, sf):
+    return A.consensus(matrix(spark, sf), "ds").select("row_var", "col_var", "kind", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+def _comparison(test):
+    def query(spark, sf):
+        o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.length("o_orderpriority").alias("width"), (F.col("o_custkey") % 2).cast("int").alias("odd"), "o_orderstatus")
+        side = lambda *k: o.where((F.col("o_orderkey") % 5).isin(*k))
+        return H.compare_distributions(side(0), side(1, 2).where("o_totalprice > 30000"), side(3, 4), "o_orderkey", numerical_test=test)
+
+    return query
 
 
 def welch(spark, sf):
@@ -159,6 +176,9 @@ QUERIES = {
     "corr_analysis_improvement": improvement,
     "mutual_info_discrete": mi,
     "mutual_info_knn": mi_knn,
+    "mutual_info_matrix": mi_matrix,
+    "corr_consensus": consensus,
+    **{f"compare_distributions_{t}": _comparison(t) for t in ("ttest", "ks", "ad")},
     "welch_t": welch,
     "welch_test": welch_p,
     "anderson_ksamp": anderson,
@@ -201,11 +221,12 @@ SQL = {
     "eta_squared_documents": with_(_ETA_DOC) + "SELECT ds, cat, num, " + r("eta2") + " AS eta2 FROM eta",
     "corr_pearson": with_(ROLES, f"np AS ({NPAIRS})") + "SELECT ds, x, y, " + r("corr(vx, vy)") + " AS r FROM np GROUP BY ALL",
     "corr_spearman": with_(ROLES, SPEAR) + "SELECT ds, x, y, " + r("r") + " AS r FROM sp",
-    "corr_kendall": "WITH p AS (SELECT p_size::double AS a, p_retailprice AS b, row_number() OVER (ORDER BY p_partkey) AS i FROM part WHERE p_partkey <= 1500) SELECT 'all' AS ds, 'p_size' AS x, 'p_retailprice' AS y, " + r("sum(sign(p.a-q.a)*sign(p.b-q.b))/sqrt(sum(abs(sign(p.a-q.a)))::double*sum(abs(sign(p.b-q.b)))::double)") + " AS tau FROM p JOIN p q ON p.i < q.i",
+    "corr_kendall": "WITH p AS (SELECT p_size::double AS a, p_retailprice AS b, row_number() OVER (ORDER BY p_partkey) AS i FROM part) SELECT 'all' AS ds, 'p_size' AS x, 'p_retailprice' AS y, " + r("sum(sign(p.a-q.a)*sign(p.b-q.b))/sqrt(sum(abs(sign(p.a-q.a)))::double*sum(abs(sign(p.b-q.b)))::double)") + " AS tau FROM p JOIN p q ON p.i < q.i",
     "mixed_corr_lower": with_(ROLES, MIXED) + "SELECT ds, row_var, col_var, kind, " + r("value") + " AS value FROM mat",
     "corr_block_stats": with_(ROLES, MIXED) + "SELECT ds, kind, count(value) AS n, " + r("avg(value)") + " AS mean, " + r("stddev_pop(value)") + " AS std, " + r("min(value)") + ' AS "min", ' + r("max(value)") + ' AS "max", ' + r("avg(abs(value))") + " AS abs_mean FROM mat GROUP BY ds, kind",
     "corr_similarity": with_(ROLES, _SIM) + "SELECT candidate, " + ", ".join(f"{r(c)} AS {c}" for c in ("frobenius", "normalised", "mae", "mse", "block_mae")) + " FROM sim",
     "corr_analysis_improvement": with_(ROLES, _SIM, "im AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, max({m}) FILTER (candidate='raw') AS a, max({m}) FILTER (candidate='refined') AS b FROM sim" for m in ("frobenius", "mae", "mse")) + ")") + "SELECT metric, " + r("a") + " AS raw, " + r("b") + " AS refined, " + r("CASE WHEN a > 0 THEN (a-b)/a*100 ELSE 0 END", 3) + " AS percent FROM im",
+    "corr_consensus": with_(ROLES, MIXED) + "SELECT row_var, col_var, kind, " + r("avg(value)") + " AS mean, " + r("stddev_pop(value)") + " AS std FROM mat GROUP BY 1,2,3",
     "mutual_info_discrete": with_(ROLES, MARGINS) + "SELECT ds, x, y, " + r("sum(n/nn*ln(n*nn/(nr*nc)))") + " AS mi FROM m GROUP BY ds, x, y",
     "welch_t": with_(ROLES, "long AS (" + " UNION ALL ".join(f"SELECT ds, '{c}' AS col, {c}::double AS value FROM roles" for c in N) + ")", "s AS (SELECT ds, col, avg(value) AS m, var_samp(value)/count(*) AS v, count(*) AS n FROM long GROUP BY 1,2)") + "SELECT b.col, b.ds AS candidate, " + r("(a.m-b.m)/sqrt(a.v+b.v)") + " AS t, " + r("pow(a.v+b.v,2)/(a.v*a.v/(a.n-1)+b.v*b.v/(b.n-1))", 2) + " AS df FROM s b JOIN s a ON a.col=b.col AND a.ds='real' WHERE b.ds <> 'real'",
     "anderson_ksamp": with_(ROLES, CDF) + f"SELECT col, {r(f'(any_value({_N})-1)/any_value({_N})*(' + _AD('a', 'ca', 'na') + '/any_value(na)+' + _AD('b', 'cb', 'nb') + '/any_value(nb))', 4)} AS a2 FROM cdf GROUP BY col",

@@ -8,7 +8,7 @@ MODULES = (queries_table, queries_privacy, queries_distance, queries_relation, q
 
 
 def flagship(spark, sf_dir):
-    return queries_privacy.flagship(spark, sf_dir)
+    return queries_learning.refined(spark, sf_dir)
 
 
 def queries():

@@ -261,14 +261,6 @@ def test_clustering_indices(spark):
     assert abs(L.ari(df.withColumn("b", F.lit(1)), "a", "b").first()["ari"]) < 1e-12
 
 
-def test_autoencoder_learns(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(400, 2)) @ rng.normal(size=(2, 12))
-    x = (x - x.mean(0)) / x.std(0)
-    first, last = L.Autoencoder.fit(x, 8, epochs=1), L.Autoencoder.fit(x, 8, epochs=25)
-    assert last.decode_error(x) < 0.5 * first.decode_error(x) and last.encode(x).shape == (400, 8)
-
-
 def test_classifier_and_calibration(spark):
     rng = np.random.default_rng(0)
     real = spark.createDataFrame([(k, *map(float, rng.normal(0.8, 1, 2))) for k in range(400)], "id long, a double, b double")

@@ -11,8 +11,8 @@ from tabsieve.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 Q, S = registry.queries(), registry.oracle_sql()
-#: Model fits, too slow for every run; test_learning.py covers their parts.
-SLOW = {"fidelity_gbt_isotonic", "fidelity_mlp_sigmoid", "tstr_report", "fidelity_weights", "kmeans_sweep", "refine_pipeline"}
+#: Compositions of model fits whose parts test_learning.py covers; fidelity_weights, refine_pipeline and cluster_folds_labels run here.
+SLOW = {"fidelity_gbt_isotonic", "fidelity_mlp_sigmoid", "tstr_report", "utility_summary", "importance_comparison", "kmeans_sweep", "cluster_folds"}
 
 
 @pytest.fixture(scope="module")
