@@ -214,7 +214,7 @@ def match(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, seed:
         else:  # further blocks see the results so far
             base, cols = out.withColumnsRenamed({"score": "_score", "item_id": "_item", "n_items": "_n"}), [*keep, "_score", "_item", "_n"]
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-        out = base.mapInArrow(lambda it, b=bench, c=cols: _matched(it, b, least_score, c), f"{fields}, score double, item_id long, n_items long")
+        out = base.mapInArrow(lambda it, b=bench, c=cols: C.trimmed(_matched(it, b, least_score, c)), f"{fields}, score double, item_id long, n_items long")
         if "_score" in cols:
             old = (F.col("_score") > F.col("score")) | ((F.col("_score") == F.col("score")) & (F.col("_item") < F.col("item_id")))
             out = out.select(*keep, F.greatest("_score", "score").alias("score"), F.when(old | F.col("item_id").isNull(), F.coalesce("_item", "item_id")).otherwise(F.col("item_id")).alias("item_id"), (F.col("_n") + F.col("n_items")).alias("n_items"))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabsieve.llm import common as C
 from tabsieve.llm import trees
 
 #: Second-person pronouns of the four languages (fixed values).
@@ -181,7 +182,7 @@ def train(labelled: DataFrame, most_rows: int = 12_000, most_words: int = 1_000)
     n0 = sum(n for (_, y), n in sizes.items() if y == 0)
     if not n1 or not n0:
         return Model(Lexicon({}), None, None, 1.0 * bool(n1))
-    words = rows.mapInArrow(_word_rows, "fold int, toxic int, word string").groupBy("word").agg(*[F.count(F.when((F.col("fold") == f) & (F.col("toxic") == y), 1)).alias(f"n{f}{y}") for f in (0, 1) for y in (0, 1)])
+    words = rows.mapInArrow(lambda it: C.trimmed(_word_rows(it)), "fold int, toxic int, word string").groupBy("word").agg(*[F.count(F.when((F.col("fold") == f) & (F.col("toxic") == y), 1)).alias(f"n{f}{y}") for f in (0, 1) for y in (0, 1)])
 
     def lexicon(folds) -> dict[str, float]:
         t, c = sum(sizes.get((f, 1), 0) for f in folds), sum(sizes.get((f, 0), 0) for f in folds)
@@ -203,7 +204,7 @@ def train(labelled: DataFrame, most_rows: int = 12_000, most_words: int = 1_000)
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), batch.column("part").cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "part", "x"])
 
     got = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int").alias("fold"), F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(4)).cast("int").alias("part"))
-    table = got.mapInArrow(made, "toxic int, part int, x array<double>").toArrow()
+    table = got.mapInArrow(lambda it: C.trimmed(made(it)), "toxic int, part int, x array<double>").toArrow()
     y = table.column("toxic").to_numpy().astype(float)
     part = table.column("part").to_numpy()
     x = np.array(table.column("x").to_pylist(), float).reshape(len(y), N_FEATURES)
@@ -234,7 +235,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out, most_rows: int = 12_000)
     """doc_id, held_out, score, predicted for each row of docs; rows where held_out(doc_id) holds teach nothing."""
     model = train(training_rows(docs, labels, lambda c: ~held_out(c), most_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(lambda it: _scored(it, model, ["doc_id", "held_out"]), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lambda it: C.trimmed(_scored(it, model, ["doc_id", "held_out"])), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) -> DataFrame:
@@ -245,7 +246,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) ->
         for batch in batches:
             yield batch.filter(pa.array(model.predict(batch.column("text")) < 0.5))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lambda it: C.trimmed(kept(it)), docs.schema)
 
 
 def is_held_out(doc_id):

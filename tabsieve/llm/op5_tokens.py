@@ -218,7 +218,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END, folder
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = F.col("doc_id").asc_nulls_last()
-    done = rows.repartitionByRange(n, order).sortWithinPartitions(order, "text").mapInArrow(lambda it: _write(it, folder, tokenizer_json, end_id), "shard long, path string, first binary, n_docs long, n_ids long")
+    done = rows.repartitionByRange(n, order).sortWithinPartitions(order, "text").mapInArrow(lambda it: C.trimmed(_write(it, folder, tokenizer_json, end_id)), "shard long, path string, first binary, n_docs long, n_ids long")
     return sorted(done.collect(), key=lambda r: bytes(r["first"]))
 
 

@@ -358,7 +358,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int
 
 
 def _near(docs: DataFrame, numbered: bool, shingle: int, percent: int, trees: int, most_node: int = 4_000, most_shingles: int = 2_000_000) -> DataFrame:
-    sig = C.cut(docs.select("uid", "doc_id", "text").mapInArrow(lambda it: _signed(it, shingle, trees), "uid long, doc_id long, n long, s1 long, s2 long, tokens binary, keys array<long>"), "signatures")
+    sig = C.cut(docs.select("uid", "doc_id", "text").mapInArrow(lambda it: C.trimmed(_signed(it, shingle, trees)), "uid long, doc_id long, n long, s1 long, s2 long, tokens binary, keys array<long>"), "signatures")
     least, ratio = percent / 100 - SLACK, percent / 100
 
     # classes of equal sets: partial minima first, so a third of all rows in one class is no burden
@@ -366,11 +366,11 @@ def _near(docs: DataFrame, numbered: bool, shingle: int, percent: int, trees: in
     reps = sig.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
 
     placed, oversized = _placed(reps.select("uid", F.explode("keys").alias("key")), most_node)
-    loose = placed.join(reps.select("uid", "n", "tokens"), "uid").repartition("key", "block").sortWithinPartitions("key", "block", "uid").mapInArrow(lambda it: _node_edges(it, least, ratio), "a long, b long")
+    loose = placed.join(reps.select("uid", "n", "tokens"), "uid").repartition("key", "block").sortWithinPartitions("key", "block", "uid").mapInArrow(lambda it: C.trimmed(_node_edges(it, least, ratio)), "a long, b long")
     known = C.components(loose)
     group = ("key", "block", "other")
     if oversized is not None:
-        more = _rest(oversized, known, most_node).join(reps.select("uid", "n", "tokens"), "uid").repartition(*group).sortWithinPartitions(*group, "uid").mapInArrow(lambda it: _rest_edges(it, least, ratio), "a long, b long")
+        more = _rest(oversized, known, most_node).join(reps.select("uid", "n", "tokens"), "uid").repartition(*group).sortWithinPartitions(*group, "uid").mapInArrow(lambda it: C.trimmed(_rest_edges(it, least, ratio)), "a long, b long")
         known = C.components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     clusters = known.withColumnRenamed("component", "cluster")
 
@@ -381,18 +381,18 @@ def _near(docs: DataFrame, numbered: bool, shingle: int, percent: int, trees: in
     texts = docs.select("uid", "text")
 
     def sets_of(part: DataFrame) -> DataFrame:
-        return part.join(texts, "uid").select("cluster", "uid", "text").mapInArrow(lambda it: _full_sets(it, shingle), "cluster long, uid long, shingles binary")
+        return part.join(texts, "uid").select("cluster", "uid", "text").mapInArrow(lambda it: C.trimmed(_full_sets(it, shingle)), "cluster long, uid long, shingles binary")
 
     alone = sets_of(where.where("blocks = 1")).select(F.col("cluster").alias("g"), F.lit(-1).alias("block"), "uid", "shingles")
     if large:
         alone = alone.unionByName(sets_of(where.where("blocks > 1")).join(placed.select(F.col("key").alias("g"), "block", "uid"), "uid").select("g", "block", "uid", "shingles"))
-    links = alone.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(lambda it: _confirm(it, percent), "a long, b long")
+    links = alone.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(lambda it: C.trimmed(_confirm(it, percent)), "a long, b long")
     if large:
         found = C.components(links)
         if oversized is not None:
             inside = oversized.join(where.where("blocks > 1").select("uid"), "uid", "left_semi")
             texted = sets_of(where.where("blocks > 1")).select("uid", "shingles")
-            more = _rest(inside, found, most_node).join(texted, "uid").repartition(*group).sortWithinPartitions(*group, "uid").mapInArrow(lambda it: _rest_confirm(it, percent), "a long, b long")
+            more = _rest(inside, found, most_node).join(texted, "uid").repartition(*group).sortWithinPartitions(*group, "uid").mapInArrow(lambda it: C.trimmed(_rest_confirm(it, percent)), "a long, b long")
             found = C.components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     else:  # a cluster's links are all in one place: stars are components already, but for the name
         links = C.cut(links, "links")

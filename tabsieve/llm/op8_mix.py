@@ -164,7 +164,7 @@ def _mix(sized: DataFrame, weights, block_words: int, most_repeats: int, seed: i
     many, wanted = np.array(blocks, np.int64), np.array(slots, np.int64)
     times = (
         spark.range(shards, numPartitions=min(shards, max(n, shards // 16)))
-        .mapInArrow(lambda it: _slots(it, wanted, shards, many, seed), "s long, block long, shard long")
+        .mapInArrow(lambda it: C.trimmed(_slots(it, wanted, shards, many, seed)), "s long, block long, shard long")
         .groupBy("s", "block")
         .agg(F.count(F.lit(1)).alias("times"))
     )
