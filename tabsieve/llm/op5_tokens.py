@@ -1,15 +1,19 @@
 """Token-ID / binary output: sorted-string-table shards of token ids, keyed by doc_id, written and read back.
 
 The rows are range-partitioned and sorted by doc_id; each task encodes its texts and streams them into one file (sst.py) in the shared folder, under a
-temporary name until it is whole, so a repeated task replaces the same file. The driver sees one manifest row for each shard; from the shards' sums of ids
-it gives each reader the offset at which its shard starts. Readers go block by block.
+temporary name until it is whole, so a repeated task replaces the same file. There are as many shards as shuffle partitions, and more where one would hold over
+`shard_bytes` of text. The driver sees one manifest row for each shard; from the shards' sums of ids it gives each reader the offset at which its shard
+starts. Readers go block by block.
+
+Rows of one doc_id (or of none) are dealt out by the first characters of their texts, in order, so a frequent id is no single task; only copies of one text
+under one id stay together. Such an id may stand in neighbouring shards, where its repeats are numbered anew.
 
 Encoding uses the tokenizers library. A single space or newline between other characters always starts a new pre-token of this byte-level vocabulary, so a text
 is cut there, and each different word is encoded once for a Python worker (at most CACHE remembered); texts where that does not hold (white space side by
 side or at an end, the text of a special token) are encoded whole.
 
 Defined results: null text counts as empty and holds only the end id; repeated doc_ids are separate entries, ordered by text; null doc_ids come last; an
-empty table gives no shard and no rows.
+empty table gives no shard and no rows; a very long text is encoded whole, as one entry; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from tabsieve.llm import sst
 
 END = 2
 CACHE = 450_000
+#: Characters of a text that say which shard takes it among rows of the same doc_id. Spark samples at most some 3 million such keys for its ranges.
+PLACE = 16
 JOIN = 1 << 16
 MARKS = ".,"
 
@@ -209,17 +215,18 @@ def _read(batches):
                     yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END, folder: str | None = None):
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END, folder: str | None = None, shard_bytes: int = 512 << 20):
     """Write docs (doc_id, text) as table shards; returns the manifest: one Row for each shard, in key order."""
     spark = docs.sparkSession
     folder = folder or C.new_path(spark, "shards")
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     order = F.col("doc_id").asc_nulls_last()
-    done = rows.repartitionByRange(n, order).sortWithinPartitions(order, "text").mapInArrow(lambda it: C.trimmed(_write(it, folder, tokenizer_json, end_id)), "shard long, path string, first binary, n_docs long, n_ids long")
-    return sorted(done.collect(), key=lambda r: bytes(r["first"]))
+    done = rows.repartitionByRange(n, order, F.substring("text", 1, PLACE)).sortWithinPartitions(order, "text").mapInArrow(lambda it: C.trimmed(_write(it, folder, tokenizer_json, end_id)), "shard long, path string, first binary, n_docs long, n_ids long")
+    return sorted(done.collect(), key=lambda r: r["shard"])
 
 
 def read_shards(spark, manifest) -> DataFrame:

@@ -65,3 +65,14 @@ def test_odd_rows(spark, tmp_path):
     assert next(x for x in (T.lookup(p, -5) for p in paths) if x) == TOKENIZER.encode("long " * 50000).ids + [2]
     assert all(T.lookup(p, 77) is None for p in paths)
     assert T.token_output(docs.limit(0), PATH).count() == 0
+
+
+def test_a_frequent_id_spreads_over_shards_and_shards_follow_the_bytes(spark, tmp_path):
+    rows = [(k, f"text {k}") for k in range(200)] + [(None, f"{k * 7919 % 1000} words of no id") for k in range(400)] + [(50, f"{k % 90} again") for k in range(200)] + [(None, None), (50, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    size = sum(len(t or "") for _, t in rows)
+    manifest = T.write_shards(docs, PATH, folder=f"file://{tmp_path}/s", shard_bytes=size // 20)
+    assert 15 <= len(manifest) <= 22 and max(m["n_docs"] for m in manifest) < 150
+    got = [tuple(r) for r in T.read_shards(spark, manifest).collect()]
+    assert sorted(got, key=lambda r: r[1]) == expected(rows)
+    assert sum(bytes(m["first"])[0] for m in manifest) > 3  # shards that start without an id
