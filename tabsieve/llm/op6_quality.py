@@ -1,6 +1,6 @@
 """Quality rules: counted rules, and a hashed n-gram logistic regression with calibrated probabilities.
 
-Features: hashed words, hashed pairs of neighbouring words (a word next to itself is one feature of its own) and hashed 4-byte grams, each family as
+Features: hashed words, hashed pairs of neighbouring words (a word next to itself is one feature of its own) and hashed grams of 4 characters, each family as
 relative frequencies in 2**BITS buckets. Weights are fitted on a bounded sample of labelled rows, at most about `most_rows`, half of each class, drawn by
 a hash of doc_id; a quarter of it, kept apart, calibrates the probability (Platt scaling, weighted back to the labels' own shares). A text is kept if it
 passes the counted rules and its probability is `threshold` or more.
@@ -9,7 +9,8 @@ Scoring works on the bytes of Arrow batches with numpy, in parts of about a MB,
 weights is the only thing sent to the executors.
 
 Defined results: null text has no words; texts of under 10 words fail; documents with several labels count as good only if all are; null labels teach nothing;
-without labelled rows of both classes the verdict is the counted rules alone; null or repeated doc_ids are judged row by row; an empty table gives no rows.
+without labelled rows of both classes the verdict is the counted rules alone; null or repeated doc_ids are judged row by row; texts of any length are read whole, a
+very long one as a part of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -106,19 +107,12 @@ class Part:
         pair = np.flatnonzero(self.row[1:] == self.row[:-1])
         a, b = self.word[pair], self.word[pair + 1]
         yield C.mix(np.where(a == b, SAME, a * np.uint64(0xD1342543DE82EF95) + b)) >> shift, self.row[pair]
-        sizes = np.diff(self.offsets)
-        m = max(len(self.data) - GRAM + 1, 0)
-        if not m:
-            yield np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            return
-        raw = self.data.astype(np.uint64)
-        h = raw[:m].copy()
-        for j in range(1, GRAM):
-            h = (h << np.uint64(8)) | raw[j : j + m]
-        h = (h * np.uint64(0x9E3779B97F4A7C15)) >> shift
-        row = np.repeat(np.arange(self.n), sizes)
-        inside = row[:m] == row[GRAM - 1 :]
-        yield h[inside], row[:m][inside]
+        chars = np.flatnonzero(LEADS[self.data])
+        row = np.repeat(np.arange(self.n), np.diff(self.offsets))[chars]
+        m = max(len(chars) - GRAM + 1, 0)
+        at = np.flatnonzero(row[:m] == row[GRAM - 1 :])
+        end = np.append(chars, len(self.data))[at + GRAM]
+        yield C.span_hash(self.prefix, chars[at], end) >> shift, row[at]
 
 
 def parts(batch, most: int = SUB_BYTES):
