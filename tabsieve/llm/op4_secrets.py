@@ -12,7 +12,7 @@ without samples the tables are uniform and nothing is added.
 Distribution: one pass over the texts without a shuffle; the samples' bigrams are aggregated to 66 x 66 counts.
 
 Defined results: null text counts as empty; a document without spans has zero counts and the hash of the empty string; null or repeated doc_ids are scanned
-row by row; an empty table gives no rows.
+row by row; texts of any length are scanned whole; an empty table gives no rows; other columns are ignored, and scan() keeps them, but for one called found.
 """
 
 from __future__ import annotations
@@ -99,7 +99,8 @@ def scan(docs: DataFrame, table: list[float], least_total: float = 12.0, least_m
     """docs with `found`: all spans as an ordered array of (start, kind, end)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lit = F.lit([float(x) for x in table])
-    rows = docs.withColumn("_text", text).withColumn("_base", F.array_sort(base_spans(F.col("_text"))))
+    kept = [c for c in docs.columns if c != "found"]
+    rows = docs.select(F.struct(*kept).alias("_row"), text.alias("_text")).withColumn("_base", F.array_sort(base_spans(F.col("_text"))))
     # pos: the candidates; only those outside base spans are scored
     rows = rows.withColumn("_cand", F.filter(spans(F.col("_text"), CANDIDATE, 3), lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
 
@@ -109,7 +110,7 @@ def scan(docs: DataFrame, table: list[float], least_total: float = 12.0, least_m
         return F.when(total > F.lit(least_total), total / (c["end"] - c["start"]) > F.lit(least_mean)).otherwise(F.lit(False))
 
     more = F.when(F.size("_cand") > 0, F.filter("_cand", ratio)).otherwise(F.expr(f"cast(array() as {SPAN})"))
-    return rows.withColumn("found", F.array_sort(F.concat("_base", more))).drop("_text", "_base", "_cand")
+    return rows.select(*(F.col("_row").getField(c).alias(c) for c in kept), F.array_sort(F.concat("_base", more)).alias("found"))
 
 
 def digest(found: Column) -> Column:
