@@ -10,7 +10,8 @@ Distribution: the pass is narrow; nothing of a document is shuffled or collected
 block being another pass, so their size is bounded whatever the benchmark.
 
 Defined results: null and empty texts match nothing; items of fewer than `least_words` words are ignored, as are items without id; items shorter than
-a seed are one seed as a whole; null or repeated doc_ids are judged row by row; ties go to the smallest item_id; an empty table gives no rows.
+a seed are one seed as a whole; null or repeated doc_ids are judged row by row; ties go to the smallest item_id; texts of any length are read whole; an empty
+table gives no rows; decontaminate() ignores other columns, drop_contaminated() keeps them, match() too but for those called like its results.
 """
 
 from __future__ import annotations
@@ -205,7 +206,8 @@ def blocks(benchmark: DataFrame, most_words: int):
 
 def match(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, seed: int = SEED, least_words: int = 3, most_words: int = 2_000_000) -> DataFrame:
     """docs with score (of the best item), item_id (the best contaminating item or null) and n_items (contaminating items)."""
-    keep, schema = docs.columns, docs.schema
+    docs = docs.drop("score", "item_id", "n_items", "_score", "_item", "_n")
+    keep = docs.columns
     out = None
     for items in blocks(benchmark, most_words):
         bench = Bench(items, seed, least_words)

@@ -116,3 +116,10 @@ def test_bounds_leave_out_nothing(monkeypatch):
         for a, b in zip(every, some):
             assert {x for x in a if x[0] >= 0.6} == {x for x in b if x[0] >= 0.6}
             assert min(a, key=lambda x: (-x[0], x[1]), default=None) == min(b, key=lambda x: (-x[0], x[1]), default=None)
+
+
+def test_clashing_columns_give_way(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", 9, "x"), (2, "else", 9, "x")], "doc_id long, text string, score int, item_id string")
+    items = spark.createDataFrame([(5, "one two three four five six")], "item_id long, text string")
+    assert [(r.doc_id, r.score, r.item_id) for r in B.match(docs, items).orderBy("doc_id").collect()] == [(1, 1.0, 5), (2, 0.0, None)]
+    assert [tuple(r) for r in B.drop_contaminated(docs, items).collect()] == [(2, "else", 9, "x")]
