@@ -7,7 +7,8 @@ about `most_rows` labelled rows, drawn by a hash of doc_id. The lexicon of one h
 Scoring covers every whole text in one Arrow pass without a shuffle; the model is a few hundred kB.
 
 Defined results: null and empty texts are scored as texts without words; null labels teach nothing; a document with several labels is toxic if one says
-so; without labelled rows of both kinds every score is the share of toxic rows (0 without any); null or repeated doc_ids are scored row by row.
+so; without labelled rows of both kinds every score is the share of toxic rows (0 without any); null or repeated doc_ids are scored row by row; texts of any length
+are read whole; an empty table gives no rows; score() ignores other columns, reject_toxic() keeps them.
 """
 
 from __future__ import annotations
