@@ -106,7 +106,7 @@ def with_uid(docs: DataFrame, *cols: str) -> DataFrame:
     worst = ids.agg(F.max("n").alias("n"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
     if not worst["nulls"] and (worst["n"] or 0) <= 1:
         return docs.withColumn("uid", F.col("doc_id").cast("long"))
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in cols])
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), *[_order(docs, c) for c in cols])
     return cut(ordered.withColumn("uid", F.monotonically_increasing_id()), "uid")
 
 
@@ -115,6 +115,13 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return with_uid(docs.select("doc_id", "text", F.struct("*").alias("row")), "text", "row")
 
 
+def _order(df: DataFrame, name: str):
+    """What rows are ordered by for a column: its JSON where it holds maps or variants, which have no order."""
+    kind = df.schema[name].dataType.simpleString()
+    col = F.to_json(F.struct(name)) if "map<" in kind or "variant" in kind else F.col(name)
+    return col.asc_nulls_last()
+
+
 # ------------------------------------------------------------------ byte hashing
 
 U64 = np.uint64

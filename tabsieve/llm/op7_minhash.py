@@ -36,6 +36,7 @@ COORDINATES = 64
 SLACK = 0.3
 SMALL = 256
 DEEP = 6
+MOST_HOT = 10_000
 SUB_BYTES = 1 << 18
 U64 = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, COORDINATES, dtype=np.uint64) * U64(2) + U64(1)
@@ -344,10 +345,23 @@ def _rest_confirm(batches, percent: int):
             yield _edges(pairs)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, trees: int = 14, most_node: int = 4_000, most_shingles: int = 2_000_000) -> DataFrame:
+def _owned(rows: DataFrame, owner: DataFrame, classes: DataFrame, hot_class: int) -> DataFrame:
+    """rows with the component of their class. Classes of more than hot_class rows and of a share of rows above 1 / MOST_HOT, so at most MOST_HOT, are broadcast."""
+    keys = ["n", "s1", "s2"]
+    total = classes.agg(F.sum("members")).first()[0] or 0
+    is_hot = F.col("members") > max(hot_class, total // MOST_HOT)
+    if not classes.where(is_hot).limit(1).count():
+        return rows.join(owner.drop("members"), keys)
+    hot = C.cut(owner.where(is_hot).drop("members"), "hot")
+    met = rows.join(F.broadcast(hot), keys, "left")
+    rest = met.where("component IS NULL").drop("component").join(owner.where(~is_hot).drop("members"), keys)
+    return met.where("component IS NOT NULL").unionByName(rest)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, trees: int = 14, most_node: int = 4_000, most_shingles: int = 2_000_000, hot_class: int = 100_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, uid for each row of docs (doc_id, text)."""
     docs = C.with_uid(docs, "text")
-    return _near(docs, hasattr(docs, "_scratch"), shingle, percent, trees, most_node, most_shingles)
+    return _near(docs, hasattr(docs, "_scratch"), shingle, percent, trees, most_node, most_shingles, hot_class)
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = 16) -> DataFrame:
@@ -357,12 +371,12 @@ def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int
     return rows.select("uid", "row").join(kept, "uid", "left_semi").select("row.*")
 
 
-def _near(docs: DataFrame, numbered: bool, shingle: int, percent: int, trees: int, most_node: int = 4_000, most_shingles: int = 2_000_000) -> DataFrame:
+def _near(docs: DataFrame, numbered: bool, shingle: int, percent: int, trees: int, most_node: int = 4_000, most_shingles: int = 2_000_000, hot_class: int = 100_000) -> DataFrame:
     sig = C.cut(docs.select("uid", "doc_id", "text").mapInArrow(lambda it: C.trimmed(_signed(it, shingle, trees)), "uid long, doc_id long, n long, s1 long, s2 long, tokens binary, keys array<long>"), "signatures")
     least, ratio = percent / 100 - SLACK, percent / 100
 
     # classes of equal sets: partial minima first, so a third of all rows in one class is no burden
-    classes = C.cut(sig.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep")), "classes")
+    classes = C.cut(sig.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
     reps = sig.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
 
     placed, oversized = _placed(reps.select("uid", F.explode("keys").alias("key")), most_node)
@@ -399,9 +413,9 @@ def _near(docs: DataFrame, numbered: bool, shingle: int, percent: int, trees: in
         named = links.groupBy("b").agg(F.min("a").alias("m")).select("b", F.least("b", "m").alias("component"))
         found = links.join(named, "b").select(F.col("a").alias("id"), "component").unionByName(named.select(F.col("b").alias("id"), "component"))
 
-    owner = classes.join(found.select(F.col("id").alias("rep"), F.col("component").alias("found")), "rep", "left").select("n", "s1", "s2", F.coalesce("found", "rep").alias("component"))
-    # wordless documents are one key as well, and need no join; copies of one text are, and the join splits them (AQE)
-    found = sig.where("n > 0").select("uid", "doc_id", "n", "s1", "s2").join(owner, ["n", "s1", "s2"]).select("uid", "doc_id", F.col("n").alias("n_shingles"), "component")
+    owner = classes.join(found.select(F.col("id").alias("rep"), F.col("component").alias("found")), "rep", "left").select("n", "s1", "s2", F.coalesce("found", "rep").alias("component"), "members")
+    # wordless documents are one key, and need no join; frequent texts are hot keys, and meet their few classes without a shuffle
+    found = _owned(sig.where("n > 0").select("uid", "doc_id", "n", "s1", "s2"), owner, classes, hot_class).select("uid", "doc_id", F.col("n").alias("n_shingles"), "component")
     out = found.unionByName(sig.where("n = 0").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("uid").alias("component")))
     if numbered:
         out = out.join(sig.select(F.col("uid").alias("component"), F.col("doc_id").alias("component_id")), "component")

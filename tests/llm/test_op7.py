@@ -140,3 +140,16 @@ def test_large_nodes_part_no_similar_rows():
     agree = (tokens[::2] == tokens[1::2]).mean(1) >= 0.65
     label = M._labels(600, M._node(tokens, np.full(600, 100), 12345, 0.65, 0.85))
     assert agree.sum() > 250 and ((label[::2] == label[1::2]) == agree).all()
+
+
+def test_hot_classes_meet_without_a_shuffle(spark):
+    rows = [(i, ["a b c d e f", "g h i j k l m", "", None][i % 4] if i < 80 else f"w{i} x{i} y{i} z{i}") for i in range(120)] + [(200, "a b c d e f"), (201, "A b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(M.near_duplicates(df, hot_class=5)) == got(M.near_duplicates(df)) == brute(rows)
+
+
+def test_rows_with_maps_and_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(300_000))
+    rows = [(1, long, {"a": 1}), (1, long + " end", {"b": 2}), (None, "a b c d e f", None), (2, "a b c d e f", {"a": 1})]
+    out = M.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, facts map<string,int>")).collect()
+    assert sorted((r.doc_id, len(r.text)) for r in out) == [(1, len(long)), (2, 11)]
