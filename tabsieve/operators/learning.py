@@ -297,19 +297,79 @@ def importance_comparison(importances: DataFrame, first: str, top: int = 10) ->
     return importances.join(places, "feature").join(r, "scenario").select("scenario", "feature", "importance", "mean", place.alias("place"), "r")
 
 
-def kmeans_sweep(df: DataFrame, features: str, ks=range(2, 16), starts: int = 10, seed: int = 42, at_once: int = 8) -> DataFrame:
-    """(k, inertia, bic, aic): best inertia over the starts; bic = k ln n + inertia, aic = 2 k + inertia. Fits run at_once at a time over the cached rows."""
-    df = df.select(features).persist()
-    n = df.count()
-    fit = lambda job: (job[0], float(KMeans(k=job[0], seed=seed + job[1], featuresCol=features, maxIter=20).fit(df).summary.trainingCost))
-    with ThreadPoolExecutor(at_once) as pool:
-        costs = list(pool.map(fit, [(k, s) for k in ks for s in range(starts)]))
-    df.unpersist()
-    rows = []
-    for k in ks:
-        inertia = min(c for j, c in costs if j == k)
-        rows.append((k, inertia, k * math.log(n) + inertia, 2.0 * k + inertia))
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, bic double, aic double")
+def _seeded(rows: np.ndarray, k: int, rng) -> np.ndarray:
+    """k rows, each drawn with a weight of its squared distance to those before."""
+    out = [rows[rng.integers(len(rows))]]
+    far = ((rows - out[0]) ** 2).sum(1)
+    while len(out) < k:
+        total = far.sum()
+        out.append(rows[rng.choice(len(rows), p=far / total) if total > 0 else rng.integers(len(rows))])
+        far = np.minimum(far, ((rows - out[-1]) ** 2).sum(1))
+    return np.array(out)
+
+
+def _assigned(batches, centres: np.ndarray, cuts: list[int], dim: int):
+    """Rows, sums and squared distances for each centre over a task's rows; centres[cuts[j]:cuts[j + 1]] are those of fit j."""
+    n, cost, sums = np.zeros(len(centres), np.int64), np.zeros(len(centres)), np.zeros((len(centres), dim))
+    square = (centres**2).sum(1)
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+        d = (x**2).sum(1)[:, None] - 2 * x @ centres.T + square
+        own = np.zeros(d.shape)
+        for lo, hi in zip(cuts, cuts[1:]):
+            own[np.arange(len(x)), lo + d[:, lo:hi].argmin(1)] = 1
+        n += own.sum(0).astype(np.int64)
+        cost += (np.maximum(d, 0) * own).sum(0)
+        sums += own.T @ x
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres))), pa.array(n), pa.array(cost), pa.FixedSizeListArray.from_arrays(sums.ravel(), dim).cast(pa.list_(pa.float64()))], names=["centre", "n", "cost", "sums"])
+
+
+def _merged(batches):
+    held: dict[int, list] = {}
+    for batch in batches:
+        for c, n, cost, s in zip(*(batch.column(x).to_pylist() for x in ("centre", "n", "cost", "sums"))):
+            old = held.setdefault(c, [0, 0.0, 0.0])
+            old[0], old[1], old[2] = old[0] + n, old[1] + cost, old[2] + np.array(s)
+    if held:
+        n, cost, sums = zip(*held.values())
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(n, pa.int64()), pa.array(cost, pa.float64()), pa.array([x.tolist() for x in sums], pa.list_(pa.float64()))], names=["centre", "n", "cost", "sums"])
+
+
+def kmeans_sweep(df: DataFrame, features: str, ks=range(2, 16), starts: int = 10, seed: int = 42, rounds: int = 20, most_seeds: int = 4_096) -> DataFrame:
+    """(k, inertia, bic, aic): best inertia over the starts; bic = k ln n + inertia, aic = 2 k + inertia. Without rows: no rows.
+
+    All fits go on together: a round is one pass over the cached rows that finds the next centres of every k and start, so the number of passes is
+    `rounds` at most. Starting centres are drawn apart from each other among about `most_seeds` sampled rows. What meets on the driver are the centres.
+    """
+    spark = df.sparkSession
+    schema = "k int, inertia double, bic double, aic double"
+    x = df.where(F.col(features).isNotNull()).select(vector_to_array(features).alias("x")).persist()
+    try:
+        total = x.count()
+        if not total:
+            return spark.createDataFrame([], schema)
+        share = most_seeds / total
+        seeds = np.array(sorted(r["x"] for r in (x.where(F.rand(seed) < share) if share < 1 else x).collect()) or [x.first()["x"]])
+        dim = seeds.shape[1]
+        jobs = [(k, s) for k in ks for s in range(starts)]
+        cuts = np.cumsum([0, *(k for k, _ in jobs)]).tolist()
+        centres = np.concatenate([_seeded(seeds, k, np.random.default_rng([seed, k, s])) for k, s in jobs])
+        shape = "centre long, n long, cost double, sums array<double>"
+        for turn in range(rounds + 1):
+            part = x.mapInArrow(lambda it, c=centres: _assigned(it, c, cuts, dim), shape)
+            got = part.repartition("centre").mapInArrow(_merged, shape).toArrow().sort_by("centre")
+            n, cost = got.column("n").to_numpy(), got.column("cost").to_numpy()
+            sums = np.array(got.column("sums").to_pylist())
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+            if turn == rounds or np.abs(new - centres).max() < 1e-9:
+                break
+            centres = new
+        inertia = {}
+        for (k, _), lo, hi in zip(jobs, cuts, cuts[1:]):
+            inertia[k] = min(inertia.get(k, math.inf), float(cost[lo:hi].sum()))
+    finally:
+        x.unpersist()
+    return spark.createDataFrame([(k, v, k * math.log(total) + v, 2.0 * k + v) for k, v in inertia.items()], schema)
 
 
 def ari(df: DataFrame, a: str, b: str, n: str | None = None) -> DataFrame:

@@ -149,6 +149,27 @@ def test_kmeans_sweep_takes_the_best_start(spark):
     df = spark.createDataFrame([([float(v) for v in rng.normal(size=2) + 9 * (k % 3)],) for k in range(90)], "x array<double>").select(array_to_vector("x").alias("features"))
     rows = {r.k: r for r in L.kmeans_sweep(df, "features", range(2, 4), 2).collect()}
     assert rows[3].inertia < 0.2 * rows[2].inertia and abs(rows[3].bic - 3 * math.log(90) - rows[3].inertia) < 1e-9
+    assert L.kmeans_sweep(df.limit(0), "features", range(2, 4), 2).count() == 0
+    same = spark.createDataFrame([([1.0, 2.0],)] * 40, "x array<double>").select(array_to_vector("x").alias("features"))
+    assert [abs(r.inertia) < 1e-9 for r in L.kmeans_sweep(same, "features", range(2, 4), 2).collect()] == [True, True]
+
+
+def test_kmeans_sweep_equals_lloyds_rounds_by_brute_force(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(8)
+    x = np.array(sorted(rng.normal(size=(300, 3)).tolist()))
+    df = spark.createDataFrame([(r,) for r in x.tolist()], "x array<double>").select(array_to_vector("x").alias("features")).repartition(5)
+    got = {r.k: r.inertia for r in L.kmeans_sweep(df, "features", (2, 5), 3, rounds=6).collect()}
+    for k in (2, 5):
+        costs = []
+        for s in range(3):
+            c = L._seeded(x, k, np.random.default_rng([42, k, s]))
+            for _ in range(6):
+                own = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+                c = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
+            costs.append(((x[:, None] - c) ** 2).sum(2).min(1).sum())
+        assert abs(got[k] / min(costs) - 1) < 1e-9
 
 
 def test_cluster_folds_against_labels(spark):
