@@ -43,6 +43,44 @@ def sample_n(df: DataFrame, n, key: str, seed: int) -> DataFrame:
     return ranked.where(F.col("_rank") <= n).drop("_u", "_rank")
 
 
+def smallest(df: DataFrame, columns: list[str], key: str, cuts: list[tuple[int, int]]) -> DataFrame:
+    """(columns..., c0, c1, ...): for each distinct row of columns, how many of its rows are among the n with the smallest (uniform of seed, key, columns), for each (seed, n) of cuts.
+
+    Several samples of sample_n()'s kind from two passes over df, and no row is shuffled but the few in a cut's own range of uniforms: a first pass counts rows by range,
+    a second one counts equal points whose range lies below the cut's. Rows equal in key and columns count as often as they occur.
+    """
+    bins, seeds = 64 * ranges(df), sorted({s for s, _ in cuts})
+    spark, bin_of = df.sparkSession, lambda u: F.floor(u * bins).cast("int")
+    found: dict[int, tuple[int, int]] = {}
+    if cuts:
+        sides = F.explode(F.array(*[F.struct(F.lit(s).cast("long").alias("seed"), bin_of(md5u(s, key)).alias("bin")) for s in seeds]))
+        counts = df.select(sides.alias("r")).groupBy("r.seed", "r.bin").agg(F.count(F.lit(1)).alias("n"))
+        run = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("seed").orderBy("bin")))  # a row for each range
+        wanted = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(cuts)], "cut int, seed long, wanted long")
+        inside = run.join(F.broadcast(wanted), "seed").where("upto >= wanted AND upto - n < wanted")
+        found = {r["cut"]: (r["bin"], r["wanted"] - r["upto"] + r["n"]) for r in inside.collect()}  # a row for each cut
+    # (range of the cut, rows of that range to take); beyond all rows, or before the first
+    at = [found.get(i, (bins, 0) if n > 0 else (-1, 0)) for i, (_, n) in enumerate(cuts)]
+    u = {s: f"_u{k}" for k, s in enumerate(seeds)}
+    drawn = df.select(*columns, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), *[md5u(s, key).alias(c) for s, c in u.items()])
+    on = [bin_of(F.col(u[s])) == b for (s, _), (b, _) in zip(cuts, at)]
+    edge = F.lit(False)
+    for o in on:
+        edge = edge | o
+    full = [F.sum((bin_of(F.col(u[s])) < b).cast("long")).alias(f"c{i}") for i, ((s, _), (b, _)) in enumerate(zip(cuts, at))]
+    cells = drawn.withColumn("_e", F.when(edge, F.struct("_k", *u.values()))).groupBy(*columns, "_e").agg(F.count(F.lit(1)).alias("_n"), *full).persist()
+    one = F.explode(F.array_compact(F.array(F.lit(None).cast("struct<cut:int,u:double,take:long>"), *[F.when(o, F.struct(F.lit(i).alias("cut"), F.col(u[s]).alias("u"), F.lit(t).cast("long").alias("take"))) for i, (o, (s, _), (_, t)) in enumerate(zip(on, cuts, at))])))
+    rows = cells.where("_e IS NOT NULL").select(*columns, "_e.*", "_n").select(*columns, "_k", "_n", one.alias("_r"))
+    before = Window.partitionBy("_r.cut").orderBy("_r.u", "_k", *columns).rowsBetween(Window.unboundedPreceding, -1)
+    take = F.greatest(F.least(F.col("_n"), F.col("_r.take") - F.coalesce(F.sum("_n").over(before), F.lit(0))), F.lit(0))
+    taken = rows.withColumn("_t", take).select(*columns, *[F.when(F.col("_r.cut") == i, F.col("_t")).otherwise(0).alias(f"c{i}") for i in range(len(cuts))])
+    out = cells.select(*columns, *[f"c{i}" for i in range(len(cuts))]).unionByName(taken).groupBy(*columns).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(cuts))])
+    out = out.sortWithinPartitions(*columns).persist()
+    out.count()
+    cells.unpersist()
+    return out
+
+
 def stratified_split(df: DataFrame, label: str, key: str, share: float, seed: int) -> DataFrame:
     """df with `split`: 'test' for round(share * size) rows of each class, else 'train'."""
     ranked = rank_by_uniform(df.withColumn("_u", md5u(seed, key)), "_u", key, [label], "_rank")

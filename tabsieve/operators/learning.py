@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions import special
 from tabsieve.functions.frames import cumulative
-from tabsieve.functions.rng import kfold, sample_n, stratified_split
+from tabsieve.functions.rng import kfold, sample_n, smallest, stratified_split
 from tabsieve.operators.encode import FeatureEncoder, prepare_target
 from tabsieve.operators.weights import auc, importance
 
@@ -467,19 +467,26 @@ def cluster_folds(train: DataFrame, others: dict[str, DataFrame], key: str, colu
     """(scenario, fold, ari, ami): agreement, on each fold of train, of a k-means model of each other table with train's own labels (column `labels`) or, without
     them, with a model of train's remaining folds.
 
-    Features are scaled by train; each other table is sampled down to the size of the remaining folds.
+    Features are scaled by train; each other table is sampled down to the size of the remaining folds. Folds and samples are counts of the distinct points
+    (smallest()), by which the models weigh them, so no table's rows are shuffled or kept. Folds are as large as each other, to a row.
     """
-    parts = kfold(train.withColumn("_all", F.lit(0)), "_all", key, folds, seed).persist()
+    total = train.count()
+    ends = [total * f // folds for f in range(folds + 1)]
     scale = Scale(train, columns)
-    fit = lambda t: KMeans(k=k, seed=seed, maxIter=20).fit(scale.transform(t, [key]))
+    points = smallest(train, [*columns, *([labels] if labels and labels not in columns else [])], key, [(seed, n) for n in ends[1:]])
+    taken = {name: smallest(t, columns, key, [(seed + f, total - ends[f + 1] + ends[f]) for f in range(folds)]) for name, t in others.items()}
+
+    def model(t: DataFrame, w):
+        return KMeans(k=k, seed=seed, maxIter=20, weightCol="_w").fit(scale.transform(t.withColumn("_w", w).where("_w > 0"), ["_w"]))
 
     def one(f: int):
-        rest, own = parts.where(F.col("fold") != f), parts.where(F.col("fold") == f)
-        n, out = rest.count(), None
-        base = scale.transform(own, [key, F.col(labels).alias("a")]) if labels else fit(rest).transform(scale.transform(own, [key])).withColumnRenamed("prediction", "a")
-        for name, t in others.items():
-            both = fit(sample_n(t, n, key, seed + f)).transform(base).select("a", F.col("prediction").alias("b"))
-            cells = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each pair of clusters
+        size = F.col(f"c{f}") - (F.col(f"c{f - 1}") if f else 0)
+        own = points.withColumn("_n", size).where("_n > 0")
+        base = scale.transform(own, ["_n", F.col(labels).alias("a")]) if labels else model(points, F.col(f"c{folds - 1}") - size).transform(scale.transform(own, ["_n"])).withColumnRenamed("prediction", "a")
+        out = None
+        for name, t in taken.items():
+            both = model(t, F.col(f"c{f}")).transform(base).select("a", F.col("prediction").alias("b"), "_n")
+            cells = both.groupBy("a", "b").agg(F.sum("_n").alias("n")).collect()  # a row for each pair of clusters
             small = train.sparkSession.createDataFrame([(str(r["a"]), str(r["b"]), int(r["n"])) for r in cells], "a string, b string, n long")
             row = ari(small, "a", "b", "n").crossJoin(ami(small, "a", "b", "n")).withColumns({"scenario": F.lit(name), "fold": F.lit(f)})  # one row each
             out = row if out is None else out.unionByName(row)
@@ -487,7 +494,8 @@ def cluster_folds(train: DataFrame, others: dict[str, DataFrame], key: str, colu
 
     with ThreadPoolExecutor(folds) as pool:
         rows = list(pool.map(one, range(folds)))
-    parts.unpersist()
+    for t in (points, *taken.values()):
+        t.unpersist()
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 
@@ -179,6 +180,37 @@ def test_cluster_folds_against_labels(spark):
     assert len(out) == 2 and all(r.ari > 0.5 and r.ami > 0.5 for r in out)
 
 
+def test_smallest_counts_the_first_rows_by_uniform_and_key(spark):
+    from collections import Counter
+
+    from tabsieve.functions.rng import smallest
+
+    # keys occur up to three times, with equal and with different points; one key fills a third of the table
+    rows = [(7 if k % 3 == 0 else k % 500, float(k % 4), float(k % 3 == 0)) for k in range(2400)]
+    df = spark.createDataFrame(rows, "id long, x double, y double").repartition(5)
+    cuts = [(1, 0), (1, 37), (1, 900), (2, 2000), (2, 2400), (3, 9999), (3, 1)]
+    got = {(r.x, r.y): [r[f"c{i}"] for i in range(len(cuts))] for r in smallest(df, ["x", "y"], "id", cuts).collect()}
+    for i, (seed, n) in enumerate(cuts):
+        u = lambda k: int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:8], 16)  # noqa: B023, E731
+        want = Counter(r[1:] for r in sorted(rows, key=lambda r: (u(r[0]), str(r[0]), *r[1:]))[:n])
+        assert {p: c[i] for p, c in got.items() if c[i]} == dict(want), (seed, n)
+
+
+def test_cluster_folds_shuffle_points_and_not_rows(spark):
+    make = lambda at, n: spark.range(0, n, 1, 4).select((F.col("id") + at).alias("id"), (F.col("id") % 3 * 9 + F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"))
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    before = written()
+    out = L.cluster_folds(make(0, 60_000), {"o": make(100_000, 90_000)}, "id", ["x", "y"], k=3, folds=2).collect()
+    assert sorted(r.fold for r in out) == [0, 1] and all(abs(r.ari - 1) < 1e-9 for r in out)
+    assert written() - before < 1_000_000  # a shuffle of the rows writes several MB
+
+
 def test_expected_mutual_information_of_large_classes():
     def plain(a, b):
         n, lf, total = sum(a), math.lgamma, 0.0
