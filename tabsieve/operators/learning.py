@@ -7,10 +7,12 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +53,108 @@ def _base(kind: str, n_features: int, layers: tuple[int, ...] = (100, 50), round
     raise ValueError(f"unknown model: {kind}")
 
 
+#: Training rows of up to so many bytes are fitted by networks(), a task for each fold; more by Spark's own network, a job for each step and fold.
+HELD_BYTES = 1 << 26
+
+
+def _unpacked(v: np.ndarray, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weights (in, out) and biases of each layer, as views of a vector in the order that Spark's network has."""
+    out, at = [], 0
+    for a, b in zip(sizes, sizes[1:]):
+        out.append((v[at : at + a * b].reshape(a, b), v[at + a * b : at + a * b + b]))
+        at += a * b + b
+    return out
+
+
+def _network_start(sizes: list[int], seed: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    return np.concatenate([(rng.random(a * b + b) * 4.8 - 2.4) / a for a, b in zip(sizes, sizes[1:])])
+
+
+def _network_cost(v: np.ndarray, x: np.ndarray, y: np.ndarray, sizes: list[int]) -> tuple[float, np.ndarray]:
+    """Mean cross-entropy of the rows, and its gradient: sigmoid hidden layers, softmax at the end."""
+    layers, grad, loss = _unpacked(v, sizes), np.zeros_like(v), 0.0
+    sums = _unpacked(grad, sizes)
+    for at in range(0, len(x), 2048):
+        a, label = [x[at : at + 2048]], y[at : at + 2048]
+        for k, (w, b) in enumerate(layers):
+            z = a[-1] @ w + b
+            a.append(1 / (1 + np.exp(-np.clip(z, -500, 500))) if k < len(layers) - 1 else z)
+        z = a.pop()
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        own = np.arange(len(label)), label
+        loss -= np.log(np.maximum(p[own], 1e-300)).sum()
+        p[own] -= 1
+        for k in range(len(layers) - 1, -1, -1):
+            sums[k][0][...] += a[k].T @ p
+            sums[k][1][...] += p.sum(0)
+            if k:
+                p = (p @ layers[k][0].T) * a[k] * (1 - a[k])
+    return loss / len(x), grad / len(x)
+
+
+def _lbfgs(cost, v: np.ndarray, steps: int, pairs: int = 10, tol: float = 1e-6, memory: int = 20) -> np.ndarray:
+    """Up to `steps` steps of L-BFGS; over when the value fell by less than tol of itself in the last `memory` steps, or no step lowers it."""
+    f, g = cost(v)
+    held, values = [], [f]
+    for _ in range(steps):
+        q, alphas = g.copy(), []
+        for s, y, r in reversed(held):
+            alphas.append(r * (s @ q))
+            q -= alphas[-1] * y
+        q *= (held[-1][0] @ held[-1][1]) / (held[-1][1] @ held[-1][1]) if held else 1 / max(np.linalg.norm(g), 1e-12)
+        for (s, y, r), alpha in zip(held, reversed(alphas)):
+            q += (alpha - r * (y @ q)) * s
+        slope, step, low, high = -(g @ q), 1.0, 0.0, math.inf
+        for _ in range(30):  # a step that lowers the value and flattens the slope enough (weak Wolfe)
+            new = v - step * q
+            f1, g1 = cost(new)
+            if not f1 <= f + 1e-4 * step * slope:
+                high = step
+            elif -(g1 @ q) < 0.9 * slope:
+                low = step
+            else:
+                break
+            step = (low + high) / 2 if high < math.inf else 2 * low
+        if not f1 < f:
+            break
+        s, y = new - v, g1 - g
+        if s @ y > 1e-12:
+            held = [*held, (s, y, 1 / (s @ y))][-pairs:]
+        v, f, g = new, f1, g1
+        values = [*values, f][-memory - 1 :]
+        if len(values) > memory and values[0] - f <= tol * max(abs(f), 1e-12):
+            break
+    return v
+
+
+def networks(parts: DataFrame, n_features: int, folds: int, seed: int = 42, layers: tuple[int, ...] = (100, 50), iterations: int = 100, **_) -> list[MultilayerPerceptronClassificationModel]:
+    """A network for each fold of parts (features, label, fold), fitted on all rows of the other folds; the same loss, sizes and steps as _base("mlp")."""
+    sizes = [n_features, *[min(x, 4 * n_features) for x in layers], 2]
+
+    def fitted(table):
+        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_features)
+        y = table.column("label").to_numpy().astype(np.int64)
+        order = np.lexsort((*x.T, y))  # whatever order the rows came in
+        x, y = x[order], y[order]
+        v = _lbfgs(lambda w: _network_cost(w, x, y, sizes), _network_start(sizes, seed), iterations)
+        return pa.table({"f": table.column("f")[:1], "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
+
+    f = F.explode(F.filter(F.lit(list(range(folds))), lambda e: e != F.col("fold"))).alias("f")
+    dealt = parts.select("label", vector_to_array("features").alias("x"), f).repartitionByRange(folds, "f")
+    found = {r["f"]: r["v"] for r in dealt.groupBy("f").applyInArrow(fitted, "f int, v array<double>").collect()}  # a row for each fold
+    sc, out = parts.sparkSession.sparkContext, []
+    for k in range(folds):
+        model = sc._jvm.org.apache.spark.ml.classification.MultilayerPerceptronClassificationModel(f"mlp_{k}", _py2java(sc, Vectors.dense(found[k])))
+        array = sc._gateway.new_array(sc._jvm.int, len(sizes))
+        for i, x in enumerate(sizes):
+            array[i] = x
+        model.set(model.layers(), array)
+        out.append(MultilayerPerceptronClassificationModel(model))
+    return out
+
+
 class Calibrated:
     """Mean of `folds` models, each trained on the other folds and calibrated on its own."""
 
@@ -62,7 +166,7 @@ class Calibrated:
         parts = kfold(train, "label", key, folds, seed).persist()
 
         def member(f: int):
-            model = _base(kind, n_features, **base).fit(parts.where(F.col("fold") != f))
+            model = held[f] if held else _base(kind, n_features, **base).fit(parts.where(F.col("fold") != f))
             own = model.transform(parts.where(F.col("fold") == f)).select("label", vector_to_array("probability")[1].alias("p"))
             margin = own.select(F.col("label"), cls._margin().alias("z")).withColumn("one", array_to_vector(F.array("z")))
             if method == "isotonic":
@@ -79,7 +183,8 @@ class Calibrated:
         if method not in ("sigmoid", "isotonic"):
             raise ValueError(f"unknown calibration: {method}")
         _base(kind, n_features, **base)  # an unknown kind fails here
-        parts.count()
+        small = parts.count() * n_features * 8 <= HELD_BYTES
+        held = networks(parts, n_features, folds, seed, **base) if kind == "mlp" and small else None
         with ThreadPoolExecutor(folds) as pool:  # the folds' jobs run side by side
             members = list(pool.map(member, range(folds)))
         parts.unpersist()

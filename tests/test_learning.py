@@ -26,6 +26,38 @@ def sides(spark, n=400, seed=1):
 KINDS = {"x": "numerical", "y": "numerical", "c": "categorical"}
 
 
+def test_networks_of_all_folds_by_one_job_are_as_good_as_sparks(spark):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(90, 3)), rng.integers(0, 2, 90)
+    v = rng.normal(size=3 * 4 + 4 + 4 * 2 + 2)
+    f, g = L._network_cost(v, x, y, [3, 4, 2])
+    for k in range(len(v)):  # the gradient is that of the loss
+        e = np.zeros(len(v))
+        e[k] = 1e-6
+        assert abs((L._network_cost(v + e, x, y, [3, 4, 2])[0] - L._network_cost(v - e, x, y, [3, 4, 2])[0]) / 2e-6 - g[k]) < 1e-7
+    rows = [(k, float(a), float(b), float((a * a + b * b < 1.4) != (rng.random() < 0.05)), k % 2) for k, (a, b) in enumerate(rng.normal(size=(600, 2)))]
+    parts = spark.createDataFrame(rows, "id long, a double, b double, label double, fold int").select("id", "label", "fold", array_to_vector(F.array("a", "b")).alias("features")).persist()
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    own = L.networks(parts, 2, 2, iterations=60)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before < 10  # not a job for each step
+
+    def loss(model, f):
+        p = model.transform(parts.where(F.col("fold") != f)).select("label", vector_to_array("probability").alias("p")).collect()
+        return -np.mean([math.log(r.p[int(r.label)]) for r in p])
+
+    for f in range(2):
+        rest = parts.where(F.col("fold") != f)
+        theirs = L._base("mlp", 2, iterations=60).setInitialWeights(Vectors.dense(L._network_start([2, 8, 8, 2], 42))).fit(rest)
+        assert loss(own[f], f) < 1.1 * loss(theirs, f) + 0.01
+        # Spark's layout of the weights
+        held = rest.select("label", vector_to_array("features").alias("x")).collect()
+        got = L._network_cost(np.array(own[f].weights.toArray()), np.array([r.x for r in held]), np.array([int(r.label) for r in held]), [2, 8, 8, 2])[0]
+        assert abs(got - loss(own[f], f)) < 1e-9
+
+
 @pytest.mark.parametrize("options", [{"kind": "mlp", "folds": 2, "iterations": 30}, {"kind": "gbt", "folds": 2, "rounds": 3, "method": "isotonic"}, {"kind": "lr", "folds": 2, "embedding": 8, "epochs": 5}])
 def test_a_fitted_model_weighs_rows_it_has_not_seen(spark, options):
     real, syn = sides(spark)
