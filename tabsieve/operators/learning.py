@@ -508,57 +508,98 @@ def ami(df: DataFrame, a: str, b: str, n: str | None = None) -> DataFrame:
     return cells.groupBy("all").applyInPandas(finish, "ami double")  # one row for each pair of classes
 
 
+#: Rows of a block of silhouette() take at most so many bytes; a task holds two blocks.
+BLOCK_BYTES = 1 << 25
+
+
+def _distance_sums(x: np.ndarray, cx: np.ndarray, y: np.ndarray, cy: np.ndarray, k: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of Euclidean distances: of each row of y to the rows of x in each of k clusters, and, if both, of each row of x to those of y.
+
+    Squares come from one matrix product of the centred rows; where they are so small beside the rows' lengths that digits cancel, from the differences themselves.
+    """
+    to_x, to_y = np.zeros((len(y), k)), np.zeros((len(x), k))
+    middle = x.mean(0)
+    u, v = x - middle, y - middle
+    uu, vv = (u * u).sum(1), (v * v).sum(1)
+    floor = 1e-14 * (middle @ middle)
+    member, other = np.eye(k)[cx], np.eye(k)[cy]
+    for at in range(0, len(y), 256):
+        q, part = v[at : at + 256], slice(at, at + 256)
+        for lo in range(0, len(x), 2048):
+            rows = slice(lo, lo + 2048)
+            d = q @ u[rows].T
+            d *= -2
+            d += uu[rows]
+            d += vv[part, None]
+            if not d.min() > 1e-6 * (uu[rows].max() + vv[part].max()) + floor:
+                i, j = np.nonzero(d < 1e-6 * (uu[rows] + vv[part, None]) + floor)
+                for few in range(0, len(i), 16384):
+                    g, h = i[few : few + 16384], j[few : few + 16384]
+                    d[g, h] = ((y[at + g] - x[lo + h]) ** 2).sum(1)
+            np.sqrt(d, out=d)
+            to_x[part] += d @ member[rows]
+            if both:
+                to_y[rows] += (other[part].T @ d).T
+    return to_x, to_y
+
+
 def silhouette(df: DataFrame, key: str, features: str, cluster: str, most_held: int = 20_000) -> DataFrame:
     """(cluster, n, silhouette): mean Euclidean silhouette by cluster, exact over all rows.
 
-    Every row's distances to all rows are summed by cluster. Up to most_held rows go to the executors as one array; beyond that rows are dealt to blocks of half as
-    many, every two blocks meet in one task, and the sums of a row come together afterwards. The work is quadratic either way.
+    Every row's distances to all rows are summed by cluster. Up to most_held rows go to the executors as one array; beyond that rows are dealt to blocks (BLOCK_BYTES),
+    every two blocks meet in one task, once for both directions, and the sums of a row come together afterwards. The work is quadratic either way.
     """
-    part = df.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("x"), F.col(cluster).cast("string").alias("c"))
-    sizes = part.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-
-    def sums(x, c, y, ids):
-        """(id, cluster, sum of distances) of rows y to rows x."""
-        names, member = np.unique(c, return_inverse=True)
-        member = (member[None, :] == np.arange(len(names))[:, None]).astype(float)
-        for at in range(0, len(y), 512):
-            d = np.zeros((len(y[at : at + 512]), len(x)))
-            for k in range(x.shape[1]):
-                diff = y[at : at + 512, k, None] - x[None, :, k]
-                d += diff * diff
-            s = np.sqrt(d) @ member.T
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 512], len(names))), pa.array(np.tile(names, len(s))), pa.array(s.ravel())], names=["id", "other", "s"])
-
-    if part.limit(most_held + 1).count() <= most_held:
-        t = part.toArrow()
-        x, c = np.array(t.column("x").to_pylist(), float), np.array(t.column("c").to_pylist())
+    kind = "array<float>" if df.schema[features].dataType.simpleString() == "array<float>" else "array<double>"
+    part = df.select(F.col(key).alias("id"), F.col(features).cast(kind).alias("x"), F.col(cluster).cast("string").alias("c"))
+    sizes = sorted(part.groupBy("c").agg(F.count(F.lit(1)).alias("size")).collect(), key=lambda r: r["c"])  # a row for each cluster
+    spark, code, n = df.sparkSession, {r["c"]: k for k, r in enumerate(sizes)}, sum(r["size"] for r in sizes)
+    shape = f"id {part.schema['id'].dataType.simpleString()}, own int, other int, s double"
+
+    def arrays(t) -> tuple[np.ndarray, np.ndarray]:
+        x = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in t.column("x").chunks)])
+        return x.reshape(t.num_rows, -1), np.array([code[c] for c in t.column("c").to_pylist()], np.int32)
+
+    def listed(ids, own, s):
+        """Rows of the result; clusters that had no rows here (sums of 0 over none) do no harm."""
+        k = s.shape[1]
+        columns = (ids.take(pa.array(np.repeat(np.arange(len(s)), k))), pa.array(np.repeat(own, k)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(s))), pa.array(s.ravel()))
+        return pa.table(columns, names=["id", "own", "other", "s"])
+
+    if n <= most_held:
+        x, c = arrays(part.toArrow()) if n else (None, None)
 
         def rows(batches):
             for batch in batches:
-                yield from sums(x, c, np.array(batch.column("x").to_pylist(), float), np.array(batch.column("id").to_pylist()))
+                if batch.num_rows:
+                    y, own = arrays(t := pa.Table.from_batches([batch]))
+                    yield from listed(t.column("id").combine_chunks(), own, _distance_sums(x, c, y, own, len(code), False)[0]).to_batches()
 
-        total = part.mapInArrow(rows, f"id {part.schema['id'].dataType.simpleString()}, other string, s double")
+        met = part.mapInArrow(rows, shape)
     else:
-        blocks = -(-part.count() // max(most_held // 2, 1))
-        own = part.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "x", "c")
-
-        def pair(pdf):
-            import pandas as pd
-
-            i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-            get = lambda k: (lambda q: (np.array(q["x"].tolist(), float).reshape(len(q), -1), q["c"].to_numpy(), q["id"].to_numpy()))(pdf[pdf["own"] == k])
-            sides = [(i, j)] if i == j else [(i, j), (j, i)]
-            found = [b.to_pandas() for p, q in sides for (x, c, _), (y, _, ids) in [(get(p), get(q))] if len(x) and len(y) for b in sums(x, c, y, ids)]
-            return pd.concat(found) if found else pd.DataFrame({"id": [], "other": [], "s": []})
-
-        met = dealt.groupBy("i", "j").applyInPandas(pair, f"id {part.schema['id'].dataType.simpleString()}, other string, s double")
-        total = met.groupBy("id", "other").agg(F.sum("s").alias("s"))
-    j = total.join(part.select("id", "c"), "id").join(F.broadcast(sizes.withColumnRenamed("c", "other")), "other")  # sizes: a row for each cluster
-    mine = F.col("c") == F.col("other")
-    per = j.groupBy("id", "c").agg(F.max(F.when(mine, F.col("size"))).alias("n"), F.max(F.when(mine, F.col("s") / F.greatest(F.col("size") - 1, F.lit(1)))).alias("a"), F.min(F.when(~mine, F.col("s") / F.col("size"))).alias("b"))
+        wide = 8 * max(part.agg(F.max(F.size("x"))).first()[0] or 1, 1)
+        blocks = max(5, -(-n * wide // BLOCK_BYTES))
+        own = part.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        dealt = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("p", (F.least("b", "_o") * blocks + F.greatest("b", "_o")).cast("int")).drop("_o")
+
+        def pair(t):
+            i, j = divmod(t.column("p")[0].as_py(), blocks)
+            first, second = (t.filter(pa.array(t.column("b").to_numpy() == k)) for k in (i, j))
+            if not first.num_rows or not second.num_rows:
+                return listed(t.column("id").combine_chunks()[:0], np.zeros(0, np.int32), np.zeros((0, len(code))))
+            (x, cx), (y, cy) = arrays(first), arrays(second)
+            to_x, to_y = _distance_sums(x, cx, y, cy, len(code), i < j)
+            out = listed(second.column("id").combine_chunks(), cy, to_x)
+            return pa.concat_tables([out, listed(first.column("id").combine_chunks(), cx, to_y)]) if i < j else out
+
+        met = dealt.repartitionByRange(blocks * (blocks + 1) // 2, "p").groupBy("p").applyInArrow(pair, shape)
+    total = met.repartition("id").groupBy("id", "own", "other").agg(F.sum("s").alias("s"))
+    known = spark.createDataFrame([(k, r["c"], r["size"]) for k, r in enumerate(sizes)], "other int, c string, size long")
+    j = total.join(F.broadcast(known.drop("c")), "other")
+    mine = F.col("own") == F.col("other")
+    per = j.groupBy("id", "own").agg(F.max(F.when(mine, F.col("size"))).alias("n"), F.max(F.when(mine, F.col("s") / F.greatest(F.col("size") - 1, F.lit(1)))).alias("a"), F.min(F.when(~mine, F.col("s") / F.col("size"))).alias("b"))
     value = F.when((F.col("n") > 1) & F.col("b").isNotNull(), (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300))).otherwise(0.0)
-    return per.groupBy(F.col("c").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("silhouette"))
+    out = per.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("silhouette"))
+    return out.join(F.broadcast(known.select(F.col("other").alias("own"), F.col("c").alias("cluster"))), "own").select("cluster", "n", "silhouette")
 
 
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
