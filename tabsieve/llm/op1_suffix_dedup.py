@@ -11,8 +11,8 @@ How it is distributed:
    borders of repeated passages) are grouped under the anchor.
 3. Neighbouring pointers into one document merge to passages, cut at every `CELL` bytes of the document they point into. A group is such a cell (salted
    beyond `SALT` passages) with the passages that point into it, or an anchor with its border segments. Only these pieces of text get their bytes. Suffix arrays
-   built by two-stage sorting (suffix.py) order the suffixes of bounded batches of groups, an identical piece taken once for all its owners; adjacent common
-   prefixes of `length` or more give the classes of equal windows, and all but the first window of a class are removed. So a hash only says what to compare.
+   built by two-stage sorting (suffix.py) order the suffixes of bounded batches of groups, an identical piece taken once for all its owners, up to their first
+   `length` symbols; neighbours that share these are the classes of equal windows, and all but the first window of a class are removed. So a hash only says what to compare.
    A passage needs its cell only, so a cell's group is settled `batch_bytes` at a time; an anchor's group of more than `most_bytes` is dealt out by window.
 4. Spans are merged per document.
 
@@ -39,6 +39,7 @@ LONG = 1 << 22
 MAX_BITS = 24
 CELL = 1 << 12
 SALT = 2048
+PLACE = 40
 U64 = np.uint64
 
 
@@ -198,27 +199,20 @@ def repeated_windows(uid: np.ndarray, a: np.ndarray, bodies: list[bytes], length
     copies = [k for k in order.tolist() if (f := first.setdefault(bodies[k], k)) != k and (uid[f], a[f]) != (uid[k], a[k])]
     own = np.array(list(first.values()), np.int64)
     t, starts = suffix.concatenated(list(first))
-    sa = suffix.suffix_array(t)
-    lcp = suffix.adjacent_common(t, sa, length)
-    seg = np.searchsorted(starts, sa, "right") - 1
-    whole = starts[seg + 1] - 1 - sa >= length
-    cls = np.cumsum(lcp < length)
-    sa, seg, cls = sa[whole], seg[whole], cls[whole]
-    who, at = uid[own[seg]], a[own[seg]] + sa - starts[seg]
-    order = np.lexsort((at, who, cls))
-    who, at, cls = who[order], at[order], cls[order]
-    later = np.r_[False, cls[1:] == cls[:-1]] if len(cls) else np.zeros(0, bool)
+    sa, new = suffix.equal_windows(t, length)
+    # a place as one number: documents in order, then the window; the first place of a class stays
+    docs, doc = np.unique(uid[own], return_inverse=True)
+    place = (np.repeat((doc << PLACE) + a[own] - starts[:-1], np.diff(starts)) + np.arange(len(t)))[sa]
+    begin = np.flatnonzero(new)
+    least = np.minimum.reduceat(place, begin) if len(begin) else place
     # pieces may overlap: one place in two of them is one window
-    later[1:] &= (who[1:] != who[:-1]) | (at[1:] != at[:-1])
-    again = np.flatnonzero(later)
-    who, at = who[again], at[again]
-    order = np.lexsort((at, who))
-    who, at = who[order], at[order]
-    new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (at[1:] > at[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
-    last = np.r_[new[1:], len(at)][: len(new)] - 1
+    again = np.sort(place[place != np.repeat(least, np.diff(begin, append=len(place)))])
+    new = np.flatnonzero(np.r_[True, again[1:] > again[:-1] + 1]) if len(again) else np.zeros(0, np.int64)
+    last = np.r_[new[1:], len(again)][: len(new)] - 1
+    who, low = docs[again[new] >> PLACE], (1 << PLACE) - 1
     same = np.array([k for k in copies if len(bodies[k]) >= length], np.int64)
     sizes = np.array([len(bodies[k]) for k in same.tolist()], np.int64)
-    return np.r_[who[new], uid[same]], np.r_[at[new], a[same]], np.r_[at[last] + length, a[same] + sizes]
+    return np.r_[who, uid[same]], np.r_[again[new] & low, a[same]], np.r_[(again[last] & low) + length, a[same] + sizes]
 
 
 def _sorted_groups(batches, length: int, batch_bytes: int):

@@ -38,7 +38,7 @@ def _words(t: np.ndarray) -> np.ndarray:
 def _until_separator(t: np.ndarray) -> np.ndarray:
     """Distance from each position to the separator that ends its text."""
     ends = np.flatnonzero(t == 0)
-    return ends[np.searchsorted(ends, np.arange(len(t)))] - np.arange(len(t))
+    return np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(t))
 
 
 def small_kind(t: np.ndarray) -> np.ndarray:
@@ -46,9 +46,8 @@ def small_kind(t: np.ndarray) -> np.ndarray:
     n = len(t)
     differs = np.ones(n, bool)
     differs[:-1] = t[:-1] != t[1:]
-    nxt = np.full(n, n - 1)
     at = np.flatnonzero(differs)
-    nxt = at[np.searchsorted(at, np.arange(n))]  # the last position of the run of equal symbols
+    nxt = np.repeat(at, np.diff(at, prepend=-1))  # the last position of the run of equal symbols
     follow = np.zeros(n, np.int32)
     follow[:-1] = t[1:]
     out = t < follow[nxt]
@@ -56,9 +55,9 @@ def small_kind(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sorted_directly(at: np.ndarray, words: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """The given suffixes in order, refined six symbols at a time; where texts end, the earlier one comes first."""
-    order = at[np.lexsort((at, words[at]))]
+def _sorted_directly(at: np.ndarray, words: np.ndarray, left: np.ndarray, most: int | None = None) -> np.ndarray:
+    """The given suffixes (ascending) in order, refined six symbols at a time up to `most` symbols; where texts end, the earlier one comes first."""
+    order = at[np.argsort(words[at], kind="stable")]
     depth, n = 6, len(order)
     if not n:
         return order
@@ -66,7 +65,7 @@ def _sorted_directly(at: np.ndarray, words: np.ndarray, left: np.ndarray) -> np.
     first = np.ones(n, bool)
     first[1:] = key[1:] != key[:-1]
     slots = np.arange(n)  # places in order that are still undecided, whole groups of equal prefixes at a time
-    while True:
+    while most is None or depth < most:
         # members of a group reach their separators at the same depth, so a group is open or decided as a whole
         new = np.flatnonzero(first)
         size = np.diff(np.append(new, len(slots)))
@@ -87,19 +86,24 @@ def _sorted_directly(at: np.ndarray, words: np.ndarray, left: np.ndarray) -> np.
             nxt[uneven] = w = w[k]
             first[np.flatnonzero(uneven)[1:]] |= (w[1:] != w[:-1])
         depth += 6
+    return order
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Positions in the order of their suffixes; t ends with a separator (0)."""
+def suffix_array(t: np.ndarray, most: int | None = None, words: np.ndarray | None = None) -> np.ndarray:
+    """Positions in the order of their suffixes; t ends with a separator (0).
+
+    With `most`, suffixes are in the order of their first `most` symbols, and those equal in them stand together in any order: where the small kind is ordered so
+    far, what the scan puts in place is ordered one symbol further.
+    """
     n = len(t)
     if not n:
         return np.zeros(0, np.int64)
-    small, words, left = small_kind(t), _words(t), _until_separator(t)
+    small, words, left = small_kind(t), _words(t) if words is None else words, _until_separator(t)
     counts = np.bincount(t, minlength=257)
     ends = np.cumsum(counts)
     heads = ends - counts
     sa = np.full(n, -1, np.int64)
-    direct = _sorted_directly(np.flatnonzero(small), words, left)
+    direct = _sorted_directly(np.flatnonzero(small), words, left, most)
     per = np.bincount(t[direct], minlength=257)
     at = 0
     for c in np.flatnonzero(per):  # the small kind fills the end of its bucket
@@ -129,27 +133,21 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return sa
 
 
-def adjacent_common(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of each suffix and the one before it in order, up to most; never past a separator."""
-    n = len(sa)
-    out = np.zeros(n, np.int64)
-    if n < 2:
-        return out
-    left = _until_separator(t)
-    padded = np.zeros(len(t) + most + 8, np.int64)
-    padded[: len(t)] = t
-    words = _words(padded)
-    live = np.arange(1, n)
-    reach = np.minimum(np.minimum(left[sa[1:]], left[sa[:-1]]), most)
-    for depth in range(0, most, 6):
-        same = words[sa[live] + depth] == words[sa[live - 1] + depth]
-        stop = live[~same]
-        for k in range(6):  # the exact place of the first difference
-            alive = (out[stop] == depth + k) & (padded[sa[stop] + depth + k] == padded[sa[stop - 1] + depth + k])
-            out[stop[alive]] += 1
-        live = live[same]
-        out[live] = depth + 6
-        if not len(live):
-            break
-    out[1:] = np.minimum(out[1:], reach)
-    return out
+def equal_windows(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, new): positions with `length` symbols before their separator, equal windows of that length side by side, and whether each differs from the one before it."""
+    words, left = _words(t), _until_separator(t)
+    sa = suffix_array(t, length, words)
+    sa = sa[left[sa] >= length]
+    before = np.full(len(t), -1)
+    before[sa[1:]] = sa[:-1]
+    # compared in the order of the text, where neighbours have neighbours before them; the far end first, as near ends mostly agree
+    live = np.flatnonzero(before >= 0)
+    if length < 6:
+        low = 9 * (6 - length)
+        live = live[words[live] >> low == words[before[live]] >> low]
+    else:
+        for depth in (length - 6, *range(0, length - 6, 6)):
+            live = live[words[live + depth] == words[before[live] + depth]]
+    new = np.ones(len(t), bool)
+    new[live] = False
+    return sa, new[sa]

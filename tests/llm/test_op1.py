@@ -117,3 +117,33 @@ def test_copies_in_many_batches_and_a_text_over_four_megabytes(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df, batch_bytes=20_000).collect()}
     assert out == brute(rows, 100)
+
+
+def test_equal_windows_by_brute_force_and_no_further_than_they_reach():
+    import time
+    from collections import defaultdict
+
+    import numpy as np
+
+    from tabsieve.llm import op1_suffix_dedup as M
+    from tabsieve.llm import suffix
+
+    rng = random.Random(12)
+    for length in (2, 3, 6, 7, 12, 25):
+        for letters in ("a", "ab", "abc\xff"):
+            texts = [bytes(ord(rng.choice(letters)) for _ in range(rng.choice([0, 1, length, 60, 90]))) for _ in range(6)]
+            texts += [b"a" * 70 + b"b" + b"a" * 40, b"b" * 50, texts[-1][10:] + b"a"]
+            t, starts = suffix.concatenated(texts)
+            sa, new = suffix.equal_windows(t, length)
+            want = defaultdict(set)
+            for x, s in zip(texts, starts.tolist()):
+                for k in range(len(x) - length + 1):
+                    want[x[k : k + length]].add(s + k)
+            classes = np.split(sa, np.flatnonzero(new)[1:]) if len(sa) else []
+            assert sorted(map(sorted, want.values())) == sorted(sorted(c.tolist()) for c in classes), (length, letters)
+    # a long copy: ordering it to its end took a round for every six bytes
+    body = bytes(rng.randrange(97, 123) for _ in range(400_000))
+    began = time.process_time()
+    who, lo, hi = M.repeated_windows(np.array([4, 9]), np.array([0, 7]), [b"x" + body, b"y" + body], 100)
+    assert time.process_time() - began < 6
+    assert (who.tolist(), lo.tolist(), hi.tolist()) == ([9], [8], [400_008])
