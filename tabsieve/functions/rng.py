@@ -75,7 +75,8 @@ def smallest(df: DataFrame, columns: list[str], key: str, cuts: list[tuple[int,
     take = F.greatest(F.least(F.col("_n"), F.col("_r.take") - F.coalesce(F.sum("_n").over(before), F.lit(0))), F.lit(0))
     taken = rows.withColumn("_t", take).select(*columns, *[F.when(F.col("_r.cut") == i, F.col("_t")).otherwise(0).alias(f"c{i}") for i in range(len(cuts))])
     out = cells.select(*columns, *[f"c{i}" for i in range(len(cuts))]).unionByName(taken).groupBy(*columns).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(cuts))])
-    out = out.sortWithinPartitions(*columns).persist()
+    # so few points that models go over them again and again in few tasks
+    out = out.coalesce(max(1, -(-cells.count() // 50_000))).sortWithinPartitions(*columns).persist()
     out.count()
     cells.unpersist()
     return out
